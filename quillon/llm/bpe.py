@@ -8,8 +8,9 @@ emits the ids.  Two tokens are compatible if no merge that crosses their border
 have come before both were complete, which a look at the outer spines of their merge
 trees decides.
 
-Words repeat, so each task keeps the ids of words seen before (a bounded cache, emptied
-when it is full; this changes speed, never a result).
+Words repeat, so each task keeps the ids of words seen before, in two bounded
+generations of which the older goes when the younger is full (this changes speed, never a
+result).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from quillon.llm.common import extended
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space next to white space, where a blank is not the start of a word.
 _RUN = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]")
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 
 
 def _printable() -> dict[str, int]:
@@ -76,6 +77,7 @@ class Encoder:
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.cache_entries = cache_entries
         self._words: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def _spine(self, token: int, side: int, kept: dict) -> list[tuple[int, float]]:
         """Outer parts of a token with the rank at which each goes up in its parent."""
@@ -91,8 +93,6 @@ class Encoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of ``a``'s bytes followed by ``b``'s is just these two."""
-        if (known := self._fits.get((a, b))) is not None:
-            return known
         fits = True
         for x, x_until in self._spine(a, 2, self._right):
             for y, y_until in self._spine(b, 1, self._left):
@@ -108,32 +108,40 @@ class Encoder:
     def word(self, data: bytes) -> list[int]:
         """Ids of one word (a match of ``SPLIT``), by the table of last tokens."""
         last = [-1] * (len(data) + 1)
+        known, compatible = self._fits.get, self.compatible
         for at, (token, n) in self.automaton.iter(data.decode("latin-1")):
             end = at + 1
-            if last[end] < 0 and (end == n or last[end - n] >= 0 and self.compatible(last[end - n], token)):
+            if last[end] >= 0:
+                continue
+            if end == n:
                 last[end] = token
+            elif (before := last[end - n]) >= 0:
+                fits = known((before, token))
+                if compatible(before, token) if fits is None else fits:
+                    last[end] = token
         out, end = [], len(data)
         while end:
             out.append(last[end])
             end -= len(self.bytes_of[last[end]])
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        words, out = self._words, []
-        for w in self.split.findall(chunk):
-            ids = words.get(w)
-            if ids is None:
-                ids = tuple(self.word(w.encode()))
-                if len(words) >= self.cache_entries:
-                    words.clear()
-                if len(w) <= 256:
-                    words[w] = ids
-            out.extend(ids)
-        if len(words) >= self.cache_entries:
-            words.clear()
+    def _keep(self, chunk: str, ids: tuple[int, ...]) -> None:
+        if len(self._words) >= self.cache_entries // 2:
+            self._older, self._words = self._words, {}
         if len(chunk) <= 256:
-            words[chunk] = tuple(out)
-        return tuple(out)
+            self._words[chunk] = ids
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk that isn't in the younger generation."""
+        out = self._older.get(chunk)
+        if out is None:
+            words = self.split.findall(chunk)
+            if len(words) == 1:
+                out = tuple(self.word(chunk.encode()))
+            else:
+                out = tuple(i for w in words for i in self._words.get(w) or self._chunk(w))
+        self._keep(chunk, out)
+        return out
 
     def _plain(self, text: str, out: list[int]) -> None:
         """Between two characters that are not white space, a blank starts a word."""
@@ -172,6 +180,40 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+_native: dict[str, Callable[[str], np.ndarray]] = {}
+
+
+def ids_of(path: str) -> Callable[[str], np.ndarray]:
+    """The same ids by the tiktoken library, for operators that only need ids.
+
+    It takes ranks for ids, so where a vocabulary numbers its tokens otherwise, and for
+    texts that its pattern matcher refuses (very long runs of white space), ``Encoder``
+    does the work.
+    """
+    if path not in _native:
+        own = encoder(path)
+        made = [(own.pairs[a, b], i) for i, (_, a, b) in own._made.items()]
+        plain = {own.bytes_of[i]: i for i in range(len(own.bytes_of)) if own.bytes_of[i] and i not in own.special.values()}
+        if [i for _, i in sorted(made)] == sorted(i for _, i in made) and all(bytes([b]) in plain for b in range(256)):
+            import tiktoken
+
+            native = tiktoken.Encoding("native", pat_str=SPLIT, mergeable_ranks=plain, special_tokens=own.special)
+
+            def ids(text: str) -> np.ndarray:
+                try:
+                    return native.encode_to_numpy(text, allowed_special="all")
+                except ValueError:
+                    return np.asarray(own.encode(text), np.uint32)
+
+        else:
+
+            def ids(text: str) -> np.ndarray:
+                return np.asarray(own.encode(text), np.uint32)
+
+        _native[path] = ids
+    return _native[path]
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``ids`` (array of int) and ``decoded`` (what these ids decode to).
 

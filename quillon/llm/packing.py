@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import encoder
+from quillon.llm.bpe import ids_of
 from quillon.llm.common import extended, materialise
 
 #: Groups into which the pieces of one length are dealt for numbering.
@@ -37,13 +37,13 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, eos: int = 2, key: str
     source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        encode = ids_of(path)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 rows = batch.slice(begin, 256)
                 at, piece, start, crc, parts = [], [], [], [], []
                 for row, value in enumerate(rows.column("__text")):
-                    all_ids = np.asarray([*bpe.encode(value.as_py() or ""), eos], "<u4")
+                    all_ids = np.append(encode(value.as_py() or ""), eos).astype("<u4")
                     first = len(all_ids) % size or size
                     for k, part in enumerate(np.split(all_ids, range(first, len(all_ids), size))):
                         at.append(row)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import bpe, packing
+from quillon.llm import bpe, near_dup, packing
 from quillon.llm.common import read_table
 
 
@@ -20,12 +21,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents"), vocabulary(), size=1024, eos=2), size=1024)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, bits=4)
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_near_dup": op5_near_dup,
     "op7_bpe": op7_bpe,
 }
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, near_dup, packing, url_filter, warc
+from quillon.llm import bpe, html_text, near_dup, packing, url_filter, warc
 from quillon.llm.common import read_table, shared_dir
 
 
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents"), vocabulary(), size=1024, eos=2), size=1024)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"), keep=["page_id"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, bits=4)
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -68,6 +72,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_html": op2_html,
     "op5_near_dup": op5_near_dup,
     "op7_bpe": op7_bpe,
     "op8_url_filter": op8_url_filter,

@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html_text, near_dup, packing, url_filter, warc
+from quillon.llm import bpe, html_text, language, near_dup, packing, quality, url_filter, warc
 from quillon.llm.common import read_table, shared_dir
 
 
@@ -26,6 +26,24 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"), keep=["page_id"]).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    rated = quality.rate(docs, rules)
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.fit(docs, remainder(3) != 1)
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, bits=4)
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -73,6 +91,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html": op2_html,
+    "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op5_near_dup": op5_near_dup,
     "op7_bpe": op7_bpe,
     "op8_url_filter": op8_url_filter,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html_text, language, near_dup, packing, quality, url_filter, warc
+from quillon.llm import bpe, html_text, language, media, near_dup, packing, quality, url_filter, warc
 from quillon.llm.common import read_table, shared_dir
 
 
@@ -73,6 +73,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return media.read(stored, tensors=False)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(warc.revisits(read_table(spark, sf_dir, "pages")), path)
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dup": op5_near_dup,
     "op7_bpe": op7_bpe,
     "op8_url_filter": op8_url_filter,
+    "op9_media": op9_media,
     "op10_warc": op10_warc,
 }
 

@@ -3,10 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.llm import language, near_dup, packing, quality
 from quillon.llm.common import materialise, read_table
+from quillon.llm.queries import vocabulary
 
-STAGES = []
+#: A document whose best language has less of the probability is rejected.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without text or letters, and those that fit no language."""
+    model = language.fit(docs, F.lit(True))
+    return language.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what fails the base test or the rules learned from the labels."""
+    rules = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.rate(docs, rules).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near copies, on shingles of five words.
+
+    Fingerprints within four of 64 bits stand for a similarity well above 0.8.
+    """
+    return near_dup.keep_one(docs, shingle=5, bits=4)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(docs, vocabulary(), size=1024, eos=2), size=1024)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_duplicates),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: The stages learn models and tokenize, which SQL can't express.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html_text, language, media, near_dup, packing, quality, url_filter, warc
+from quillon.llm import bpe, html_text, language, media, near_dup, packing, quality, toxicity, url_filter, warc
 from quillon.llm.common import read_table, shared_dir
 
 
@@ -49,6 +49,13 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), remainder(5) != 0)
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", F.size("evidence").alias("n_evidence"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_near_dup": op5_near_dup,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_url_filter": op8_url_filter,
     "op9_media": op9_media,

@@ -1,0 +1 @@
+"""Column functions: text, money, dates and identifiers of statements."""

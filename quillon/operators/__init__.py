@@ -1,0 +1 @@
+"""Operators over ledger tables; each takes and returns DataFrames."""

@@ -1,0 +1 @@
+"""Streams of new statements and commands."""

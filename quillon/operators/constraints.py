@@ -22,8 +22,9 @@ def repeated(rows: DataFrame, name: str, *by: str) -> DataFrame:
     return found.select(F.lit(name).alias("constraint_name"), F.concat_ws("|", *by).alias("key"))
 
 
-def dangling(rows: DataFrame, name: str, key: str, to: DataFrame, other: str) -> DataFrame:
-    gone = rows.join(to.select(F.col(other).alias("__o")), F.col(key) == F.col("__o"), "left_anti")
+def dangling(rows: DataFrame, name: str, key: str, foreign: str, to: DataFrame, other: str) -> DataFrame:
+    """Rows whose foreign key isn't among ``other`` of the table it should lead ``to``."""
+    gone = rows.join(to.select(F.col(other).alias("__o")), F.col(foreign) == F.col("__o"), "left_anti")
     return gone.select(F.lit(name).alias("constraint_name"), F.col(key).cast("string").alias("key"))
 
 

@@ -194,7 +194,7 @@ def _contract(roots: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs`` ``key``, fingerprint (bigint) and component_id.
 
-    component_id is the smallest ``key`` that links reach.  Null texts count as empty;
+    component_id is the smallest ``key`` that links reach (null if all of them are null).  Null texts count as empty;
     all texts without a word have fingerprint zero and link to each other; repeated rows
     stay; an empty table gives an empty result; other columns don't take part.
     """
@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, key: str =
 def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first (by ``key``) of their group, all columns.
 
-    Of rows with the same ``key`` (repeated rows) one stays.
+    Of rows with the same ``key`` (repeated rows) one stays; rows without a key all stay.
     """
     found = near_duplicates(docs, shingle, bits, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(found, docs[key] == found["__kept"], "left_semi").dropDuplicates([key])
+    first = docs.join(found, docs[key] == found["__kept"], "left_semi").dropDuplicates([key])
+    return first.unionAll(docs.filter(F.col(key).isNull()))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(20,2)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def exact_code(c: Column) -> Column:
     """Null for a decimal text of at most 18 whole digits and 2 decimals, else a code."""
     digits = F.regexp_replace(F.regexp_extract(c, r"^-?([0-9]+)(\.[0-9]+)?$", 1), "^0+(?=[0-9])", "")
@@ -29,23 +36,29 @@ def sheet_amount(c: Column) -> Column:
     groups of three before; one separator that repeats, or has three digits after it,
     groups; with one or two digits it is the decimal one.
     """
-    t = F.regexp_replace(F.regexp_replace(c, "[  ]", ""), r"^(-?)\$", "$1")
-    flat = F.regexp_replace(t, "[.,]", "")
-    whole = (
+    clean = F.regexp_replace(F.regexp_replace(c, "[\u00a0 ]", ""), r"^(-?)\$", "$1")
+    return let(clean, lambda t: let(_sheet_number(t), lambda n: let(exact(n), lambda value: _sheet_result(t, value))))
+
+
+def _sheet_number(t: Column) -> Column:
+    """Plain decimal text of an amount; null if its separators don't follow the rules."""
+    return (
         F.when(t.rlike(r"^[0-9]+$"), t)
         .when(t.rlike(r"^[0-9]+(\.[0-9]{3})*,[0-9]{1,2}$") & t.contains("."), F.translate(F.translate(t, ".", ""), ",", "."))
         .when(t.rlike(r"^[0-9]+(,[0-9]{3})*\.[0-9]{1,2}$") & t.contains(","), F.translate(t, ",", ""))
-        .when(t.rlike(r"^[0-9]+(\.[0-9]{3})+$") | t.rlike(r"^[0-9]+(,[0-9]{3})+$"), flat)
+        .when(t.rlike(r"^[0-9]+(\.[0-9]{3})+$|^[0-9]+(,[0-9]{3})+$"), F.translate(t, ".,", ""))
         .when(t.rlike(r"^[0-9]+[.,][0-9]{1,2}$"), F.translate(t, ",", "."))
     )
-    value = exact(whole)
+
+
+def _sheet_result(t: Column, value: Column) -> Column:
     code = (
         F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.lit("amount_missing"))
         .when(t.startswith("-"), F.lit("negative_source_amount"))
         .when(value.isNull(), F.lit("amount_invalid"))
         .when(value == 0, F.lit("zero_amount_unsupported"))
     )
-    return F.struct(F.when(code.isNull() | (code == "zero_amount_unsupported"), value).alias("value"), code.alias("code"))
+    return F.struct(value.alias("value"), code.alias("code"))
 
 
 def token_amount(c: Column, grouped: Column | None = None) -> Column:

@@ -65,7 +65,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS r(verdict, host, path)")
     return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 

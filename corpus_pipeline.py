@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language, near_dup, packing, quality
+from quillon.llm import language, packing, quality, similar
 from quillon.llm.common import materialise, read_table
 from quillon.llm.queries import vocabulary
 
@@ -26,11 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies, on shingles of five words.
-
-    Fingerprints within four of 64 bits stand for a similarity well above 0.8.
-    """
-    return near_dup.keep_one(docs, shingle=5, bits=4)
+    """Keeps the first document of each group of near copies: words in shingles of five, similarity 0.8 or more."""
+    return similar.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

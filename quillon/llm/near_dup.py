@@ -174,7 +174,7 @@ def classes(prints: DataFrame, bits: int = 4) -> DataFrame:
         links = materialise(links.select(F.col("root").alias("a"), F.col("m.root").alias("b")).distinct(), "stars")
         if links.isEmpty():
             break
-        roots = _contract(roots, links)
+        roots = contract(roots, links)
     # what shares a key and isn't joined yet; keys of one component are done
     held = keyed.join(roots, "node")
     mixed = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
@@ -182,10 +182,10 @@ def classes(prints: DataFrame, bits: int = 4) -> DataFrame:
     other = held.withColumnsRenamed({"node": "node2", "root": "root2"})
     links = held.join(other, "key").filter((F.col("root") < F.col("root2")) & close(F.col("node"), F.col("node2"), bits))
     links = materialise(links.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "links")
-    return (roots if links.isEmpty() else _contract(roots, links)).withColumnRenamed("node", "fingerprint")
+    return (roots if links.isEmpty() else contract(roots, links)).withColumnRenamed("node", "fingerprint")
 
 
-def _contract(roots: DataFrame, links: DataFrame) -> DataFrame:
+def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     top = components(links, ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return materialise(roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
@@ -205,13 +205,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, key: str =
     ids = ids.join(ids.groupBy("root").agg(F.min("__least").alias("component_id")), "root").select("fingerprint", "component_id")
     # one row for each distinct fingerprint; a frequent one is split by adaptive execution
     return prints.join(ids, "fingerprint").select(key, "fingerprint", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first (by ``key``) of their group, all columns.
-
-    Of rows with the same ``key`` (repeated rows) one stays; rows without a key all stay.
-    """
-    found = near_duplicates(docs, shingle, bits, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    first = docs.join(found, docs[key] == found["__kept"], "left_semi").dropDuplicates([key])
-    return first.unionAll(docs.filter(F.col(key).isNull()))

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html_text, language, near_dup, packing, quality, queries, toxicity
+from quillon.llm import bpe, html_text, language, near_dup, packing, quality, queries, similar, toxicity
 
 ODD = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "no key"), (4, "x " * 30_000), (5, "y" * 20_000), (6, "é中 ½\u3000z<|endoftext|>!"), (7, "  \n\t "), (8, "It's  two\n\n lines 12's")]
 SCHEMA = "doc_id long, text string"
@@ -127,13 +127,50 @@ def test_near_duplicates(spark, odd, none, sf_dir):
     found = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert Counter((r["doc_id"], r["fingerprint"] % (1 << 64), r["component_id"]) for r in found) == brute_components(rows, 4)
     assert near_dup.near_duplicates(none).count() == 0
-    kept = near_dup.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8]
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = queries.op5_near_dup(spark, sf_dir).collect()
     assert Counter((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in found) == brute_components(docs, 4)
 
 
+def brute_groups(rows, similarity):
+    sets = {i: set(similar.shingle_set(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {i: top(i) for i in sets}
+
+
+def test_similar_texts(spark, odd, none, sf_dir):
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8]
+    assert similar.keep_one(none).count() == 0
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(900)]
+    rows = []
+    for k in range(40):  # 0 to 7 words of 300 changed: similarities of 1 to 0.8
+        own = [rng.choice(words) for _ in range(300)]
+        rows.append((10 * k, " ".join(own)))
+        for n in range(1, 8):
+            for at in rng.sample(range(300), k % 8):
+                own[at] = "x"
+            rows.append((10 * k + n, " ".join(own if n == 1 else [*own[: 290 + n], "and", "more"])))
+    rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text").collect()]
+    found = {r["doc_id"]: r["component_id"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_groups(rows, 0.8)
+    # links are exact, so no group is larger than brute force's; candidates miss few
+    assert found.keys() == want.keys() and all(want[i] == want[c] for i, c in found.items())
+    assert sum(found[i] != c for i, c in want.items()) <= 0.02 * sum(c != i for i, c in want.items())
+
+
 def test_chains_are_followed(spark):
     """Fingerprints in a chain, each four bits from the next, in shuffled order."""
     chain, x = [], 0

@@ -1,17 +1,18 @@
-"""Documents of a word-shingle similarity of 0.8 or more: wide SimHash with Golay-code keys.
+"""Documents of a word-shingle similarity of 0.8 or more: wide SimHash first, then an exact join.
 
-At a Jaccard similarity of 0.8 about 15 % of SimHash bits differ, more than one fingerprint of
-64 bits can prove.  So every set of distinct shingles gets ``WORDS`` fingerprints, from as many
-mixes of the shingle hashes; each is cut into segments, decoded to nearby Golay codewords and
-gives the keys of ``near_dup.keys``.  Sets that share a key of any fingerprint and whose bits
-are close enough are candidates, and candidates link by the exact similarity of their sets.
+Equal sets of shingles are one class from the start.  Two paths link the others, always by the
+exact similarity of their sets:
 
-Verification is exact, so no link is wrong; candidates are found with a probability that grows
-with the similarity (the README has measured figures).
+* at a similarity of 0.8 about 15 % of SimHash bits differ, more than one fingerprint of 64 bits
+  can prove.  So every set of distinct shingles gets ``WORDS`` fingerprints, from as many mixes
+  of the shingle hashes; each is cut into segments, decoded to nearby Golay codewords and gives
+  the keys of ``near_dup.keys``.  A key's members are compared with one member of it.  This
+  joins most large groups early; what it misses, the second path finds
+* shingles have one global order, common ones last.  Sets with a certain overlap share one of
+  their first shingles in any such order (prefix filter), so the sets that share one, whose
+  sizes and positions allow the similarity and that aren't joined yet are all compared
 
-Equal sets are one class from the start.  As in ``near_dup``, a key's members are first compared
-with one member, and only members of different components that share a key are then compared
-with each other.
+No link is wrong and none is missed.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from quillon.llm.near_dup import SEED, contract, keys
 
 #: Fingerprints of 64 bits for each set.
 WORDS = 5
-#: Candidates differ in at most so many bits of the first fingerprint, and of all of them; both
-#: are three standard deviations above the mean at a similarity of 0.8.
+#: The first path tries sets that differ in at most so many bits of the first fingerprint, and of
+#: all of them; both are three standard deviations above the mean at a similarity of 0.8.  What
+#: they turn away is left to the second path.
 FIRST_BITS, ALL_BITS = 19, 68
 ROUNDS = 2
+#: Common shingles come last in the global order: those that at least ``COMMON`` of one in
+#: ``SAMPLE`` sets have, the ``MOST`` commonest.  Any order gives the same links.
+SAMPLE, COMMON, MOST = 16, 4, 1 << 18
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 18
 #: The bits of every byte, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -84,14 +89,18 @@ def simhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """Per row ``key``, node (digest of the set of shingles) and prints (its fingerprints)."""
+    """Per row ``key``, node (digest of the set of shingles), n (its size), prints (its fingerprints) and shingles."""
     source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
 
     def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         prints = simhashes(sets).view(np.int64)
         offsets = np.arange(len(sets) + 1, dtype=np.int32) * WORDS
+        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
         nodes = pa.array([digest(s) for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), nodes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints.ravel()))], names=[key, "node", "prints"])
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+        columns = [pa.array(ids, id_type), nodes, pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints.ravel())), shingles]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", "prints", "shingles"])
 
     id_type = None
 
@@ -110,58 +119,125 @@ def sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
             if sets:
                 yield flush(ids, sets)
 
-    return source.mapInArrow(run, f"`{key}` {source.schema['__key'].dataType.simpleString()}, node bigint, prints array<bigint>")
+    return source.mapInArrow(run, f"`{key}` {source.schema['__key'].dataType.simpleString()}, node bigint, n int, prints array<bigint>, shingles array<bigint>")
+
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """The rows whose key two nodes have."""
+    # one shuffle by key serves both the count and the join
+    keyed = keyed.repartition("key")
+    counts = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
+    return keyed.join(counts.select("key"), "key")
 
 
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, first, key): every key of every fingerprint that two nodes share; ``first`` is the first fingerprint."""
+    """(node, n, first, key): every key of every fingerprint that two nodes share; ``first`` is the first fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
-                own = part.column("node").to_numpy()
+                own, n = part.column("node").to_numpy(), part.column("n").to_numpy()
                 prints = part.column("prints").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
                 first = np.ascontiguousarray(prints[:, 0]).view(np.int64)
                 for k in range(WORDS):
                     row, key = keys(prints[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(first[row]), pa.array((key | k << 26).astype(np.int32))], names=["node", "first", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(n[row]), pa.array(first[row]), pa.array((key | k << 26).astype(np.int32))], names=["node", "n", "first", "key"])
 
-    # one shuffle by key serves both the count and the join
-    keyed = nodes.mapInArrow(run, "node bigint, first bigint, key int").repartition("key")
-    counts = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    return keyed.join(counts.select("key"), "key")
+    return shared(nodes.select("node", "n", "prints").mapInArrow(run, "node bigint, n int, first bigint, key int"))
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and how often a sample of the sets has them."""
+    found = sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").count()
+    found = found.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST).toArrow()
+    values, counts = found.column("s").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(values)
+    return values[order], counts[order]
+
+
+def prefixes(sets: DataFrame, permille: int) -> DataFrame:
+    """(node, n, key, place, before): the first shingles of every set in the global order, as far as two nodes share them.
+
+    ``place`` is a shingle's number in the set's order and ``before`` the shingle in front of it.
+    Of sets of a similarity of ``permille``, each has one of the common shingles in its prefix.
+    """
+    values, counts = common_shingles(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                own = part.column("node").to_numpy()
+                n = part.column("shingles").value_lengths().to_numpy().astype(np.int64)
+                every = part.column("shingles").flatten().to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(every), np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, every), len(values) - 1)
+                    rank = np.where(values[at] == every, counts[at], 0)
+                every = every[np.lexsort((every, rank, row))]
+                place = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+                least = -(-n * permille // 1000)  # of a similar set's shingles, so many are common at least
+                keep = np.flatnonzero(place <= (n - least)[row])
+                before = pa.array(every[keep - 1], mask=place[keep] == 0)
+                columns = [pa.array(own[row[keep]]), pa.array(n[row[keep]].astype(np.int32)), pa.array(every[keep]), pa.array(place[keep].astype(np.int32)), before]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "key", "place", "before"])
+
+    return shared(sets.mapInArrow(run, "node bigint, n int, key bigint, place int, before bigint"))
 
 
 def _differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, key: str, text: str) -> DataFrame:
-    """The pairs (a, b, ra, rb) of nodes whose sets are similar enough, as links (a, b) of their roots."""
+def sizes_allow(a: Column, b: Column, permille: int) -> Column:
+    return F.least(a, b) * 1000 >= F.greatest(a, b) * permille
+
+
+def overlap(a: Column, b: Column, permille: int) -> Column:
+    """The least number of common shingles of similar sets of these sizes."""
+    return F.ceil((a + b) * permille / (1000 + permille))
+
+
+def hopeful(pairs: DataFrame, keyed: DataFrame, permille: int) -> DataFrame:
+    """The pairs whose prefixes have enough in common.
+
+    Of the prefix that ends first in the global order, all but n - overlap shingles are in the
+    other set, and so in its prefix; shingles that no other set has aren't in ``keyed``.
+    """
+    lists = keyed.groupBy("node").agg(F.any_value("n").alias("n"), F.collect_set("key").alias("p"))
     for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("prints").alias(f"f{end}")), end)
-    bits = sum((_differing(F.col("fa")[k], F.col("fb")[k]) for k in range(WORDS)), F.lit(0))
-    pairs = materialise(pairs.filter(bits <= ALL_BITS).select("a", "b", "ra", "rb"), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = ends.join(nodes.select("node", "least"), "node").select(F.col("least").alias("__least"))
-    source = docs.join(wanted, docs[key] == F.col("__least"), "left_semi").select(docs[text].alias("__text"))
+        pairs = pairs.join(lists.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("p").alias(f"p{end}")), end)
+    least = F.ceil(F.greatest("na", "nb") * permille / 1000)
+    return pairs.filter(F.size(F.array_intersect("pa", "pb")) > overlap(F.col("na"), F.col("nb"), permille) - least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column("__text"):
-                found = shingle_set(t.as_py(), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(found)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = materialise(source.mapInArrow(run, "node bigint, shingles array<bigint>"), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
+    """The pairs (a, b, ra, rb) of nodes whose sets are similar enough, as links (a, b) of their roots."""
+    pairs = materialise(pairs.select("a", "b", "ra", "rb"), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = materialise(sets.join(ends, "node", "left_semi"), "sets")
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")), end)
     pairs = pairs.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     # both as whole numbers, so that a similarity of exactly the threshold links
-    alike = F.col("common") * 1000 >= (F.size("sa") + F.size("sb") - F.col("common")) * round(similarity * 1000)
+    alike = F.col("common") * 1000 >= (F.size("sa") + F.size("sb") - F.col("common")) * permille
     links = pairs.filter(alike).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
     return materialise(links.filter("a != b").distinct(), "links")
 
 
+def unjoined(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``keyed`` with roots; keys of one component are done."""
+    held = keyed.join(roots, "node")
+    mixed = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
+    return held.join(mixed.select("key"), "key")
+
+
+def middles(held: DataFrame, k: int, *more: str) -> DataFrame:
+    """Per row the key's first member by a hash that changes with the round ``k``, as ``m``, of another component."""
+    middle = held.groupBy("key").agg(F.min_by(F.struct("node", "root", "n", *more), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m"))
+    return held.join(middle, "key").filter(F.col("root") != F.col("m.root"))
+
+
 def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs`` that has a ``key``: ``key`` and component_id, the smallest ``key`` that links reach.
 
@@ -170,31 +246,46 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str
     repeated rows stay; an empty table gives an empty result; other columns don't take part.
     """
     if not 0.8 <= similarity <= 1:
-        raise ValueError("the candidates cover similarities of 0.8 or more")
+        raise ValueError("the prefixes are meant for similarities of 0.8 or more")
+    permille = round(similarity * 1000)
     docs = docs.filter(F.col(key).isNotNull())
     prints = materialise(sketches(docs, shingle, key, text), "sketches")
-    nodes = materialise(prints.groupBy("node").agg(F.min(key).alias("least"), F.any_value("prints").alias("prints")), "nodes")
+    nodes = materialise(prints.groupBy("node").agg(F.min(key).alias("least"), F.any_value("n").alias("n"), F.any_value("prints").alias("prints")), "nodes")
+    sets = prints.join(nodes.select("node", F.col("least").alias(key)), ["node", key], "left_semi").select("node", "shingles")
     keyed = materialise(keyed_nodes(nodes), "keyed")
     roots = nodes.select("node", F.col("node").alias("root"))
-    near = lambda a, b: _differing(F.col(a), F.col(b)) <= FIRST_BITS
+    ends = [F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("ra"), F.col("m.root").alias("rb")]
     for k in range(ROUNDS):
-        # in every key, its first member by a hash that changes with the round stands in the middle
-        held = keyed.join(roots, "node")
-        middle = held.groupBy("key").agg(F.min_by(F.struct("node", "root", "first"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m"))
-        pairs = held.join(middle, "key").filter((F.col("root") != F.col("m.root")) & near("first", "m.first"))
-        pairs = pairs.select(F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("ra"), F.col("m.root").alias("rb")).distinct()
-        links = verified(pairs, nodes, docs, shingle, similarity, key, text)
+        pairs = middles(keyed.join(roots, "node"), k, "first").filter(sizes_allow(F.col("n"), F.col("m.n"), permille))
+        pairs = pairs.select(*ends, _differing(F.col("first"), F.col("m.first")).alias("bits")).filter(F.col("bits") <= FIRST_BITS)
+        # every node is compared with the closest middle
+        pairs = pairs.groupBy("a").agg(F.min_by(F.struct("b", "ra", "rb"), F.struct("bits", "b")).alias("p")).select("a", "p.*")
+        for end in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("prints").alias(f"f{end}")), end)
+        bits = sum((_differing(F.col("fa")[j], F.col("fb")[j]) for j in range(WORDS)), F.lit(0))
+        links = verified(pairs.filter(bits <= ALL_BITS), sets, permille)
         if links.isEmpty():
             break
         roots = contract(roots, links)
-    # what shares a key and isn't joined yet; keys of one component are done
-    held = keyed.join(roots, "node")
-    mixed = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    held = materialise(held.join(mixed.select("key"), "key"), "mixed")
-    other = held.withColumnsRenamed({"node": "node2", "root": "root2", "first": "first2"})
-    pairs = held.join(other, "key").filter((F.col("root") < F.col("root2")) & near("first", "first2"))
+    keyed = materialise(prefixes(sets, permille), "prefixes")
+    for k in range(ROUNDS):
+        # every node is compared with the middle that most of its keys have
+        keyed = materialise(unjoined(keyed, roots), "mixed").drop("root")
+        pairs = middles(keyed.join(roots, "node"), k).filter(sizes_allow(F.col("n"), F.col("m.n"), permille)).groupBy(ends).count()
+        best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), F.struct("count", "b")).alias("p")).select("a", "p.*")
+        links = verified(hopeful(best, keyed, permille), sets, permille)
+        if links.isEmpty():
+            break
+        roots = contract(roots, links)
+    # all that share a key and aren't joined yet; o is the overlap that the sizes demand, and
+    # where both have the same shingle in front, the pair is found by that one
+    held = materialise(unjoined(keyed, roots), "mixed")
+    other = held.withColumnsRenamed({"node": "node2", "root": "root2", "n": "n2", "place": "place2", "before": "before2"})
+    o = overlap(F.col("n"), F.col("n2"), permille)
+    pairs = held.join(other, "key").filter((F.col("root") < F.col("root2")) & sizes_allow(F.col("n"), F.col("n2"), permille))
+    pairs = pairs.filter((F.col("place") <= F.col("n") - o) & (F.col("place2") <= F.col("n2") - o) & F.coalesce(F.col("before") != F.col("before2"), F.lit(True)))
     pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("root").alias("ra"), F.col("root2").alias("rb")).distinct()
-    links = verified(pairs, nodes, docs, shingle, similarity, key, text)
+    links = verified(hopeful(pairs, held, permille), sets, permille)
     if not links.isEmpty():
         roots = contract(roots, links)
     ids = roots.join(nodes.select("node", "least"), "node")

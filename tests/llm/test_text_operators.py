@@ -171,6 +171,21 @@ def test_similar_texts(spark, odd, none, sf_dir):
     assert sum(found[i] != c for i, c in want.items()) <= 0.02 * sum(c != i for i, c in want.items())
 
 
+def test_no_similar_pair_is_missed(spark):
+    """Short texts at exactly 0.8 and a little below, whose fingerprints often share no key."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(300):
+        common, more = ((8, 1), (16, 3), (16, 4))[k % 3]  # 4 of 5, 12 of 15 and 12 of 16 shingles
+        own = [f"v{rng.randrange(10**6)}" for _ in range(common + more)]
+        rows += [(2 * k, " ".join(own[:common])), (2 * k + 1, " ".join(own))]
+    # a line that all have, and texts that are little more than it
+    line = "this line stands in every text of the table"
+    rows += [(1000 + k, f"{line} {' '.join(f'u{k}x{j}' for j in range(k % 4))}") for k in range(60)]
+    found = {r["doc_id"]: r["component_id"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_groups(rows, 0.8)
+
+
 def test_chains_are_followed(spark):
     """Fingerprints in a chain, each four bits from the next, in shuffled order."""
     chain, x = [], 0

@@ -8,7 +8,9 @@ table cells in columns of equal width.
 * hidden are scripts, styles, templates and the head, elements with the attribute
   ``hidden``, ``aria-hidden="true"`` or an inline style ``display: none`` or
   ``visibility: hidden``, closed ``details`` but for their summary, hidden inputs, and
-  what a style sheet of the page hides by a plain tag, class or id selector
+  what a style sheet of the page hides by a plain tag, class or id selector; of drawings
+  and formulas, definitions, descriptions and annotations
+* text, pictures and inputs of a table row outside its cells come before the table
 * a null page gives an empty text, like a page with nothing visible
 * texts of any length are read whole, in time proportional to their length
 * repeated rows stay; an empty table gives an empty result; columns of the input named
@@ -18,6 +20,7 @@ table cells in columns of equal width.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,7 +32,7 @@ from quillon.llm.common import extended
 #: Classes of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas svg math noembed noframes datalist".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas noembed noframes datalist annotation annotation-xml desc metadata defs symbol".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tr tbody thead tfoot td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 #: An open element that the start of one of these closes.
@@ -52,6 +55,9 @@ CLOSED_BY = {
 FENCE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
 _FENCE = frozenset(["table", "td", "th", "caption", "button", "object", "template"])
 _TABLE = frozenset(["table", "template"])
+_PARTS = frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"])
+#: The open elements that the start of a tag closes.
+CLOSES = {tag: tuple(o for o, by in CLOSED_BY.items() if tag in by) for tag in frozenset().union(*CLOSED_BY.values())}
 
 #: Tables nested deeper than this come out as lines, not as columns.
 NESTED = 20
@@ -83,10 +89,17 @@ def tree(page: str) -> tuple[Node, str]:
     """The document's root and the text of its style sheets."""
     root, styles = Node("#root", {}), []
     stack, at = [root], 0
+    # where in the stack the open elements of each tag are
+    places: defaultdict[str, list[int]] = defaultdict(list)
 
     def close(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
         del stack[k:]
 
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while m := _TOKEN.match(page, at):
         token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
@@ -105,17 +118,10 @@ def tree(page: str) -> tuple[Node, str]:
                     break
             continue
         # implied ends: innermost first, as far as a fence
-        again = True
-        while again:
-            again = False
-            for k in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                open_ = stack[k].tag
-                if tag in CLOSED_BY.get(open_, ()):
-                    close(k)
-                    again = True
-                    break
-                if open_ in FENCE.get(tag, _FENCE if tag not in ("td", "th", "tr", "tbody", "thead", "tfoot") else _TABLE):
-                    break
+        while tag in CLOSES and (k := nearest(CLOSES[tag])):
+            if k < nearest(FENCE.get(tag, _TABLE if tag in _PARTS else _FENCE)):
+                break
+            close(k)
         node = Node(tag, attributes_of(token) if len(token) > len(name[0]) + 1 else {})
         stack[-1].children.append(node)
         if tag in RAW:
@@ -126,6 +132,7 @@ def tree(page: str) -> tuple[Node, str]:
             elif tag in ("textarea", "title"):
                 node.children.append(body)
         elif tag not in VOID and not token.endswith("/>"):
+            places[tag].append(len(stack))
             stack.append(node)
     return root, "\n".join(styles)
 
@@ -269,7 +276,9 @@ def table(node: Node, hidden: frozenset[str], depth: int) -> list[str]:
                 caption.append(_cell(child, hidden, depth))
         elif visible(child, hidden):
             if child.tag == "tr":
-                rows.append([(_cell(c, hidden, depth), c.attributes.get("colspan", "1")) for c in child.children if isinstance(c, Node) and visible(c, hidden)])
+                bare = [isinstance(c, str) or c.tag in ("img", "input") for c in child.children]
+                caption += [_cell(c, hidden, depth) for c, b in zip(child.children, bare, strict=True) if b]
+                rows.append([(_cell(c, hidden, depth), c.attributes.get("colspan", "1")) for c, b in zip(child.children, bare, strict=True) if not b and visible(c, hidden)])
             elif child.tag in ("tbody", "thead", "tfoot"):
                 work.append(iter(child.children))
             elif child.tag in ("td", "th"):
@@ -301,7 +310,7 @@ def table(node: Node, hidden: frozenset[str], depth: int) -> list[str]:
 def _cell(node: Node | str, hidden: frozenset[str], depth: int) -> str:
     inner = Page(hidden, depth)
     wrap = Node("span", {})
-    wrap.children = [node] if isinstance(node, str) else node.children
+    wrap.children = [node] if isinstance(node, str) or node.tag in ("img", "input") else node.children
     render(wrap, inner)
     return _SPACE.sub(" ", str(inner)).strip()
 

@@ -326,6 +326,13 @@ def test_html(page, text):
     assert html_text.text_of(page) == text
 
 
+def test_html_shows_all_that_is_visible():
+    assert html_text.text_of("<table><tr>x<td>a</td>y<td>b</td><img alt=p><input value=q></table>") == "x\ny\np\nq\na | b"
+    assert html_text.text_of("<p><math><mi>n</mi><annotation>no</annotation></math> <svg><desc>no</desc><text>s</text></svg>") == "n s"
+    assert html_text.text_of("<ul><li>a" + "<b>" * 100 + "<li>b</ul>") == "- a\n- b"
+    assert html_text.text_of("<table><tr><td>a" + "<font>" * 100 + "<td>b</table>") == "a | b"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "<p>é", "y"), (2, "<p>é", "y"), (3, "<div>" * 30_000 + "deep", "z"), (4, "<table><tr><td>" * 60 + "in", "q")], "page_id long, html string, text string")
     rows = html_text.extract(pages).collect()

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructType
 
+#: Open scopes of ``scratch``, innermost last: the folders that each has to delete.
+_SCOPES: list[list[tuple[str, DataFrame]]] = []
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +21,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is set.
+    Where it is unset, a temporary folder is set if driver and executors are one process;
+    a cluster has to name one.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        sc.setCheckpointDir(found)
-    elif sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
@@ -31,12 +38,37 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again.
 
-    This cuts the lineage: a lost executor costs a reread, never a recomputation.
+    This cuts the lineage: a lost executor costs a reread, never a recomputation.  Inside
+    ``scratch`` the folder goes when the scope ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append((path, out))
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes at its end what ``materialise`` wrote inside, but for the tables that were
+    appended to the yielded list; the scope around it takes those over."""
+    kept: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield kept
+    finally:
+        for path, df in _SCOPES.pop():
+            if not any(df is k for k in kept):
+                delete(df.sparkSession, path)
+            elif _SCOPES:
+                _SCOPES[-1].append((path, df))
 
 
 def extended(schema: StructType, more: str) -> StructType:

@@ -1,18 +1,19 @@
-"""Documents of a word-shingle similarity of 0.8 or more: wide SimHash first, then an exact join.
-
-Equal sets of shingles are one class from the start.  Two paths link the others, always by the
-exact similarity of their sets:
-
-* at a similarity of 0.8 about 15 % of SimHash bits differ, more than one fingerprint of 64 bits
-  can prove.  So every set of distinct shingles gets ``WORDS`` fingerprints, from as many mixes
-  of the shingle hashes; each is cut into segments, decoded to nearby Golay codewords and gives
-  the keys of ``near_dup.keys``.  A key's members are compared with one member of it.  This
-  joins most large groups early; what it misses, the second path finds
-* shingles have one global order, common ones last.  Sets with a certain overlap share one of
-  their first shingles in any such order (prefix filter), so the sets that share one, whose
-  sizes and positions allow the similarity and that aren't joined yet are all compared
-
-No link is wrong and none is missed.
+"""Documents of a word-shingle similarity of 0.8 or more: SimHash and Golay keys, then the rest.
+
+Equal texts are one node from the start.  Links come by two ways, always by the exact
+similarity of the sets of shingles:
+
+* the near ones by operator 5: SimHash fingerprints of 64 bits, keys of Golay codewords
+  (``near_dup.keys``).  Each node is tried against a member of its keys.  At a similarity of
+  0.8 about 15 % of the bits differ, more than any such key can prove, so these keys find
+  nearly all pairs above 0.95, but few at the threshold
+* the others by shingles in one global order, rare ones first.  Of two sets similar enough,
+  a common shingle is among the first of each.  The smaller set needs only the first
+  n - 2s/(1+s) n (s the similarity), the larger the first n - s n, so a pair is a candidate
+  where the one's short prefix meets the other's long one, and the places left for common
+  shingles suffice
+
+No link is wrong and none is missed, but for collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,218 +25,181 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise
-from quillon.llm.near_dup import SEED, contract, keys
+from quillon.llm.common import materialise, scratch
+from quillon.llm.near_dup import contract, keyed, mixed, sampled, shared, shingle_hashes, simhash, stars
 
-#: Fingerprints of 64 bits for each set.
-WORDS = 5
-#: The first path tries sets that differ in at most so many bits of the first fingerprint, and of
-#: all of them; both are three standard deviations above the mean at a similarity of 0.8.  What
-#: they turn away is left to the second path.
-FIRST_BITS, ALL_BITS = 19, 68
-ROUNDS = 2
+#: Most rounds of comparisons with one member of a key; they end once little is joined.
+ROUNDS = 6
 #: Common shingles come last in the global order: those that at least ``COMMON`` of one in
-#: ``SAMPLE`` sets have, the ``MOST`` commonest.  Any order gives the same links.
-SAMPLE, COMMON, MOST = 16, 4, 1 << 18
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 18
-#: The bits of every byte, lowest first.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+#: ``SETS`` sets have, the ``MOST`` commonest.  Any order gives the same links.
+SETS, COMMON, MOST = 16, 4, 1 << 18
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's word shingles, sorted; fewer words are one shingle."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    line, hash_ = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([hash_(line, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: 1 - shingle or None].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((hash_(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1))
-
-
-def mix(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A bijection of 64-bit numbers for each ``k``; the identity for 0."""
-    if k == 0:
-        return hashes
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def digest(found: np.ndarray) -> int:
-    """64 bits that equal sets share, as two's complement."""
-    return int(mix(found, 1 << 20).sum(dtype=np.uint64).view(np.int64))
-
-
-def simhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """The ``WORDS`` fingerprints of every set: a bit is 1 if it is set in over half the hashes."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    base = np.repeat(np.arange(len(sets)) * 256, sizes)
-    hashes = np.concatenate(sets)
-    out = np.zeros((len(sets), WORDS), np.uint64)
-    for k in range(WORDS):
-        octets = mix(hashes, k).astype("<u8").view(np.uint8).reshape(-1, 8)
-        for byte in range(8):
-            seen = np.bincount(base + octets[:, byte], minlength=len(sets) * 256).reshape(len(sets), 256)
-            bits = 2 * (seen @ BITS) > sizes[:, None]
-            out[:, k] |= np.packbits(bits, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * byte)
-    return out
-
-
-def sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """Per row ``key``, node (digest of the set of shingles), n (its size), prints (its fingerprints) and shingles."""
-    source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
-
-    def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        prints = simhashes(sets).view(np.int64)
-        offsets = np.arange(len(sets) + 1, dtype=np.int32) * WORDS
-        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
-        nodes = pa.array([digest(s) for s in sets], pa.int64())
-        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-        shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
-        columns = [pa.array(ids, id_type), nodes, pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints.ravel())), shingles]
-        return pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", "prints", "shingles"])
-
-    id_type = None
+    """The distinct hashes of a text's word shingles, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
-        for batch in batches:
-            id_type = batch.schema.field("__key").type
-            ids, sets, held = [], [], 0
-            for k, t in zip(batch.column("__key").to_pylist(), batch.column("__text"), strict=True):
-                ids.append(k)
-                sets.append(shingle_set(t.as_py(), shingle))
-                held += len(sets[-1])
-                if held >= BLOCK_SHINGLES or len(sets) == BLOCK_DOCS:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
-            if sets:
-                yield flush(ids, sets)
 
-    return source.mapInArrow(run, f"`{key}` {source.schema['__key'].dataType.simpleString()}, node bigint, n int, prints array<bigint>, shingles array<bigint>")
+def text_node() -> Column:
+    """A text's number; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def shared(keyed: DataFrame) -> DataFrame:
-    """The rows whose key two nodes have."""
-    # one shuffle by key serves both the count and the join
-    keyed = keyed.repartition("key")
-    counts = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    return keyed.join(counts.select("key"), "key")
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of ``texts`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 64) for at in range(0, batch.num_rows, 64)):
+                sets = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def keyed_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, n, first, key): every key of every fingerprint that two nodes share; ``first`` is the first fingerprint."""
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, print) of ``texts``: the number of distinct shingles and their SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
-                own, n = part.column("node").to_numpy(), part.column("n").to_numpy()
-                prints = part.column("prints").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-                first = np.ascontiguousarray(prints[:, 0]).view(np.int64)
-                for k in range(WORDS):
-                    row, key = keys(prints[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(n[row]), pa.array(first[row]), pa.array((key | k << 26).astype(np.int32))], names=["node", "n", "first", "key"])
+            sets = (shingle_set(t.as_py(), shingle) for t in batch.column("text"))
+            found = [(len(s), simhash(s)) for s in sets]
+            n, prints = (np.array([f[k] for f in found], t) for k, t in ((0, np.int64), (1, np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(prints.view(np.int64))], names=["node", "n", "print"])
 
-    return shared(nodes.select("node", "n", "prints").mapInArrow(run, "node bigint, n int, first bigint, key int"))
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, print bigint")
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, and how often a sample of the sets has them."""
-    found = sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").count()
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and how many of a sample of the sets have them."""
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SETS)) == 0)
+    found = sets_of(some, shingle).select(F.explode("shingles").alias("s")).groupBy("s").count()
     found = found.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST).toArrow()
     values, counts = found.column("s").to_numpy(), found.column("count").to_numpy()
     order = np.argsort(values)
     return values[order], counts[order]
 
 
-def prefixes(sets: DataFrame, permille: int) -> DataFrame:
-    """(node, n, key, place, before): the first shingles of every set in the global order, as far as two nodes share them.
+def prefixes(texts: DataFrame, shingle: int, permille: int) -> DataFrame:
+    """(node, key, place): the first shingles of every set in the global order, as far as two nodes share them.
 
-    ``place`` is a shingle's number in the set's order and ``before`` the shingle in front of it.
-    Of sets of a similarity of ``permille``, each has one of the common shingles in its prefix.
+    ``place`` holds the set's size, the shingle's number in its order and whether it is of
+    the short prefix: n << 32 | number << 1 | short.  A set without a shingle has the key 0.
     """
-    values, counts = common_shingles(sets)
+    values, counts = common_shingles(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                own = part.column("node").to_numpy()
-                n = part.column("shingles").value_lengths().to_numpy().astype(np.int64)
-                every = part.column("shingles").flatten().to_numpy()
+            for t_at in range(0, batch.num_rows, 256):
+                part = batch.slice(t_at, 256)
+                sets = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
+                sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+                own, n = part.column("node").to_numpy(), np.fromiter(map(len, sets), np.int64, len(sets))
+                every = np.concatenate(sets).view(np.int64)
                 row = np.repeat(np.arange(len(n)), n)
                 rank = np.zeros(len(every), np.int64)
                 if len(values):
                     at = np.minimum(np.searchsorted(values, every), len(values) - 1)
                     rank = np.where(values[at] == every, counts[at], 0)
                 every = every[np.lexsort((every, rank, row))]
-                place = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
-                least = -(-n * permille // 1000)  # of a similar set's shingles, so many are common at least
-                keep = np.flatnonzero(place <= (n - least)[row])
-                before = pa.array(every[keep - 1], mask=place[keep] == 0)
-                columns = [pa.array(own[row[keep]]), pa.array(n[row[keep]].astype(np.int32)), pa.array(every[keep]), pa.array(place[keep].astype(np.int32)), before]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "key", "place", "before"])
-
-    return shared(sets.mapInArrow(run, "node bigint, n int, key bigint, place int, before bigint"))
-
+                number = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+                long, short = (n - -(-n * of // to) for of, to in ((permille, 1000), (2 * permille, 1000 + permille)))
+                keep = np.flatnonzero(number <= long[row])
+                row, number = row[keep], number[keep]
+                place = n[row] << 32 | number << 1 | (number <= short[row])
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(every[keep]), pa.array(place)], names=["node", "key", "place"])
 
-def _differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    every = lambda t: t.select("node", "text").mapInArrow(run, "node bigint, key bigint, place bigint")
+    return shared(every(texts), every(sampled(texts, "node")), "node", F.col("place") % 2 == 1)
 
 
-def sizes_allow(a: Column, b: Column, permille: int) -> Column:
-    return F.least(a, b) * 1000 >= F.greatest(a, b) * permille
+def size(place: Column) -> Column:
+    return F.shiftright(place, 32)
 
 
-def overlap(a: Column, b: Column, permille: int) -> Column:
-    """The least number of common shingles of similar sets of these sizes."""
-    return F.ceil((a + b) * permille / (1000 + permille))
+def fits(a: Column, b: Column, permille: int) -> Column:
+    """Whether sets that meet at these places, ``a`` in its short prefix and not the larger,
+    can have enough shingles in common from there on."""
+    number = lambda p: F.shiftright(p.bitwiseAND((1 << 32) - 1), 1)
+    na, nb = size(a), size(b)
+    least = F.ceil((na + nb) * permille / (1000 + permille))
+    return (a % 2 == 1) & (na <= nb) & (na * 1000 >= nb * permille) & (F.least(na - number(a), nb - number(b)) >= least)
 
 
-def hopeful(pairs: DataFrame, keyed: DataFrame, permille: int) -> DataFrame:
-    """The pairs whose prefixes have enough in common.
-
-    Of the prefix that ends first in the global order, all but n - overlap shingles are in the
-    other set, and so in its prefix; shingles that no other set has aren't in ``keyed``.
-    """
-    lists = keyed.groupBy("node").agg(F.any_value("n").alias("n"), F.collect_set("key").alias("p"))
-    for end in ("a", "b"):
-        pairs = pairs.join(lists.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("p").alias(f"p{end}")), end)
-    least = F.ceil(F.greatest("na", "nb") * permille / 1000)
-    return pairs.filter(F.size(F.array_intersect("pa", "pb")) > overlap(F.col("na"), F.col("nb"), permille) - least)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, permille: int) -> DataFrame:
     """The pairs (a, b, ra, rb) of nodes whose sets are similar enough, as links (a, b) of their roots."""
-    pairs = materialise(pairs.select("a", "b", "ra", "rb"), "candidates")
+    pairs = materialise(pairs.select("a", "b", "ra", "rb").distinct(), "candidates")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(sets.join(ends, "node", "left_semi"), "sets")
+    sets = materialise(sets_of(texts.join(ends, "node", "left_semi"), shingle), "sets")
     for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")), end)
+        pairs = pairs.join(sets.toDF(end, f"s{end}"), end)
     pairs = pairs.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    # both as whole numbers, so that a similarity of exactly the threshold links
+    # in whole numbers, so that a similarity of exactly the threshold links; no shingles are alike
     alike = F.col("common") * 1000 >= (F.size("sa") + F.size("sb") - F.col("common")) * permille
-    links = pairs.filter(alike).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
-    return materialise(links.filter("a != b").distinct(), "links")
+    return materialise(pairs.filter(alike).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "similar")
+
+
+def linked(texts: DataFrame, shingle: int, permille: int) -> DataFrame:
+    """(node, root) of ``texts`` (node, text), distinct: the smallest node that links reach."""
+    ends = [F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("ra"), F.col("m.root").alias("rb")]
+    nodes = materialise(sketches(texts, shingle), "sketches")
+    roots = nodes.select("node", F.col("node").alias("root"))
+    # sets with equal fingerprints have the same keys, which may be only theirs
+    one = nodes.groupBy("print").agg(F.min("node").alias("node"), F.count("*").alias("copies"))
+    held = keyed(one.select("print")).join(nodes, "print")
+    equal = nodes.join(one.filter("copies > 1").select("print"), "print", "left_semi").withColumn("key", F.col("print").bitwiseOR(F.lit(-(1 << 63))))
+    held = materialise(held.select("node", "n", "print", "key").unionAll(equal.select("node", "n", "print", "key")), "keyed")
+    for k in range(2):
+        pairs = stars(held.join(roots, "node") if k else held.withColumn("root", F.col("node")), k, "n", "print")
+        pairs = pairs.filter(F.least("n", "m.n") * 1000 >= F.greatest("n", "m.n") * permille)
+        # every node is tried against the closest of its keys' members
+        bits = F.bit_count(F.col("print").bitwiseXOR(F.col("m.print")))
+        best = pairs.groupBy("node").agg(F.min_by(F.struct("root", "m"), F.struct(bits, "m.node")).alias("p")).select("node", "p.root", "p.m")
+        links = verified(best.select(*ends), texts, shingle, permille)
+        if links.isEmpty():
+            break
+        roots = contract(roots, links)
+    held = materialise(prefixes(texts, shingle, permille), "prefixes")
+    for k in range(ROUNDS):
+        rows = mixed(held.join(roots, "node")).drop("stranger")
+        pairs = stars(rows, k, "place").filter(fits(F.col("place"), F.col("m.place"), permille) | fits(F.col("m.place"), F.col("place"), permille))
+        # every node is tried against the member that most of its keys have
+        best = pairs.groupBy(*ends).count().groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), F.struct("count", "b")).alias("p"), F.count("*").alias("n")).select("a", "p.*")
+        links = verified(best, texts, shingle, permille)
+        if links.isEmpty():
+            break
+        roots = contract(roots, links)
+    # all that share a key and aren't joined yet
+    rows = materialise(mixed(held.join(roots, "node")), "mixed")
+    other = rows.toDF(*(f"{c}2" if c != "key" else c for c in rows.columns))
+    pairs = rows.filter("stranger").join(other, "key").filter((F.col("root") != F.col("root2")) & (fits(F.col("place"), F.col("place2"), permille) | fits(F.col("place2"), F.col("place"), permille)))
+    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("root", "root2").alias("ra"), F.greatest("root", "root2").alias("rb"))
+    links = verified(pairs, texts, shingle, permille)
+    return roots if links.isEmpty() else contract(roots, links)
 
 
-def unjoined(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """``keyed`` with roots; keys of one component are done."""
-    held = keyed.join(roots, "node")
-    mixed = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    return held.join(mixed.select("key"), "key")
+def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, text, node) of the rows with a key, and (node, least key) of the distinct texts."""
+    rows = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")).filter(F.col("key").isNotNull())
+    rows = rows.withColumn("node", text_node())
+    return rows, rows.groupBy("node").agg(F.min("key").alias("least"))
 
 
-def middles(held: DataFrame, k: int, *more: str) -> DataFrame:
-    """Per row the key's first member by a hash that changes with the round ``k``, as ``m``, of another component."""
-    middle = held.groupBy("key").agg(F.min_by(F.struct("node", "root", "n", *more), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m"))
-    return held.join(middle, "key").filter(F.col("root") != F.col("m.root"))
+def _roots(docs: DataFrame, shingle: int, similarity: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(node, least, root) of the distinct texts, and the rows (key, text, node)."""
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("the prefixes are meant for similarities of 0.8 or more")
+    with scratch() as kept:
+        rows, nodes = numbered(docs, key, text)
+        nodes = materialise(nodes, "nodes")
+        # one row of each text; equal texts may have the same key
+        texts = rows.join(nodes.select("node", F.col("least").alias("key")), ["node", "key"], "left_semi").select("node", "text").dropDuplicates(["node"])
+        texts = materialise(texts, "texts")
+        out = materialise(nodes.join(linked(texts, shingle, round(similarity * 1000)), "node"), "groups")
+        kept.append(out)
+    return out, rows
 
 
 def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,60 +209,23 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str
     (at least 0.8) or more.  Null texts count as empty; all texts without a word are alike;
     repeated rows stay; an empty table gives an empty result; other columns don't take part.
     """
-    if not 0.8 <= similarity <= 1:
-        raise ValueError("the prefixes are meant for similarities of 0.8 or more")
-    permille = round(similarity * 1000)
-    docs = docs.filter(F.col(key).isNotNull())
-    prints = materialise(sketches(docs, shingle, key, text), "sketches")
-    nodes = materialise(prints.groupBy("node").agg(F.min(key).alias("least"), F.any_value("n").alias("n"), F.any_value("prints").alias("prints")), "nodes")
-    sets = prints.join(nodes.select("node", F.col("least").alias(key)), ["node", key], "left_semi").select("node", "shingles")
-    keyed = materialise(keyed_nodes(nodes), "keyed")
-    roots = nodes.select("node", F.col("node").alias("root"))
-    ends = [F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("ra"), F.col("m.root").alias("rb")]
-    for k in range(ROUNDS):
-        pairs = middles(keyed.join(roots, "node"), k, "first").filter(sizes_allow(F.col("n"), F.col("m.n"), permille))
-        pairs = pairs.select(*ends, _differing(F.col("first"), F.col("m.first")).alias("bits")).filter(F.col("bits") <= FIRST_BITS)
-        # every node is compared with the closest middle
-        pairs = pairs.groupBy("a").agg(F.min_by(F.struct("b", "ra", "rb"), F.struct("bits", "b")).alias("p")).select("a", "p.*")
-        for end in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("prints").alias(f"f{end}")), end)
-        bits = sum((_differing(F.col("fa")[j], F.col("fb")[j]) for j in range(WORDS)), F.lit(0))
-        links = verified(pairs.filter(bits <= ALL_BITS), sets, permille)
-        if links.isEmpty():
-            break
-        roots = contract(roots, links)
-    keyed = materialise(prefixes(sets, permille), "prefixes")
-    for k in range(ROUNDS):
-        # every node is compared with the middle that most of its keys have
-        keyed = materialise(unjoined(keyed, roots), "mixed").drop("root")
-        pairs = middles(keyed.join(roots, "node"), k).filter(sizes_allow(F.col("n"), F.col("m.n"), permille)).groupBy(ends).count()
-        best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), F.struct("count", "b")).alias("p")).select("a", "p.*")
-        links = verified(hopeful(best, keyed, permille), sets, permille)
-        if links.isEmpty():
-            break
-        roots = contract(roots, links)
-    # all that share a key and aren't joined yet; o is the overlap that the sizes demand, and
-    # where both have the same shingle in front, the pair is found by that one
-    held = materialise(unjoined(keyed, roots), "mixed")
-    other = held.withColumnsRenamed({"node": "node2", "root": "root2", "n": "n2", "place": "place2", "before": "before2"})
-    o = overlap(F.col("n"), F.col("n2"), permille)
-    pairs = held.join(other, "key").filter((F.col("root") < F.col("root2")) & sizes_allow(F.col("n"), F.col("n2"), permille))
-    pairs = pairs.filter((F.col("place") <= F.col("n") - o) & (F.col("place2") <= F.col("n2") - o) & F.coalesce(F.col("before") != F.col("before2"), F.lit(True)))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("root").alias("ra"), F.col("root2").alias("rb")).distinct()
-    links = verified(hopeful(pairs, held, permille), sets, permille)
-    if not links.isEmpty():
-        roots = contract(roots, links)
-    ids = roots.join(nodes.select("node", "least"), "node")
-    ids = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    # one row for each distinct set; a frequent one is split by adaptive execution
-    return prints.join(ids, "node").select(key, "component_id")
+    found, rows = _roots(docs, shingle, similarity, key, text)
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a frequent root or text is split by adaptive execution
+    ids = materialise(found.join(materialise(least, "least"), "root").select("node", "component_id"), "ids")
+    return rows.join(ids, "node").select(F.col("key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first (by ``key``) of their group, all columns.
+    """The rows of ``docs`` that are the first (by ``key``, then by the text's hash) of their group, all columns.
 
-    Of rows with the same ``key`` (repeated rows) one stays; rows without a key all stay.
+    Of rows with the same ``key`` and text one stays; different texts with one ``key`` are
+    different documents; rows without a key all stay.  Nulls and empty tables as in ``groups``.
     """
-    found = groups(docs, shingle, similarity, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    first = docs.join(found, docs[key] == found["__kept"], "left_semi").dropDuplicates([key])
-    return first.unionAll(docs.filter(F.col(key).isNull()))
+    found, _ = _roots(docs, shingle, similarity, key, text)
+    # the least of a group comes by an aggregate, so that no group is one task's
+    first = found.groupBy("root").agg(F.min(F.struct("least", "node")).alias("f")).select(F.col("f.least").alias("__least"), F.col("f.node").alias("__first"))
+    first = materialise(first, "kept")
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    rows = rows.join(first, (F.col("__node") == F.col("__first")) & (F.col(f"`{key}`") == F.col("__least")), "left_semi").dropDuplicates(["__node", key])
+    return rows.drop("__node").unionAll(docs.filter(F.col(f"`{key}`").isNull()))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructType
 
 #: Open scopes of ``scratch``, innermost last: the folders that each has to delete.
-_SCOPES: list[list[tuple[str, DataFrame]]] = []
+_SCOPES: list[list[DataFrame]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +45,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
     if _SCOPES:
-        _SCOPES[-1].append((path, out))
+        _SCOPES[-1].append(out)
     return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(df: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for ``df``."""
+    sc = df.sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextmanager
@@ -64,11 +67,11 @@ def scratch() -> Iterator[list[DataFrame]]:
     try:
         yield kept
     finally:
-        for path, df in _SCOPES.pop():
+        for df in _SCOPES.pop():
             if not any(df is k for k in kept):
-                delete(df.sparkSession, path)
+                discard(df)
             elif _SCOPES:
-                _SCOPES[-1].append((path, df))
+                _SCOPES[-1].append(df)
 
 
 def extended(schema: StructType, more: str) -> StructType:

@@ -47,6 +47,8 @@ ROUNDS = 3
 #: Keys that many fingerprints have are looked for among one of so many, and at most so many
 #: are told to all tasks.  This only spreads the work; no result depends on it.
 SAMPLE, HOT = 64, 4096
+#: Fingerprints in a task that makes their keys.
+PRINTS = 20_000
 
 
 @cache
@@ -154,7 +156,9 @@ def keyed(nodes: DataFrame) -> DataFrame:
                 row, key = keys(own.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(key)], names=["print", "key"])
 
-    every = lambda prints: prints.select("print").mapInArrow(run, "print bigint, key bigint")
+    # a row becomes over a hundred, so the few bytes of a node are dealt to many tasks first
+    nodes = nodes.select("print").repartition(max(1, -(-nodes.count() // PRINTS)))
+    every = lambda prints: prints.mapInArrow(run, "print bigint, key bigint")
     return shared(every(nodes), every(sampled(nodes, "print")), "print")
 
 

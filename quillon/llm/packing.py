@@ -5,8 +5,9 @@ with the reachable sums as bits of one integer, finds the fullest combination th
 beside it, and these pieces are removed.  What a bin needs to know of the pieces is only
 how many there are of each length, so the bins are planned on a table of at most
 ``size`` counts, however many rows there are, and equal bins in a row are planned as one
-pattern.  Spark numbers the pieces within each length and every piece looks up its place:
-no row passes through the driver, and no length's rows through one task.
+pattern.  Spark numbers the pieces within each length, in groups of a bounded size, and
+every piece looks up its place: no row passes through the driver, and no length's rows
+through one task.
 
 * null texts count as empty, a document always has its end token, so every row of the
   input has at least one piece
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from quillon.llm.bpe import ids_of
 from quillon.llm.common import extended, materialise
 
-#: Groups into which the pieces of one length are dealt for numbering.
-SALTS = 64
+#: Pieces of one length that are numbered in one group.
+GROUP = 100_000
 
 
 def pieces(docs: DataFrame, path: str, size: int = 1024, eos: int = 2, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -124,36 +125,46 @@ def _places(patterns: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
 def pack(cut: DataFrame, size: int = 1024, key: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to the rows of ``pieces``.
 
-    The cut pieces are written to the shared folder first, as they are read twice: for
-    the counts of each length and to be placed.
+    The cut pieces are written to the shared folder first, as they are read again: for the
+    counts of each length and to be placed.  With them goes a number that deals the pieces
+    of one length to groups of about ``GROUP``, also where rows are equal.  Full pieces need
+    no number of their own: each is a sequence.
     """
-    cut = materialise(cut, "pieces")
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int")
-    salted = cut.withColumn("__salt", salt)
-    # at most size * SALTS rows
+    cut = materialise(cut.withColumn("__deal", F.monotonically_increasing_id()), "pieces")
+    names = [c for c in cut.columns if c != "__deal"]
+    part = cut.filter(F.col("length") < size)
+    sizes = {r[0]: r[1] for r in part.groupBy("length").count().collect()}  # a row for each length
+    groups = np.array([1 + sizes.get(n, 0) // GROUP for n in range(size)], np.int64)
+    often = {n: int(k) for n, k in enumerate(groups) if k > 1}
+    n_groups = F.coalesce(F.create_map(*(F.lit(x) for kv in often.items() for x in kv))[F.col("length")], F.lit(1)) if often else F.lit(1)
+    salted = part.withColumn("__salt", F.pmod(F.xxhash64("__deal"), n_groups).cast("int"))
+    # a row for each length and for every GROUP pieces
     found = sorted(tuple(r) for r in salted.groupBy("length", "__salt").count().collect())
-    counts: dict[int, int] = {}
-    first = np.zeros((size + 1, SALTS), np.int64)
+    base, counts = np.concatenate(([0], np.cumsum(groups))), {}
+    first = np.zeros(base[-1], np.int64)
     for n, s, k in found:
-        first[n, s] = counts.get(n, 0)
+        first[base[n] + s] = counts.get(n, 0)
         counts[n] = counts.get(n, 0) + k
-    places = _places(plan(counts, size))
+    patterns = plan(counts, size)
+    places = _places(patterns)
 
-    names = cut.columns
-    order = Window.partitionBy("length", "__salt").orderBy(key, "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "__salt").orderBy("__deal")
     numbered = salted.withColumn("__number", F.row_number().over(order) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()
-            number = batch.column("__number").to_numpy() + first[length, batch.column("__salt").to_numpy()]
+            number = batch.column("__number").to_numpy() + first[base[length] + batch.column("__salt").to_numpy()]
             sequence, offset = np.empty_like(length), np.empty_like(length)
             for n in np.unique(length):
                 at, table = length == n, places[n]
-                begin, base, k, shift = table[np.searchsorted(table[:, 0], number[at], "right") - 1].T
-                sequence[at] = base + (number[at] - begin) // k
+                begin, start, k, shift = table[np.searchsorted(table[:, 0], number[at], "right") - 1].T
+                sequence[at] = start + (number[at] - begin) // k
                 offset[at] = shift + (number[at] - begin) % k * n
             keep = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, extended(cut.schema, "sequence_id bigint, offset bigint"))
+    placed = numbered.mapInArrow(place, extended(cut.select(*names).schema, "sequence_id bigint, offset bigint"))
+    full = cut.filter(F.col("length") == size)
+    taken = sum(times for times, _ in patterns)
+    return placed.unionAll(full.select(*names, (F.lit(taken) + F.col("__deal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))

@@ -13,6 +13,9 @@ similarity of the sets of shingles:
   where the one's short prefix meets the other's long one, and the places left for common
   shingles suffice
 
+Before a pair's sets are compared, counts of their shingles in some hundred buckets bound what
+they can have in common, so few whole sets are moved for nothing.
+
 No link is wrong and none is missed, but for collisions of 64-bit hashes.
 """
 
@@ -29,7 +32,7 @@ from quillon.llm.common import materialise, scratch
 from quillon.llm.near_dup import contract, keyed, mixed, sampled, shared, shingle_hashes, simhash, stars
 
 #: Most rounds of comparisons with one member of a key; they end once little is joined.
-ROUNDS = 6
+ROUNDS = 3
 #: Common shingles come last in the global order: those that at least ``COMMON`` of one in
 #: ``SETS`` sets have, the ``MOST`` commonest.  Any order gives the same links.
 SETS, COMMON, MOST = 16, 4, 1 << 18
@@ -59,17 +62,48 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def bucketed(found: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each bucket, by their low bits, at most 255; there is about a bucket for two."""
+    n = max(64, 1 << (len(found) // 2).bit_length())
+    return np.minimum(np.bincount((found & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> int | None:
+    """What two sets have in common at most; None where a bucket is full and so tells nothing."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    if max(x.max(), y.max()) == 255:
+        return None
+    n = min(len(x), len(y))
+    return int(np.minimum(*(s.reshape(-1, n).sum(axis=0, dtype=np.int64) for s in (x, y))).sum())
+
+
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, print) of ``texts``: the number of distinct shingles and their SimHash."""
+    """(node, n, print, buckets) of ``texts``: the number of distinct shingles, their SimHash and ``bucketed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingle_set(t.as_py(), shingle) for t in batch.column("text"))
-            found = [(len(s), simhash(s)) for s in sets]
+            found = [(len(s), simhash(s), bucketed(s)) for s in sets]
             n, prints = (np.array([f[k] for f in found], t) for k, t in ((0, np.int64), (1, np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(prints.view(np.int64))], names=["node", "n", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(prints.view(np.int64)), pa.array([f[2] for f in found], pa.binary())], names=["node", "n", "print", "buckets"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, print bigint, buckets binary")
+
+
+def hopeful(pairs: DataFrame, nodes: DataFrame, permille: int) -> DataFrame:
+    """The pairs (a, b, ra, rb) whose buckets allow the similarity."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    some = materialise(nodes.join(ends, "node", "left_semi").select("node", "n", "buckets"), "buckets")
+    for end in ("a", "b"):
+        pairs = pairs.join(some.toDF(end, f"n{end}", f"s{end}"), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")]
+            keep = [(c := most_common(x, y)) is None or c * (1000 + permille) >= (m + n) * permille for x, y, m, n in zip(*columns, strict=True)]
+            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(keep, pa.bool_()))
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, print bigint")
+    return pairs.mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint")
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +162,10 @@ def fits(a: Column, b: Column, permille: int) -> Column:
     return (a % 2 == 1) & (na <= nb) & (na * 1000 >= nb * permille) & (F.least(na - number(a), nb - number(b)) >= least)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, permille: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, permille: int) -> DataFrame:
     """The pairs (a, b, ra, rb) of nodes whose sets are similar enough, as links (a, b) of their roots."""
     pairs = materialise(pairs.select("a", "b", "ra", "rb").distinct(), "candidates")
+    pairs = materialise(hopeful(pairs, nodes, permille), "hopeful")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = materialise(sets_of(texts.join(ends, "node", "left_semi"), shingle), "sets")
     for end in ("a", "b"):
@@ -157,7 +192,7 @@ def linked(texts: DataFrame, shingle: int, permille: int) -> DataFrame:
         # every node is tried against the closest of its keys' members
         bits = F.bit_count(F.col("print").bitwiseXOR(F.col("m.print")))
         best = pairs.groupBy("node").agg(F.min_by(F.struct("root", "m"), F.struct(bits, "m.node")).alias("p")).select("node", "p.root", "p.m")
-        links = verified(best.select(*ends), texts, shingle, permille)
+        links = verified(best.select(*ends), nodes, texts, shingle, permille)
         if links.isEmpty():
             break
         roots = contract(roots, links)
@@ -167,7 +202,7 @@ def linked(texts: DataFrame, shingle: int, permille: int) -> DataFrame:
         pairs = stars(rows, k, "place").filter(fits(F.col("place"), F.col("m.place"), permille) | fits(F.col("m.place"), F.col("place"), permille))
         # every node is tried against the member that most of its keys have
         best = pairs.groupBy(*ends).count().groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), F.struct("count", "b")).alias("p"), F.count("*").alias("n")).select("a", "p.*")
-        links = verified(best, texts, shingle, permille)
+        links = verified(best, nodes, texts, shingle, permille)
         if links.isEmpty():
             break
         roots = contract(roots, links)
@@ -176,7 +211,7 @@ def linked(texts: DataFrame, shingle: int, permille: int) -> DataFrame:
     other = rows.toDF(*(f"{c}2" if c != "key" else c for c in rows.columns))
     pairs = rows.filter("stranger").join(other, "key").filter((F.col("root") != F.col("root2")) & (fits(F.col("place"), F.col("place2"), permille) | fits(F.col("place2"), F.col("place"), permille)))
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("root", "root2").alias("ra"), F.greatest("root", "root2").alias("rb"))
-    links = verified(pairs, texts, shingle, permille)
+    links = verified(pairs, nodes, texts, shingle, permille)
     return roots if links.isEmpty() else contract(roots, links)
 
 

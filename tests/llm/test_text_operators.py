@@ -185,6 +185,19 @@ def test_no_similar_pair_is_missed(spark):
     assert found == brute_groups(rows, 0.8)
 
 
+def test_buckets_bound_what_sets_share():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, 900))) for _ in range(2))
+        most = similar.most_common(similar.bucketed(a), similar.bucketed(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+    same = np.arange(300, dtype=np.uint64) << np.uint64(20)
+    assert similar.most_common(similar.bucketed(same), similar.bucketed(same)) is None
+
+
 def test_chains_are_followed(spark):
     """Fingerprints in a chain, each four bits from the next, in shuffled order."""
     chain, x = [], 0

@@ -230,10 +230,10 @@ def mixed(held: DataFrame) -> DataFrame:
     return held.join(major, "key").withColumn("stranger", F.col("root") != F.col("major")).drop("major")
 
 
-def stars(held: DataFrame, k: int, *more: str) -> DataFrame:
+def stars(held: DataFrame, k: int, *more: str, first: tuple[Column, ...] = ()) -> DataFrame:
     """Rows (key, node, root, ...) with the key's member ``m`` (node, root, ...), the first by
-    a hash that changes with the round ``k``, where it is of another component."""
-    middle = held.groupBy("key").agg(F.min_by(F.struct("node", "root", *more), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m"))
+    ``first`` and a hash that changes with the round ``k``, where it is of another component."""
+    middle = held.groupBy("key").agg(F.min_by(F.struct("node", "root", *more), F.struct(*first, F.xxhash64("node", F.lit(k)), "node")).alias("m"))
     return held.join(materialise(middle, "middles"), "key").filter(F.col("root") != F.col("m.root"))
 
 

@@ -13,7 +13,7 @@ similarity of the sets of shingles:
   where the one's short prefix meets the other's long one, and the places left for common
   shingles suffice
 
-Before a pair's sets are compared, counts of their shingles in some hundred buckets bound what
+Before a pair's sets are compared, bitmaps and counts of their shingles by bucket bound what
 they can have in common, so few whole sets are moved for nothing.
 
 No link is wrong and none is missed, but for collisions of 64-bit hashes.
@@ -35,7 +35,9 @@ from quillon.llm.near_dup import contract, keyed, mixed, sampled, shared, shingl
 ROUNDS = 3
 #: Common shingles come last in the global order: those that at least ``COMMON`` of one in
 #: ``SETS`` sets have, the ``MOST`` commonest.  Any order gives the same links.
-SETS, COMMON, MOST = 16, 4, 1 << 18
+SETS, COMMON, MOST = 8, 2, 1 << 19
+#: Bits of a set's bitmap, which bounds what it shares with others.
+BITS = 1024
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -77,17 +79,25 @@ def most_common(a: bytes, b: bytes) -> int | None:
     return int(np.minimum(*(s.reshape(-1, n).sum(axis=0, dtype=np.int64) for s in (x, y))).sum())
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, by words of 64: which of as many buckets the hashes of a set fall into."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(found >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, print, buckets) of ``texts``: the number of distinct shingles, their SimHash and ``bucketed``."""
+    """(node, n, print, bits, buckets) of ``texts``: the number of distinct shingles, their SimHash, ``bitmap`` and ``bucketed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingle_set(t.as_py(), shingle) for t in batch.column("text"))
-            found = [(len(s), simhash(s), bucketed(s)) for s in sets]
+            found = [(len(s), simhash(s), bucketed(s), bitmap(s)) for s in sets]
+            bits = pa.array([f[3] for f in found], pa.list_(pa.int64()))
             n, prints = (np.array([f[k] for f in found], t) for k, t in ((0, np.int64), (1, np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(prints.view(np.int64)), pa.array([f[2] for f in found], pa.binary())], names=["node", "n", "print", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(prints.view(np.int64)), bits, pa.array([f[2] for f in found], pa.binary())], names=["node", "n", "print", "bits", "buckets"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, print bigint, buckets binary")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, print bigint, bits array<bigint>, buckets binary")
 
 
 def hopeful(pairs: DataFrame, nodes: DataFrame, permille: int) -> DataFrame:
@@ -153,12 +163,28 @@ def size(place: Column) -> Column:
     return F.shiftright(place, 32)
 
 
+def number(place: Column) -> Column:
+    return F.shiftright(place.bitwiseAND((1 << 32) - 1), 1)
+
+
+def overlap(na: Column, nb: Column, permille: int) -> Column:
+    """The least number of common shingles of similar sets of these sizes."""
+    return F.ceil((na + nb) * permille / (1000 + permille))
+
+
+def room(na: Column, nb: Column, a: Column, b: Column, permille: int) -> Column:
+    """Whether sets with these bitmaps can be similar: each bucket that only one has is a
+    shingle that the other lacks."""
+    lacks = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(BITS // 64)), F.lit(0))
+    least = overlap(na, nb, permille)
+    return (na - lacks(a, b) >= least) & (nb - lacks(b, a) >= least)
+
+
 def fits(a: Column, b: Column, permille: int) -> Column:
     """Whether sets that meet at these places, ``a`` in its short prefix and not the larger,
     can have enough shingles in common from there on."""
-    number = lambda p: F.shiftright(p.bitwiseAND((1 << 32) - 1), 1)
     na, nb = size(a), size(b)
-    least = F.ceil((na + nb) * permille / (1000 + permille))
+    least = overlap(na, nb, permille)
     return (a % 2 == 1) & (na <= nb) & (na * 1000 >= nb * permille) & (F.least(na - number(a), nb - number(b)) >= least)
 
 
@@ -198,8 +224,11 @@ def linked(texts: DataFrame, shingle: int, permille: int) -> DataFrame:
         roots = contract(roots, links)
     held = materialise(prefixes(texts, shingle, permille), "prefixes")
     for k in range(ROUNDS):
-        rows = mixed(held.join(roots, "node")).drop("stranger")
-        pairs = stars(rows, k, "place").filter(fits(F.col("place"), F.col("m.place"), permille) | fits(F.col("m.place"), F.col("place"), permille))
+        rows = mixed(held.join(roots, "node"))
+        # where the key comes early in its order, a set has little of its own: such members are
+        # similar to most others, first of all, then outside the largest component
+        early = (number(F.col("place")) / size(F.col("place")),)
+        pairs = stars(rows, k, "place", first=(early, (~F.col("stranger"), *early), ())[k % 3]).filter(fits(F.col("place"), F.col("m.place"), permille) | fits(F.col("m.place"), F.col("place"), permille))
         # every node is tried against the member that most of its keys have
         best = pairs.groupBy(*ends).count().groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), F.struct("count", "b")).alias("p"), F.count("*").alias("n")).select("a", "p.*")
         links = verified(best, nodes, texts, shingle, permille)
@@ -207,9 +236,10 @@ def linked(texts: DataFrame, shingle: int, permille: int) -> DataFrame:
             break
         roots = contract(roots, links)
     # all that share a key and aren't joined yet
-    rows = materialise(mixed(held.join(roots, "node")), "mixed")
+    rows = materialise(mixed(held.join(roots, "node")).join(nodes.select("node", "bits"), "node"), "mixed")
     other = rows.toDF(*(f"{c}2" if c != "key" else c for c in rows.columns))
     pairs = rows.filter("stranger").join(other, "key").filter((F.col("root") != F.col("root2")) & (fits(F.col("place"), F.col("place2"), permille) | fits(F.col("place2"), F.col("place"), permille)))
+    pairs = pairs.filter(room(size(F.col("place")), size(F.col("place2")), F.col("bits"), F.col("bits2"), permille))
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("root", "root2").alias("ra"), F.greatest("root", "root2").alias("rb"))
     links = verified(pairs, nodes, texts, shingle, permille)
     return roots if links.isEmpty() else contract(roots, links)

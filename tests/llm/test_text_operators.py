@@ -193,7 +193,10 @@ def test_buckets_bound_what_sets_share():
         pool = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(0, 900))) for _ in range(2))
         most = similar.most_common(similar.bucketed(a), similar.bucketed(b))
-        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+        both = len(np.intersect1d(a, b))
+        assert both <= most <= min(len(a), len(b))
+        x, y = similar.bitmap(a), similar.bitmap(b)
+        assert both <= len(a) - np.bitwise_count(x & ~y).sum() and both <= len(b) - np.bitwise_count(y & ~x).sum()
     same = np.arange(300, dtype=np.uint64) << np.uint64(20)
     assert similar.most_common(similar.bucketed(same), similar.bucketed(same)) is None
 

@@ -1,18 +1,21 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word from both sides, gives every position a probability
-for each language, and a document's probabilities are the mean over its positions.  Its
-state starts anew with every word, so equal words have equal labels: each task labels a
-word once and keeps its sum in a bounded cache (which changes speed, never a result).
-Words longer than ``SPAN`` bytes are read in spans.
+The network reads a document's bytes from both sides, white space included, gives every
+position a probability for each language, and a document's probabilities are the mean over
+its positions.  A document of up to ``WINDOW`` bytes is read in one go.  A longer one is cut
+into windows, and each direction starts ``WARM_UP`` bytes before the window, where the
+document has them; what lies further back has no say in the state any more (a test compares
+this with reading in one go).  Windows of about one length are read together.
 
-The network is trained in numpy by backpropagation through time on the words of a bounded
-sample of labelled documents; all documents are labelled whole.
+The network is trained in numpy by backpropagation through time on pieces of a bounded
+sample of labelled documents, drawn evenly from the languages and from all over the texts;
+all documents are labelled whole.
 
 * a null text, or one without a letter, has language ``und`` and score 0
 * rows without a language, or with a null key, aren't learned from
 * without a row to learn from every document is ``und``
 * repeated rows stay; an empty table gives an empty result; only the named columns take part
+* scores are rounded to six digits, as sums in single precision depend on the batch
 """
 
 from __future__ import annotations
@@ -24,10 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 32
-CACHE_WORDS = 200_000
-#: Documents that are sampled to learn from, and distinct (word, language) of them.
-FIT_DOCS, FIT_WORDS = 2000, 40_000
+from quillon.llm.common import extended
+
+WINDOW, WARM_UP = 2048, 64
+#: Bytes of windows that are read together.
+BLOCK = 1 << 20
+#: Documents that are sampled to learn from.
+FIT_DOCS = 1200
+#: Steps of the training, pieces of a step and their length.
+STEPS, PIECES, LENGTHS = 400, 96, (12, 96)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -37,7 +45,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class BiGru:
     """Weights are in ``p``; sequences of one length make up a batch (rows, positions)."""
 
-    def __init__(self, classes: int, hidden: int = 12, embed: int = 10, seed: int = 7):
+    def __init__(self, classes: int, hidden: int = 8, embed: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         draw = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b)).astype(np.float32)
         self.hidden = hidden
@@ -61,12 +69,34 @@ class BiGru:
             out[t] = h
         return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(positions, rows, classes)."""
-        both = np.concatenate([self._run(x, "f"), self._run(x[:, ::-1], "b")[::-1]], axis=2)
-        logits = both @ self.p["out"] + self.p["out_b"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
+    def probabilities(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """(positions, rows, classes); rows have falling ``lengths``, what follows is not read."""
+        H, T = self.hidden, x.shape[1]
+        out = np.zeros((T, len(x), len(self.p["out_b"])), np.float32)
+        # how many rows reach each position: the first ones
+        active = np.full(T, len(x)) if lengths is None else np.searchsorted(-lengths, -np.arange(T), "left")
+        for d, order in (("f", range(T)), ("b", range(T - 1, -1, -1))):
+            # sigmoid(x) is half of tanh(x / 2), plus a half
+            half = np.array([0.5] * 2 * H + [1] * H, np.float32)
+            table, wh = (np.ascontiguousarray(m * half) for m in (self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"], self.p[f"h{d}"]))
+            w, state = self.p["out"][:H] if d == "f" else self.p["out"][H:], np.zeros((len(x), H), np.float32)
+            for t in order:
+                n = active[t]
+                h, gx = state[:n], table[x[:n, t]]
+                gh = h @ wh
+                gates = np.tanh(gx[:, : 2 * H] + gh[:, : 2 * H])
+                gates += 1
+                gates *= 0.5
+                new = np.tanh(gx[:, 2 * H :] + gates[:, :H] * gh[:, 2 * H :])
+                h -= new
+                h *= gates[:, H:]
+                h += new
+                out[t, :n] += h @ w
+        out += self.p["out_b"]
+        out -= out.max(axis=2, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=2, keepdims=True)
+        return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean weighted cross-entropy over all positions, and its gradients."""
@@ -105,91 +135,62 @@ class BiGru:
         return loss, g
 
 
-def batches(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, bytes) of spans of equal length."""
-    by: dict[int, tuple[list[int], list[bytes]]] = {}
-    for k, w in enumerate(words):
-        for at in range(0, len(w), SPAN):
-            span = w[at : at + SPAN]
-            own, spans = by.setdefault(len(span), ([], []))
-            own.append(k)
-            spans.append(span)
-    for n in sorted(by):
-        own, spans = by[n]
-        data, own = np.frombuffer(b"".join(spans), np.uint8).reshape(-1, n), np.array(own)
-        for at in range(0, len(data), 1024):
-            yield own[at : at + 1024], data[at : at + 1024]
-
-
-def train(examples: list[tuple[bytes, str, int]], epochs: int = 5, seed: int = 7) -> tuple[list[str], BiGru]:
-    """A network from (word, language, count), by Adam over mixed-up batches."""
-    languages = sorted({x[1] for x in examples})
+def train(docs: list[tuple[bytes, str]], seed: int = 7, steps: int = STEPS) -> tuple[list[str], BiGru]:
+    """A network from (text, language), by Adam."""
+    languages = sorted({lang for _, lang in docs})
     net = BiGru(len(languages), seed=seed)
-    index = {lang: k for k, lang in enumerate(languages)}
-    y_all = np.array([index[x[1]] for x in examples])
-    share = np.bincount(y_all, np.log1p([x[2] for x in examples]))
-    w_all = np.log1p([x[2] for x in examples]) / share[y_all]
-    rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
-    parts = [(own[at : at + 256], data[at : at + 256]) for own, data in batches([x[0] for x in examples]) for at in range(0, len(own), 256)]
-    mean = w_all.mean()
-    for epoch in range(epochs):
-        for k in rng.permutation(len(parts)):
-            own, data = parts[k]
-            _, g = net.gradients(data, y_all[own], w_all[own])
-            step, size = step + 1, len(own) * w_all[own].mean() / (256 * mean)
-            rate = 0.01 * min(1, size) * (1 - epoch / epochs)
-            for name, grad in g.items():
-                m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
-                v[name] = 0.99 * v.get(name, 0) + 0.01 * grad * grad
-                net.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
+    # one text of each language, all positions alike
+    joined = [np.frombuffer(b"\n".join(t for t, lang in docs if lang == own), np.uint8) for own in languages]
+    rng, m, v = np.random.default_rng(seed), {}, {}
+    for step in range(1, steps + 1):
+        n = int(rng.integers(*LENGTHS))
+        y = rng.integers(0, len(languages), PIECES)
+        at = [int(rng.integers(0, max(1, len(joined[k]) - n + 1))) for k in y]
+        x = np.stack([np.resize(joined[k][a : a + n], n) for k, a in zip(y, at, strict=True)])
+        _, g = net.gradients(x, y, np.ones(PIECES))
+        rate = 0.01 * (1 - (step - 1) / steps)
+        for name, grad in g.items():
+            m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
+            v[name] = 0.99 * v.get(name, 0) + 0.01 * grad * grad
+            net.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
     return languages, net
 
 
-class Labeller:
-    """Sums of a word's probabilities and labels over its positions, kept by word."""
-
-    def __init__(self, languages: list[str], net: BiGru):
-        self.languages, self.net = languages, net
-        self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((0, 2 * len(languages) + 1), np.float64)
-
-    def learn(self, words: list[bytes]) -> None:
-        C, sums = len(self.languages), np.zeros((len(words), 2 * len(self.languages) + 1))
-        for own, data in batches(words):
-            prob = self.net.probabilities(data)
-            labels = prob.argmax(axis=2)
-            np.add.at(sums[:, :C], own, prob.sum(axis=0))
-            np.add.at(sums[:, C : 2 * C], own, (labels[:, :, None] == np.arange(C)).sum(axis=0))
-            np.add.at(sums[:, 2 * C], own, data.shape[1])
-        base = len(self.sums)
-        self.known.update((w, base + k) for k, w in enumerate(words))
-        self.sums = np.concatenate([self.sums, sums])
-
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Per text the sums over all of its words."""
-        split = [t.split() for t in texts]
-        fresh = {w for ws in split for w in ws if w not in self.known}
-        if fresh and len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known, self.sums = {}, self.sums[:0]
-            fresh = {w for ws in split for w in ws}
-        if fresh:
-            self.learn(sorted(fresh))
-        out = np.zeros((len(texts), self.sums.shape[1]))
-        for k, words in enumerate(split):
-            if words:
-                out[k] = self.sums[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        return out
-
-
-def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", n_docs: int = FIT_DOCS, n_words: int = FIT_WORDS) -> tuple[list[str], BiGru] | None:
-    """Learns from at most ``n_docs`` documents, drawn by a hash of ``key`` of those for which
-    ``learn`` holds, and of these from the ``n_words`` most frequent words."""
-    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+def windows(texts: list[bytes]) -> Iterator[tuple[int, bytes, int, int]]:
+    """(text, bytes with warm-up on both sides, first and last + 1 of the own positions)."""
+    for k, t in enumerate(texts):
+        for at in range(0, len(t), WINDOW):
+            begin, end = max(0, at - WARM_UP), min(len(t), at + WINDOW + WARM_UP)
+            yield k, t[begin:end], at - begin, min(at + WINDOW, len(t)) - begin
+
+
+def pooled(net: BiGru, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the sums of its positions' probabilities and the counts of their labels."""
+    C = len(net.p["out_b"])
+    sums, labels = np.zeros((len(texts), C)), np.zeros((len(texts), C), np.int64)
+    held = sorted(windows(texts), key=lambda w: -len(w[1]))
+    while held:
+        n = max(1, BLOCK // len(held[0][1]))
+        block, held = held[:n], held[n:]
+        lengths = np.array([len(w[1]) for w in block])
+        data = np.zeros((len(block), lengths[0]), np.uint8)
+        data[np.arange(lengths[0]) < lengths[:, None]] = np.frombuffer(b"".join(w[1] for w in block), np.uint8)
+        prob = net.probabilities(data, lengths)
+        best = prob.argmax(axis=2)
+        for row, (k, _, a, b) in enumerate(block):
+            sums[k] += prob[a:b, row].sum(axis=0, dtype=np.float64)
+            labels[k] += np.bincount(best[a:b, row], minlength=C)
+    return sums, labels
+
+
+def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", n_docs: int = FIT_DOCS) -> tuple[list[str], BiGru] | None:
+    """Learns from at most ``n_docs`` documents with a word, drawn by a hash of ``key`` of
+    those for which ``learn`` holds; they are read whole by the driver."""
+    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\S") & F.col(key).isNotNull())
     drawn = rows.select(F.col(key).alias("__key")).distinct().orderBy(F.xxhash64("__key"), "__key").limit(n_docs)
-    rows = rows.join(F.broadcast(drawn), F.col(key) == F.col("__key"), "left_semi")
-    words = rows.select(F.col(lang).alias("lang"), F.explode(F.split(F.col(text), "[ \\t-\\r]+")).alias("word")).filter("word != ''")
-    counts = words.groupBy("word", "lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(n_words).collect()
-    return train([(r[0].encode(), r[1], r[2]) for r in counts]) if counts else None
+    rows = rows.join(F.broadcast(drawn), F.col(key) == F.col("__key"), "left_semi").select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    found = sorted({(r["t"].encode(), r["l"]) for r in rows.collect()})
+    return train(found) if found else None
 
 
 def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -200,24 +201,22 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, text: str =
     source = docs.select(*kept, docs[text].alias("__text"))
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(*model) if model else None
         for batch in arrow:
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
                 texts = [t or "" for t in rows.column("__text").to_pylist()]
                 has = [any(map(str.isalpha, t)) for t in texts]
                 pred, score, positions = ["und"] * len(texts), np.zeros(len(texts)), [[]] * len(texts)
-                if labeller:
-                    C = len(labeller.languages)
-                    sums = labeller.pooled([t.encode() for t in texts])
-                    mean = sums[:, :C] / np.maximum(sums[:, 2 * C :], 1)
+                if model:
+                    languages, net = model
+                    read = [t.encode() for t in texts]
+                    sums, labels = pooled(net, read)
+                    mean = sums / np.maximum([len(t) for t in read], 1)[:, None]
                     best = mean.argmax(axis=1)
-                    pred = [labeller.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
-                    score = np.where(has, mean[np.arange(len(best)), best], 0).clip(0, 1)
-                    positions = [list(zip(labeller.languages, map(int, s), strict=True)) for s in sums[:, C : 2 * C]]
+                    pred = [languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
+                    score = np.where(has, mean[np.arange(len(best)), best], 0).clip(0, 1).round(6)
+                    positions = [list(zip(languages, map(int, s), strict=True)) for s in labels]
                 kind = pa.map_(pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(positions, kind)], names=[*kept, *new])
 
-    from quillon.llm.common import extended
-
     return source.mapInArrow(run, extended(source.drop("__text").schema, "lang_pred string, score double, positions map<string, bigint>"))

@@ -325,11 +325,28 @@ def test_language(spark, odd, none, sf_dir):
     model = language.fit(spark.createDataFrame([(1, "der die das und", "de"), (2, "the and of", "en"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string"), F.lit(True))
     rows = language.identify(odd, model).collect()
     assert len(rows) == len(ODD) and all((r["lang_pred"] == "und") == (not any(map(str.isalpha, r["text"] or ""))) for r in rows)
-    assert all(sum((r["positions"] or {}).values()) == len(b"".join((r["text"] or "").encode().split())) for r in rows)
+    assert all(sum((r["positions"] or {}).values()) == len((r["text"] or "").encode()) for r in rows)
     assert language.fit(none, F.lit(True)) is None
     assert {r["lang_pred"] for r in language.identify(odd, None).collect()} == {"und"}
 
 
+def test_windows_read_as_in_one_go(monkeypatch):
+    """Labels of documents in windows against one pass over each, one document at a time."""
+    import numpy as np
+
+    rng = random.Random(2)
+    own = {"en": "the and of with which they are from", "de": "der und die mit welche sie sind von", "fr": "le et la avec que ils sont dans"}
+    text = lambda lang, n: " ".join(rng.choice(own[lang].split()) for _ in range(n)).encode()
+    languages, net = language.train([(text(lang, 200), lang) for lang in own], steps=120)
+    texts = [text(rng.choice(list(own)), n) for n in (0, 1, 5, 60, 900, 2000)]
+    monkeypatch.setattr(language, "BLOCK", 3000)
+    sums, labels = language.pooled(net, texts)
+    for k, t in enumerate(texts):
+        prob = net.probabilities(np.frombuffer(t, np.uint8)[None, :])[:, 0]
+        assert np.abs(sums[k] - prob.sum(axis=0)).max() < 1e-3 * max(1, len(t)) and labels[k].sum() == len(t)
+        assert np.abs(labels[k] - np.bincount(prob.argmax(axis=1), minlength=3)).max() <= 2
+
+
 def test_toxicity(spark, odd, none, sf_dir):
     found = queries.op6_toxicity(spark, sf_dir).collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)

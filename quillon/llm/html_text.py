@@ -12,7 +12,10 @@ table cells in columns of equal width.
   and formulas, definitions, descriptions and annotations
 * text, pictures and inputs of a table row outside its cells come before the table
 * a null page gives an empty text, like a page with nothing visible
-* texts of any length are read whole, in time proportional to their length
+* texts of any length are read whole, in time proportional to their length; a tag that
+  never ends is text from its ``<`` on
+* a cell spans at most 1000 columns, as HTML has it; tables in more than ``NESTED`` tables
+  come out as lines
 * repeated rows stay; an empty table gives an empty result; columns of the input named
   ``text`` give way
 """
@@ -62,7 +65,8 @@ CLOSES = {tag: tuple(o for o, by in CLOSED_BY.items() if tag in by) for tag in f
 #: Tables nested deeper than this come out as lines, not as columns.
 NESTED = 20
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<[!?][^>]*>?|</?[a-zA-Z]|[^<]+|<", re.S)
+_IN_TAG = re.compile("[>\"']")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -92,6 +96,22 @@ def tree(page: str) -> tuple[Node, str]:
     # where in the stack the open elements of each tag are
     places: defaultdict[str, list[int]] = defaultdict(list)
 
+    # quotes that open inside a tag without an end: each is found out once
+    astray: set[int] = set()
+
+    def tag_end(k: int) -> int:
+        """Where the tag ends whose inside begins at ``k``; 0 if it never does."""
+        seen = []
+        while (m := _IN_TAG.search(page, k)) and m.start() not in astray:
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            k = page.find(m[0], m.end()) + 1
+            if not k:
+                break
+        astray.update(seen)
+        return 0
+
     def close(k: int) -> None:
         for node in stack[k:]:
             places[node.tag].pop()
@@ -100,8 +120,13 @@ def tree(page: str) -> tuple[Node, str]:
     def nearest(tags) -> int:
         return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
+    last = page.rfind(">")
     while m := _TOKEN.match(page, at):
         token, at = m[0], m.end()
+        if token[0] == "<" and token[-1].isalpha() and len(token) < 4:
+            end = tag_end(at) if at <= last else 0
+            start = m.start()
+            token, at = (page[start:end], end) if end else ("<", start + 1)
         if token[0] != "<" or token == "<":
             stack[-1].children.append(token)
             continue
@@ -110,12 +135,9 @@ def tree(page: str) -> tuple[Node, str]:
             continue
         tag = name[1].lower()
         if token[1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in _TABLE and tag not in _TABLE:
-                    break
+            k = nearest((tag,))
+            if k and (tag in _TABLE or k > nearest(_TABLE)):
+                close(k)
             continue
         # implied ends: innermost first, as far as a fence
         while tag in CLOSES and (k := nearest(CLOSES[tag])):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, html_text, language, media, near_dup, packing, quality, toxicity, url_filter, warc
-from quillon.llm.common import read_table, shared_dir
+from quillon.llm.common import read_table, scratch, shared_dir
 
 
 def vocabulary() -> str:
@@ -82,12 +82,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return media.read(stored, tensors=False)
+    # the tensor, as bytes by row, is a column of what the caller writes
+    return media.read(stored, tensors=True).drop("payload")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write(warc.revisits(read_table(spark, sf_dir, "pages")), path)
+    with scratch():
+        warc.write(warc.revisits(read_table(spark, sf_dir, "pages")), path)
     records = warc.resolve(warc.read(spark.read.parquet(path)))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

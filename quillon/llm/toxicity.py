@@ -3,8 +3,9 @@
 Voters are words (a lexicon) and beginnings of words (patterns) that labelled texts put
 forward.  A generative label model takes a text's true class as hidden: expectation
 maximisation estimates how often each voter speaks in either class, with the label as one
-more, fallible voter; correlations that remain within the classes lower the weights of
-voters that repeat each other.  A linear classifier is trained on the model's posterior
+more, fallible voter whose accuracy is estimated too.  Correlations are part of the model: a
+forest joins each voter with the one that tells most of it within the classes, and its rates
+depend on whether that one speaks.  A linear classifier is trained on the model's posterior
 labels and scores every text whole.
 
 * a null text counts as empty; texts without a word get the classifier's bias
@@ -29,14 +30,15 @@ from quillon.llm.common import extended, materialise
 #: Labelled documents that are sampled to learn from; voters; terms of the classifier.
 FIT_DOCS, VOTERS, TERMS = 8000, 256, 1024
 PREFIXES = range(3, 9)
-LABEL_ACCURACY = 0.95
+#: Voters that tell less of each other (in nats) than this count as independent.
+LEAST_INFORMATION = 1e-3
 CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 
 
 def terms(word: str) -> list[str]:
-    return [f"={word[:64]}", *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
+    return [f"={word}", *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
 
 
 def _drawn(docs: DataFrame, labels: DataFrame, learn: Column, key: str, text: str, label: str, n_docs: int) -> DataFrame:
@@ -78,25 +80,53 @@ class Matcher:
         return out
 
 
-def posterior(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(toxic) of each row, P(vote | class) (2, voters) and the voters' weights."""
-    given = np.where(labels, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    from_label = np.log(given / (1 - given))
-    p, weights = given.astype(np.float64), np.ones(votes.shape[1])
+def _tree(votes: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Each voter's parent (-1: none): the forest of pairs that tell most of each other within the classes."""
+    n, info = votes.shape[1], 0.0
+    for w in mass:
+        total = w.sum() + 1
+        one = (w @ votes + 0.5) / total
+        both = (votes.T @ (w[:, None] * votes) + 0.25) / total
+        a, b = one[:, None], one[None, :]
+        cells = ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b)))
+        info = info + w.sum() / mass.sum() * sum(np.maximum(p, 1e-9) * np.log(np.maximum(p, 1e-9) / q) for p, q in cells)
+    parent, best, done = np.full(n, -1), np.full(n, -np.inf), np.zeros(n, bool)
+    for _ in range(n):
+        k = int(np.where(done, -np.inf, best).argmax()) if np.isfinite(best[~done]).any() else int(np.flatnonzero(~done)[0])
+        done[k] = True
+        better = ~done & (info[k] > best) & (info[k] > LEAST_INFORMATION)
+        parent[better], best[better] = k, info[k][better]
+    return parent
+
+
+def posterior(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """P(toxic) of each row, P(vote | class) (2, voters), each voter's parent, and the label's accuracy.
+
+    In the generative model a text has a hidden class; a voter speaks by the class and by
+    whether its parent, the voter it is most correlated with, speaks; the label is one more
+    voter, right with a probability that is estimated like the others'.
+    """
+    n, accuracy = votes.shape[1], 0.9
+    p = np.where(labels, accuracy, 1 - accuracy)
     for _ in range(rounds):
         mass = np.stack([1 - p, p])
+        parent = _tree(votes, mass)
+        with_parent = np.where(parent >= 0, votes[:, parent], 0)
         rates = (mass @ votes + 0.1) / (mass.sum(axis=1, keepdims=True) + 1)
-        rest = votes - (np.outer(1 - p, rates[0]) + np.outer(p, rates[1]))
-        spread = rest.T @ rest
-        scale = np.sqrt(np.diag(spread)) + 1e-9
-        together = np.abs(spread / np.outer(scale, scale))
-        together[together < 0.1] = 0
-        np.fill_diagonal(together, 1)
-        weights = 1 / together.sum(axis=1)
-        says, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        prior = np.log((p.mean() + 1e-6) / (1 - p.mean() + 1e-6))
-        p = 1 / (1 + np.exp(-np.clip(prior + from_label + votes @ (weights * says) + (1 - votes) @ (weights * silent), -30, 30)))
-    return p, rates, weights
+        score = np.full(len(votes), np.log((p.mean() + 1e-6) / (1 - p.mean() + 1e-6)))
+        says = []
+        for w in mass:
+            own = []
+            for beside in (0, 1):
+                there = (with_parent == beside) * w[:, None]
+                own.append(((there * votes).sum(axis=0) + 0.1) / (there.sum(axis=0) + 1))
+            rate = np.where(with_parent == 1, own[1], own[0])
+            says.append(np.where(votes == 1, np.log(rate), np.log(1 - rate)).sum(axis=1))
+        # a voter counts once, however many of its kind there are beside its parent
+        score += (says[1] - says[0]) + np.where(labels, 1, -1) * np.log(accuracy / (1 - accuracy))
+        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        accuracy = float(np.clip(np.where(labels, p, 1 - p).mean(), 0.55, 0.995))
+    return p, rates, parent, accuracy
 
 
 def linear(x: np.ndarray, target: np.ndarray, rounds: int = 300, penalty: float = 2e-4) -> np.ndarray:
@@ -141,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     x = np.zeros((len(found), len(names)), np.float32)
     for k, r in enumerate(found):
         x[k, r[0]] = 1
-    p, _, _ = posterior(x[:, :VOTERS].astype(np.float64), np.array([r[1] for r in found]))
+    p, *_ = posterior(x[:, :VOTERS].astype(np.float64), np.array([r[1] for r in found]))
     return names, linear(x, p)
 
 

@@ -44,7 +44,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col("__url"))
     digest = F.sha2(F.concat("h", "p"), 256)
-    urls = pages.select(F.col(url).alias("__url")).filter(F.col("__url").isNotNull()).distinct()
+    # expanded and hashed where the pages are read; only hits are grouped by URL
+    urls = pages.select(F.col(url).alias("__url")).filter(F.col("__url").isNotNull())
     # as many rows as rules have different path lengths
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     if lengths:
@@ -59,6 +60,6 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         best = F.max(F.struct(F.length("r.col3").alias("n"), F.col("r.col4").alias("k"), F.col("r.col1").alias("b"), F.col("r.col3").alias("rule"), F.col("r.verdict").alias("verdict")))
         found = hits.groupBy("__url").agg(best.alias("best")).select("__url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     else:
-        found = urls.select("__url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+        found = urls.limit(0).select("__url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     out = pages.select(*kept, F.col(url).alias("__url")).join(found, "__url", "left")
     return out.select(*kept, host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

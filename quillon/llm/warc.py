@@ -1,7 +1,7 @@
 """WARC archives as a table of chunks.
 
-An archive is a table with a row for each chunk of a record: its identifier, the chunk's
-number, whether it is the last, and bytes.  The bytes of a record's chunks, in order, are
+An archive is a table with a row for each chunk of a record: the record's identifier in the
+table, the chunk's number, whether it is the last, and bytes.  The bytes of a record's chunks, in order, are
 the record as a WARC file would hold it, and all records one after another are a WARC
 file.  Most records are one chunk, which is parsed where it is read; the chunks of larger
 ones are brought together by identifier and read as a stream, with a running digest and at
@@ -13,6 +13,9 @@ is a response, the others revisits that refer to it.
 * a null payload counts as empty; null ids and URLs are stored as such
 * rows with the same id stay rows of their own; if theirs is the largest of equal payloads,
   they are all responses
+* a record's own identifier is made of the page's id and the payload's digest, so revisits
+  name their response; repeated rows make equal records
+* URLs come back as they were; pages have no date, so that of all records is the epoch
 * an empty table gives an empty archive; columns that aren't named are not stored
 """
 
@@ -20,48 +23,80 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import materialise
+
 CHUNK = 1 << 18
 #: Rows of Arrow data that are held at a time.
 ROWS = 32
+#: Repeated digests, of less than a hundred bytes each, are sent to all executors up to this number.
+BROADCAST = 500_000
 _CHUNKS = "record_id string, chunk int, last boolean, data binary"
 _RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
 
 
 def revisits(pages: DataFrame, least: int = 1000, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, html, digest and refers_to, which is null for responses."""
-    payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
+    """page_id, url, html, digest, size and refers_to, which is null for responses.
+
+    Which pages revisit is decided on ids, digests and sizes alone.  Payloads stay where they
+    are read unless more than ``BROADCAST`` digests repeat.
+    """
+    payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(payload))
+    rows = rows.withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(payload).cast("long"))
     large = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    # only digests that occur twice, so the join moves little
-    rows = rows.join(large.filter("n > 1").select("digest", "first"), "digest", "left")
-    return rows.select("page_id", "url", "html", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    large = materialise(large.filter("n > 1").select("digest", "first"), "revisited")
+    if large.count() <= BROADCAST:
+        large = F.broadcast(large)
+    rows = rows.join(large, "digest", "left")
+    return rows.select("page_id", "url", "html", "digest", "size", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+
+
+def _name(page_id: int | None, digest: str) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}"
 
 
-def _record(record_id: str, page_id: int | None, url: str | None, digest: str, refers_to: int | None, payload: bytes) -> bytes:
-    """Head of a record up to its payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+def _record(page_id: int | None, url: str | None, digest: str, refers_to: int | None, size: int) -> bytes:
+    """Head of a record up to its payload of ``size`` bytes."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {size}\r\n\r\n".encode()
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_name(page_id, digest)}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if page_id is not None:
         lines.append(f"WARC-Page-ID: {page_id}")
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=_SAFE)}")
+        uri = quote(url, safe=_SAFE + "%")
+        lines.append(f"WARC-Target-URI: {uri}")
+        if uri != url:
+            lines.append(f"WARC-Page-URL: {quote(url, safe=_SAFE)}")  # as it was, percent-encoded once more
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <{_name(refers_to, digest)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         http = b""
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload) * (refers_to is None)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + size * (refers_to is None)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
 _SAFE = "".join(map(chr, range(33, 127))).replace("%", "")
 
 
+def _pieces(head: bytes, html: str, digest: str, chunk: int) -> Iterator[tuple[bool, bytes]]:
+    """A record's bytes in chunks; the payload is encoded slice by slice, with a running digest."""
+    held, running = bytearray(head), hashlib.sha1()
+    for at in range(0, len(html), chunk):
+        part = html[at : at + chunk].encode()
+        running.update(part)
+        held += part
+        while len(held) > chunk:
+            yield False, bytes(held[:chunk])
+            del held[:chunk]
+    if html and running.hexdigest() != digest:
+        raise ValueError("the payload isn't the one that was digested")
+    yield True, bytes(held) + b"\r\n\r\n"
+
+
 def write(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
     """Writes the rows of ``revisits`` as a chunk table (Parquet) at ``path``."""
 
@@ -69,28 +104,23 @@ def write(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
         from pyspark import TaskContext
 
         task, n = TaskContext.get().partitionId(), 0
+        out: list[tuple[str, int, bool, bytes]] = []
+        held = 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, ROWS):
-                out: list[tuple[str, int, bool, bytes]] = []
-                held = 0
-                for row in range(begin, min(begin + ROWS, batch.num_rows)):
-                    page_id, url, html, digest, refers_to = (c[row].as_py() for c in batch.columns)
-                    payload = (html or "").encode()
-                    record_id, n = f"urn:page:{page_id}:{task}-{n}", n + 1
-                    head = _record(record_id, page_id, url, digest, refers_to, payload)
-                    body = memoryview(payload if refers_to is None else b"")
-                    cuts = range(0, max(1, len(body)), chunk)
-                    for k, at in enumerate(cuts):
-                        last = k == len(cuts) - 1
-                        out.append((record_id, k, last, (head if k == 0 else b"") + bytes(body[at : at + chunk]) + (b"\r\n\r\n" if last else b"")))
-                        held += len(out[-1][3])
-                        if held >= 8 * chunk:
-                            yield _chunks(out)
-                            out, held = [], 0
-                if out:
-                    yield _chunks(out)
-
-    rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, _CHUNKS).write.parquet(path)
+            for row in range(batch.num_rows):
+                page_id, url, html, digest, size, refers_to = (c[row].as_py() for c in batch.columns)
+                record_id, n = f"{task}-{n}", n + 1
+                head = _record(page_id, url, digest, refers_to, size)
+                for k, (last, data) in enumerate(_pieces(head, html or "" if refers_to is None else "", digest, chunk)):
+                    out.append((record_id, k, last, data))
+                    held += len(data)
+                    if held >= 8 * chunk or len(out) >= ROWS:
+                        yield _chunks(out)
+                        out, held = [], 0
+        if out:
+            yield _chunks(out)
+
+    rows.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(run, _CHUNKS).write.parquet(path)
 
 
 def _chunks(rows: list[tuple[str, int, bool, bytes]]) -> pa.RecordBatch:
@@ -139,7 +169,8 @@ class Reader:
             raise ValueError(f"payload of {f['WARC-Record-ID']} is damaged")
         to = f.get("WARC-Refers-To")
         page = f.get("WARC-Page-ID")
-        return int(page) if page else None, f.get("WARC-Target-URI"), f["WARC-Type"], int(to.strip("<>").rsplit(":", 1)[1]) if to else None, self.size, stored
+        url = unquote(f["WARC-Page-URL"]) if "WARC-Page-URL" in f else f.get("WARC-Target-URI")
+        return int(page) if page else None, url, f["WARC-Type"], int(to.strip("<>").split(":")[2]) if to else None, self.size, stored
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:

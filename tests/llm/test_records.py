@@ -1,6 +1,7 @@
 """URL rules, archives, media and the pipeline."""
 
 import hashlib
+import re
 import random
 import zlib
 
@@ -65,6 +66,11 @@ def test_archives(spark, tmp_path):
         want.append((page_id, "response" if to is None else "revisit", to, len(payload), hashlib.sha1(payload).hexdigest()))
     key = lambda t: tuple((x is None, x or 0) for x in t[:1] + t[3:4]) + (t[4],)
     assert sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in found), key=key) == sorted(want, key=key)
+    urls = {r["page_id"]: r["url"] for r in found}
+    assert urls[1] == "http://a/ b\r\nX: y" and warc.Reader() is not None
+    heads = [r["data"].split(b"\r\n\r\n")[0].decode() for r in archive.filter("chunk = 0").collect()]
+    named = {re.search("WARC-Record-ID: (.*)", h)[1].strip() for h in heads if "WARC-Type: response" in h}
+    assert {m[1].strip() for h in heads if (m := re.search("WARC-Refers-To: (.*)", h))} <= named
     # all chunks in a row are a WARC file
     whole = b"".join(r["data"] for r in archive.orderBy("record_id", "chunk").collect())
     assert whole.count(b"WARC/1.1\r\nWARC-Type: ") == len(rows)
@@ -73,7 +79,7 @@ def test_archives(spark, tmp_path):
 
 
 def test_damage_is_noticed():
-    head = warc._record("urn:page:1:0-0", 1, "u", hashlib.sha1(b"abc").hexdigest(), None, b"abc")
+    head = warc._record(1, "u", hashlib.sha1(b"abc").hexdigest(), None, 3)
     reader = warc.Reader()
     for b in head + b"abd":
         reader.feed(bytes([b]))

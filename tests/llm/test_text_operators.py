@@ -391,6 +391,15 @@ def test_html_shows_all_that_is_visible():
     assert html_text.text_of("<table><tr><td>a" + "<font>" * 100 + "<td>b</table>") == "a | b"
 
 
+@pytest.mark.parametrize("page", ['<a "' * 1_200_000, "<div>" * 400_000 + "</b>" * 400_000, "<a '\"" * 900_000, "<p " + "x " * 2_000_000])
+def test_html_of_odd_pages_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.text_of(page)
+    assert time.process_time() - began < 40
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "<p>é", "y"), (2, "<p>é", "y"), (3, "<div>" * 30_000 + "deep", "z"), (4, "<table><tr><td>" * 60 + "in", "q")], "page_id long, html string, text string")
     rows = html_text.extract(pages).collect()

@@ -36,7 +36,7 @@ def sheet_amount(c: Column) -> Column:
     groups of three before; one separator that repeats, or has three digits after it,
     groups; with one or two digits it is the decimal one.
     """
-    clean = F.regexp_replace(F.regexp_replace(c, "[\u00a0 ]", ""), r"^(-?)\$", "$1")
+    clean = F.regexp_replace(F.regexp_replace(c, "[\u00a0\\s]", ""), r"^([-(]?)\$", "$1")
     return let(clean, lambda t: let(_sheet_number(t), lambda n: let(exact(n), lambda value: _sheet_result(t, value))))
 
 
@@ -54,7 +54,7 @@ def _sheet_number(t: Column) -> Column:
 def _sheet_result(t: Column, value: Column) -> Column:
     code = (
         F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.lit("amount_missing"))
-        .when(t.startswith("-"), F.lit("negative_source_amount"))
+        .when(t.startswith("-") | t.startswith("("), F.lit("negative_source_amount"))
         .when(value.isNull(), F.lit("amount_invalid"))
         .when(value == 0, F.lit("zero_amount_unsupported"))
     )
@@ -83,6 +83,34 @@ def grouped_amount(c: Column, signed: bool = False) -> Column:
     return F.when(c.rlike(rf"^{sign}([0-9]+|[0-9]{{1,3}}(\.[0-9]{{3}})+)$"), exact(F.translate(c, ".", "")))
 
 
+def sheet_cell(c: Column, kind: Column, movement: bool = True) -> Column:
+    """Struct (value, code) of a cell's unsigned amount, a number or a text.
+
+    Numbers count as they are, with a code where they have more than two decimals; a flag or
+    a date is no amount.  Zero is one only for a balance.
+    """
+    number = F.when(kind == "n", c.try_cast("decimal(38,10)"))
+    of_number = F.struct(
+        number.try_cast(MONEY).alias("value"),
+        F.when(number.isNull(), "amount_invalid").when(number < 0, "negative_source_amount").when(number != F.round(number, 2), "money_scale_exceeded").when(F.abs(number) >= F.lit("1e18").cast("decimal(38,10)"), "money_precision_exceeded").when(number == 0, "zero_amount_unsupported").alias("code"),
+    )
+    other = F.struct(F.lit(None).cast(MONEY).alias("value"), F.lit("amount_invalid").alias("code"))
+    found = F.when(kind == "n", of_number).when(F.coalesce(kind, F.lit("text")) == "text", sheet_amount(c)).otherwise(other)
+
+    def result(x: Column) -> Column:
+        code = x["code"] if movement else F.nullif(x["code"], F.lit("zero_amount_unsupported"))
+        return F.struct(F.when(code.isNull(), x["value"]).alias("value"), code.alias("code"))
+
+    return let(found, result)
+
+
+def grouped_code(c: Column, signed: bool = False) -> Column:
+    """Why ``grouped_amount`` is null: ``invalid`` (also for null) or ``overflow``."""
+    sign = "-?" if signed else ""
+    good = F.coalesce(c.rlike(rf"^{sign}([0-9]+|[0-9]{{1,3}}(\.[0-9]{{3}})+)$"), F.lit(False))
+    return F.when(~good, "invalid").when(grouped_amount(c, signed).isNull(), "overflow")
+
+
 def movement_code(c: Column) -> Column:
     """Code of a money text that is to be a movement."""
     return F.coalesce(exact_code(c), F.when(exact(c) == 0, F.lit("movement_amount_zero")))

@@ -83,9 +83,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH m AS ({_MOVEMENTS}) SELECT movement_id, account_id, occurrence_date, signed_amount, import_batch_id, o_orderstatus AS import_status
   FROM m JOIN orders ON import_batch_id = o_orderkey WHERE account_id = 7 AND occurrence_date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'""")
 def report_movements(spark, sf_dir):
-    found = report.movements_between(movements(spark, sf_dir), 7, datetime.date(1995, 1, 1), datetime.date(1997, 12, 31))
     batches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("import_batch_id"), F.col("o_orderstatus").alias("import_status"))
-    return found.join(batches, "import_batch_id").select("movement_id", "account_id", "occurrence_date", "signed_amount", "import_batch_id", "import_status")
+    rows = movements(spark, sf_dir).join(batches, "import_batch_id")
+    found = report.movements_between(rows, 7, datetime.date(1995, 1, 1), datetime.date(1997, 12, 31))
+    return found.select("movement_id", "account_id", "occurrence_date", "signed_amount", "import_batch_id", "import_status")
 
 
 @query(f"""WITH m AS ({_MOVEMENTS}) SELECT c_custkey AS account_id, count(movement_id) AS movement_count, CAST(coalesce(sum(signed_amount), 0) AS DECIMAL(38,2)) AS net_signed_amount
@@ -129,8 +130,8 @@ def batch_status(spark, sf_dir):
 @query(f"""WITH c AS (SELECT l_orderkey AS import_batch_id, count(*) FILTER ({_OUTCOME} = 'PARSED') AS p, count(*) FILTER ({_OUTCOME} = 'REJECTED') AS r,
     coalesce(sum(CAST(l_extendedprice AS DECIMAL(20,2))) FILTER ({_OUTCOME} = 'PARSED'), 0) AS s FROM lineitem GROUP BY 1),
   d AS (SELECT o_orderkey AS import_batch_id, coalesce(p, 0) AS p, coalesce(r, 0) AS r, CAST(CAST(o_totalprice AS DECIMAL(20,2)) - coalesce(s, 0) AS DECIMAL(38,2)) AS d FROM orders LEFT JOIN c ON import_batch_id = o_orderkey),
-  k AS (SELECT *, CASE WHEN p = 0 AND r = 0 THEN 'NOT_APPLICABLE' WHEN r > 0 THEN 'INSUFFICIENT_DATA' WHEN d = 0 THEN 'RECONCILED' ELSE 'MISMATCH' END AS k FROM d)
-  SELECT import_batch_id, k AS reconciliation_status, CASE WHEN k IN ('RECONCILED', 'MISMATCH') THEN d END AS difference FROM k""")
+  k AS (SELECT *, CASE WHEN p = 0 AND r = 0 THEN 'NOT_APPLICABLE' WHEN r > 0 THEN 'INSUFFICIENT_DATA' WHEN d = 0 THEN 'RECONCILED' ELSE 'NOT_RECONCILED' END AS k FROM d)
+  SELECT import_batch_id, k AS reconciliation_status, CASE WHEN k IN ('RECONCILED', 'NOT_RECONCILED') THEN d END AS difference FROM k""")
 def reconcile_batches(spark, sf_dir):
     batches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("import_batch_id"), F.lit(0).cast(money.MONEY).alias("opening_balance"), amount("o_totalprice").alias("ending_balance"))
     return reconcile.balance_equation(records(spark, sf_dir), batches)
@@ -147,7 +148,7 @@ def running_balance(spark, sf_dir):
 
 
 @query(f"""WITH m AS ({_MOVEMENTS}), b AS (SELECT *, CAST(sum(signed_amount) OVER w AS DECIMAL(38,2)) + CASE WHEN line = 5 THEN 1 ELSE 0 END AS balance, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY account_id ORDER BY {', '.join(_ORDER)} ROWS UNBOUNDED PRECEDING)),
-  d AS (SELECT account_id, n, balance - (coalesce(lag(balance) OVER (PARTITION BY account_id ORDER BY n), 0) + signed_amount) AS d FROM b)
+  d AS (SELECT account_id, n, coalesce(lag(balance) OVER (PARTITION BY account_id ORDER BY n), 0) + signed_amount - balance AS d FROM b)
   SELECT account_id, min(n) AS "row", CAST(arg_min(d, n) AS DECIMAL(38,2)) AS difference FROM d WHERE d <> 0 GROUP BY 1""")
 def continuity_breaks(spark, sf_dir):
     """Every fifth line's printed balance is one too much."""
@@ -271,7 +272,7 @@ def money_parse(spark, sf_dir):
 
 @query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) - 200 AS s, CAST(o_orderdate AS DATE) + CAST(CASE o_orderkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 300 ELSE -100 END AS INTEGER) AS e FROM orders),
   c AS (SELECT o_orderkey, (SELECT list(x) FROM (SELECT TRY_CAST(concat(y, strftime(d, '-%m-%d')) AS DATE) AS x FROM range(year(s) - 1, year(e) + 2) t(y)) WHERE x BETWEEN s AND e) AS found FROM d)
-  SELECT o_orderkey, CASE WHEN len(found) = 1 THEN found[1] END AS value, CASE WHEN coalesce(len(found), 0) = 0 THEN 'date_outside_period' WHEN len(found) > 1 THEN 'date_year_ambiguous' END AS code FROM c""")
+  SELECT o_orderkey, CASE WHEN len(found) = 1 THEN found[1] END AS value, CASE WHEN coalesce(len(found), 0) <> 1 THEN 'date_year_ambiguous' END AS code FROM c""")
 def year_resolution(spark, sf_dir):
     """Days and months of orders, in periods that hold them once, twice or not."""
     d = F.col("o_orderdate").cast("date")
@@ -295,58 +296,195 @@ def account_discovery(spark, sf_dir):
 _TUPLE = "l_suppkey AS account_id, occurrence_date AS date, l_quantity AS amount"
 
 
-@query(f"""WITH m AS ({_MOVEMENTS}), o AS (SELECT movement_id AS observation_id, {_TUPLE}, import_batch_id AS b, line AS o, signed_amount FROM m WHERE signed_amount < 0),
+@query(f"""WITH m AS ({_MOVEMENTS}), o AS (SELECT movement_id AS observation_id, {_TUPLE}, import_batch_id AS b, line AS o, import_batch_id % 5 <> 0 AS can, l_partkey_ % 3 <> 0 AS good FROM (SELECT *, part_id AS l_partkey_ FROM m) WHERE signed_amount < 0),
   h AS (SELECT DISTINCT {_TUPLE} FROM m WHERE signed_amount > 0),
-  w AS (SELECT o.*, h.account_id IS NOT NULL AS held, min(b) OVER (PARTITION BY o.account_id, o.date, o.amount) AS owner, row_number() OVER (PARTITION BY o.account_id, o.date, o.amount ORDER BY b, o, observation_id) AS n FROM o LEFT JOIN h ON o.account_id = h.account_id AND o.date = h.date AND o.amount = h.amount)
-  SELECT observation_id, CASE WHEN NOT held AND b = owner THEN 'CONFIRM_NEW' ELSE 'ABSTAIN' END AS action, CASE WHEN NOT held AND b = owner THEN CASE WHEN n = 1 THEN 'reconciled_historical_new' ELSE 'same_statement_distinct_ordered_row' END END AS reason FROM w""")
+  w AS (SELECT o.*, h.account_id IS NOT NULL AS held, min(CASE WHEN can THEN b END) OVER (PARTITION BY o.account_id, o.date, o.amount) AS owner FROM o LEFT JOIN h ON o.account_id = h.account_id AND o.date = h.date AND o.amount = h.amount),
+  x AS (SELECT *, can AND NOT held AND b = owner AS mine FROM w),
+  y AS (SELECT *, row_number() OVER (PARTITION BY account_id, date, amount, mine ORDER BY o, observation_id) AS n, first_value(good) OVER (PARTITION BY account_id, date, amount, mine ORDER BY o, observation_id) AS fine,
+    row_number() OVER (PARTITION BY account_id, date, amount, mine, good, o ORDER BY observation_id) AS same FROM x),
+  r AS (SELECT *, CASE WHEN mine AND n = 1 THEN 'reconciled_historical_new' WHEN mine AND fine AND good AND same = 1 THEN 'same_statement_distinct_ordered_row' END AS reason FROM y)
+  SELECT observation_id, CASE WHEN reason IS NULL THEN 'ABSTAIN' ELSE 'CONFIRM_NEW' END AS action, reason FROM r""")
 def policy_confirm(spark, sf_dir):
-    rows = movements(spark, sf_dir).select("movement_id", "import_batch_id", "line", "signed_amount", F.col("l_suppkey").alias("account_id"), F.col("occurrence_date").alias("date"), F.col("l_quantity").alias("amount"), F.lit("CLP").alias("currency"))
+    """Claims of batches of which every fifth isn't accepted; a third of the rows have no balance."""
+    rows = movements(spark, sf_dir).select("movement_id", "import_batch_id", "line", "signed_amount", F.col("l_suppkey").alias("account_id"), F.col("occurrence_date").alias("date"), F.col("l_quantity").alias("amount"), F.lit("CLP").alias("currency"), (F.col("part_id") % 3 != 0).alias("balanced"), (F.col("import_batch_id") % 5 != 0).alias("eligible"))
     claims = rows.filter("signed_amount < 0").withColumnsRenamed({"movement_id": "observation_id", "import_batch_id": "batch_order", "line": "ordinal"})
     return lifecycle.confirm(claims, rows.filter("signed_amount > 0")).select("observation_id", "action", "reason")
 
 
-@query("SELECT p_partkey, regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]', '', 'g') AS label_key FROM part")
+_MARKED = "translate(p_name, 'aeioun', 'ÁéÎõüñ') || ' N' || chr(186) || ' ' || chr(64257) || '  Straße' || chr(160)"
+_DECOMPOSED = "strip_accents(replace(replace(replace(_N, chr(64257), 'fi'), chr(186), 'o'), chr(160), ' '))".replace("_N", _MARKED)
+
+
+def _marked() -> Column:
+    """Part names with marks, a ligature, an ordinal sign, a sharp s and a hard blank."""
+    return F.concat(F.translate("p_name", "aeioun", "ÁéÎõüñ"), F.lit(" N\u00ba \ufb01  Straße\u00a0"))
+
+
+@query(f"SELECT p_partkey, regexp_replace(lower(replace({_DECOMPOSED}, ' fi ', '  ')), '[^a-z0-9]', '', 'g') AS label_key FROM part")
 def label_keys(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.ascii_label_key(F.col("p_name")).alias("label_key"))
+    """Without a Python worker, so the ligature of two letters gives way."""
+    return table(spark, sf_dir, "part").select("p_partkey", text.ascii_label_key(_marked()).alias("label_key"))
 
 
-@query("SELECT p_partkey, regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]', '', 'g') AS label_key, array_to_string(list_filter(string_split_regex(lower(strip_accents(p_name)), '\\s+'), lambda x: x <> ''), ' ') AS collapsed FROM part")
+@query(f"""SELECT p_partkey, regexp_replace(lower({_DECOMPOSED}), '[^a-z0-9]', '', 'g') AS label_key,
+  array_to_string(list_filter(string_split_regex(replace(lower({_DECOMPOSED}), 'ß', 'ss'), '\\s+'), lambda x: x <> ''), ' ') AS collapsed FROM part""")
 def unicode_keys(spark, sf_dir):
-    name = F.col("p_name")
+    name = _marked()
     return table(spark, sf_dir, "part").select("p_partkey", text.label_key(name).alias("label_key"), text.collapsed_label(name).alias("collapsed"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, CAST(floor(o_totalprice) AS BIGINT) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 9 AS n FROM orders),
-  r AS (SELECT *, min(CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN d END) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
-  c AS (SELECT *, list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'date_invalid' END, CASE WHEN o_orderkey % 5 = 0 THEN 'amount_invalid' END, CASE WHEN o_orderkey % 7 <> 0 AND d > before THEN 'source_date_order_invalid' END], lambda x: x IS NOT NULL) AS codes FROM r)
-  SELECT o_orderkey, CASE WHEN len(codes) = 0 THEN 'PARSED' ELSE 'REJECTED' END AS outcome, array_to_string(codes, ',') AS codes, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(-v AS DECIMAL(20,2)) END AS amount FROM c""")
+_AMOUNT_CODES = "CASE WHEN {k} % 5 = 0 THEN 'amount_invalid' WHEN {k} % 13 = 0 THEN 'amount_invalid' WHEN {k} % 17 = 0 THEN 'amount_precision_overflow' END"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, CAST(floor(o_totalprice) AS BIGINT) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 9 AS n FROM orders),
+  a AS (SELECT *, CASE WHEN o_orderkey % 23 = 0 THEN 'formula_unsupported' WHEN o_orderkey % 19 = 0 THEN 'cell_type_unsupported' END AS alone,
+    [CASE WHEN o_orderkey % 7 = 0 THEN 'date_invalid' END, {_AMOUNT_CODES.format(k="o_orderkey")}, CASE WHEN o_orderkey % 29 = 0 THEN 'balance_invalid' WHEN o_orderkey % 31 = 0 THEN 'balance_precision_overflow' END] AS own FROM o),
+  b AS (SELECT *, list_filter(own, lambda x: x IS NOT NULL) AS found FROM a),
+  r AS (SELECT *, min(CASE WHEN alone IS NULL AND len(found) = 0 THEN d END) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
+  c AS (SELECT *, CASE WHEN alone IS NOT NULL THEN [alone] WHEN o_orderkey % 7 <> 0 AND d > before THEN list_append(found, 'source_date_order_invalid') ELSE found END AS codes FROM r)
+  SELECT o_orderkey, CASE WHEN len(codes) = 0 THEN 'PARSED' ELSE 'REJECTED' END AS outcome, array_to_string(codes, ',') AS codes, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 THEN CAST(-v AS DECIMAL(20,2)) END AS amount FROM c""")
 def cartola_rows(spark, sf_dir):
-    """Orders printed as the rows of running statements, some with bad dates or amounts."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    """Orders printed as the rows of running statements, with bad dates, missing, malformed and
+    overlong amounts and balances, formulas and numbers in some."""
+    w, k = Window.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_orderkey")
     d, v = F.col("o_orderdate").cast("date"), F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", ".")
+    long = F.lit("123.456.789.012.345.678.901")
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("source_id"), F.lit(0).alias("sheet_ordinal"), (F.row_number().over(w) + 9).alias("row_number"), "o_orderkey",
-        F.when(F.col("o_orderkey") % 7 == 0, F.date_format(d, "yyyy/MM/dd")).otherwise(F.date_format(d, "dd-MM-yyyy")).alias("A"), F.col("o_orderpriority").alias("B"), F.lit("").alias("C"),
-        F.when(F.col("o_orderkey") % 5 == 0, F.concat(v, F.lit(",5"))).otherwise(F.concat(F.lit("-"), v)).alias("D"), v.alias("E"), F.lit(False).alias("has_formula"), F.lit(False).alias("has_other_type"),
+        F.when(k % 7 == 0, F.date_format(d, "yyyy/MM/dd")).otherwise(F.date_format(d, "dd-MM-yyyy")).alias("A"), F.col("o_orderpriority").alias("B"), F.lit("").alias("C"),
+        F.when(k % 5 == 0, F.concat(v, F.lit(",5 and then some more"))).when(k % 13 == 0, F.lit(None)).when(k % 17 == 0, long).otherwise(F.concat(F.lit("-"), v)).alias("D"),
+        F.when(k % 29 == 0, F.lit(None)).when(k % 31 == 0, long).otherwise(v).alias("E"), (k % 23 == 0).alias("has_formula"), (k % 19 == 0).alias("has_other_type"),
     )
     return statements.cartola(rows).select("o_orderkey", "outcome", F.array_join("codes", ",").alias("codes"), "amount")
 
 
-@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders),
-  c AS (SELECT *, list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'accounting_date_invalid' END, CASE WHEN o_orderkey % 3 = 0 THEN 'direction_xor_invalid' END], lambda x: x IS NOT NULL) AS codes FROM o)
-  SELECT o_orderkey, CASE WHEN len(codes) = 0 THEN 'PARSED' ELSE 'REJECTED' END AS outcome, array_to_string(codes, ',') AS codes, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN CAST(v AS DECIMAL(20,2)) END AS charge FROM c""")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, CAST(floor(o_totalprice) AS BIGINT) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 8 AS n FROM orders),
+  a AS (SELECT *, CASE WHEN o_orderkey % 23 = 0 THEN 'formula_unsupported' WHEN o_orderkey % 19 = 0 THEN 'cell_type_unsupported' END AS alone,
+    list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'accounting_date_invalid' END, CASE WHEN o_orderkey % 3 = 0 THEN 'direction_xor_invalid' WHEN o_orderkey % 13 = 0 THEN 'amount_invalid' END], lambda x: x IS NOT NULL) AS found FROM o),
+  r AS (SELECT *, min(CASE WHEN alone IS NULL AND len(found) = 0 THEN d END) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a),
+  c AS (SELECT *, CASE WHEN alone IS NOT NULL THEN [alone] WHEN d > before THEN list_append(found, 'transaction_date_order_invalid') ELSE found END AS codes FROM r)
+  SELECT o_orderkey, CASE WHEN len(codes) = 0 THEN 'PARSED' ELSE 'REJECTED' END AS outcome, array_to_string(codes, ',') AS codes, CASE WHEN o_orderkey % 13 <> 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 6 <> 3 THEN CAST(v AS DECIMAL(20,2)) END AS charge FROM c""")
 def recent_rows(spark, sf_dir):
-    """Orders printed as recent movements, each on a sheet of its own; every third has both
-    a charge and a credit."""
+    """Orders printed as recent movements, a sheet for each customer; of every third neither or
+    both a charge and a credit."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     d, v, k = F.col("o_orderdate").cast("date"), F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", "."), F.col("o_orderkey")
-    day = F.date_format(d, "dd/MM/yyyy")
+    day, shown = F.date_format(d, "dd/MM/yyyy"), F.when(k % 13 == 0, F.concat(v, F.lit("-"))).otherwise(v)
     rows = table(spark, sf_dir, "orders").select(
-        k.alias("source_id"), F.lit(0).alias("sheet_ordinal"), F.lit(9).alias("row_number"), k, day.alias("A"), F.when(k % 11 == 0, "31/02/2026").otherwise(day).alias("B"), F.col("o_orderpriority").alias("C"),
-        F.when((k % 2 == 0) | (k % 3 == 0), v).alias("G"), F.when((k % 2 != 0) | (k % 3 == 0), v).alias("H"), F.lit(False).alias("has_formula"), F.lit(False).alias("has_other_type"),
+        F.col("o_custkey").alias("source_id"), F.lit(0).alias("sheet_ordinal"), (F.row_number().over(w) + 8).alias("row_number"), k, day.alias("A"), F.when(k % 11 == 0, "31/02/2026").otherwise(day).alias("B"), F.col("o_orderpriority").alias("C"),
+        F.when((k % 6 != 3) & ((k % 2 == 0) | (k % 3 == 0)), shown).alias("G"), F.when((k % 6 != 3) & ((k % 2 != 0) | (k % 3 == 0)), shown).alias("H"), (k % 23 == 0).alias("has_formula"), (k % 19 == 0).alias("has_other_type"),
     )
     return statements.recent(rows).select("o_orderkey", "outcome", F.array_join("codes", ",").alias("codes"), "charge")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS t, o_orderkey % 13 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+  b AS (SELECT *, CASE WHEN n > 40 THEN CASE WHEN n = 41 THEN 'commission_summary_section' WHEN n < 43 THEN 'commission_summary' WHEN n = 43 THEN 'post_summary_section' ELSE 'auxiliary_row' END
+      WHEN v = 6 THEN 'auxiliary_row' WHEN v = 9 THEN 'blank_row' WHEN v = 12 THEN 'repeated_header' END AS ignored,
+    CASE v WHEN 3 THEN 'date_invalid' WHEN 4 THEN 'debit_credit_conflict' WHEN 5 THEN 'amount_missing' WHEN 7 THEN 'negative_source_amount' WHEN 8 THEN 'formula_unsupported' WHEN 10 THEN 'zero_amount_unsupported' WHEN 11 THEN 'date_unsupported'
+      WHEN 1 THEN CASE WHEN o_orderkey % 2 = 1 THEN 'money_scale_exceeded' END WHEN 2 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'date_outside_period' END END AS rejected FROM o)
+  SELECT o_orderkey, CASE WHEN ignored IS NOT NULL THEN 'IGNORED' WHEN rejected IS NOT NULL THEN 'REJECTED' ELSE 'PARSED' END AS outcome, coalesce(ignored, rejected, CASE WHEN v = 0 THEN 'running_balance_invalid' ELSE '' END) AS codes,
+    CASE WHEN coalesce(ignored, rejected) IS NULL THEN CAST(CASE v WHEN 0 THEN -floor(t) WHEN 1 THEN t ELSE -t END AS DECIMAL(20,2)) END AS signed_amount, CASE WHEN coalesce(ignored, rejected) IS NULL THEN d END AS date FROM b""")
+def current_rows(spark, sf_dir):
+    """Orders printed as current-account sheets: a header, thirteen kinds of rows, and from the
+    41st row of a customer on a commission summary."""
+    w, k = Window.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").withColumns({"n": F.row_number().over(w), "v": k % 13, "d": F.col("o_orderdate").cast("date"), "price": amount("o_totalprice")})
+    pick = lambda *cases: F.coalesce(*(F.when(F.col("v").isin(*v), x) for v, x in cases), F.lit(None).cast("string"))
+    head = {"A": "Fecha", "C": "Descripción", "E": "Cargos", "F": "Abonos", "G": "Saldo"}
+    day, points = F.date_format("d", "dd/MM/yyyy"), F.translate(F.format_number("price", 2), ",.", ".,")
+    whole = F.translate(F.format_number(F.floor("price"), 0), ",", ".")
+    titles = lambda c: ([12], F.lit(head[c]))
+    cells = {
+        "A": pick(([0, 1, 4, 5, 7, 8, 10], day), ([2], F.date_format(F.when(k % 5 == 0, F.date_add("d", 10_000)).otherwise(F.col("d")), "dd-MM-yyyy")), ([3], F.date_format("d", "d.M.yyyy")), ([6], F.lit("nota")), ([11], F.lit("45000")), titles("A")),
+        "B": F.lit(None).cast("string"), "C": pick(([0, 1, 2, 3, 4, 5, 7, 8, 10, 11], F.lit("movement")), titles("C")), "D": F.lit(None).cast("string"),
+        "E": pick(([0, 3, 4, 8, 11], whole), ([2], F.concat(F.lit("$ "), points)), ([7], F.lit("(5)")), ([10], F.lit("0")), titles("E")),
+        "F": pick(([1], F.when(k % 2 == 1, F.lit("0.125")).otherwise(F.col("price").cast("string"))), ([4], F.lit("7")), titles("F")),
+        "G": pick(([0], F.lit("much")), ([1, 2], F.lit("0")), titles("G")),
+    }
+    marks = {"A": F.when(F.col("n") == 43, "Mensajes"), "C": F.when(F.col("n") == 41, "Resumen de comisiones")}
+    special = F.col("n").isin(41, 43)
+    cells = {c: F.when(special, marks.get(c, F.lit(None).cast("string"))).otherwise(x) for c, x in cells.items()}
+    kinds = F.create_map(F.lit("F"), F.when(F.col("v") == 1, "n").otherwise("text"), F.lit("A"), F.when(F.col("v") == 11, "n").otherwise("text"))
+    rows = orders.select(F.col("o_custkey").alias("source_id"), F.lit(0).alias("sheet_ordinal"), (F.col("n") + 1).alias("row_number"), "o_orderkey", *(x.alias(c) for c, x in cells.items()), kinds.alias("types"), ((F.col("v") == 8) & ~special).alias("has_formula"))
+    header = orders.select("o_custkey").distinct().select(F.col("o_custkey").alias("source_id"), F.lit(0).alias("sheet_ordinal"), F.lit(1).alias("row_number"), F.lit(None).cast("long").alias("o_orderkey"), *(F.lit(head.get(c)).cast("string").alias(c) for c in "ABCDEFG"), F.create_map(F.lit("A"), F.lit("text")).alias("types"), F.lit(False).alias("has_formula"))
+    periods = orders.groupBy(F.col("o_custkey").alias("source_id")).agg(F.min("d").alias("period_start"), F.max("d").alias("period_end"))
+    found = statements.current(rows.unionByName(header), periods).filter("o_orderkey IS NOT NULL")
+    return found.select("o_orderkey", "outcome", F.array_join("codes", ",").alias("codes"), "signed_amount", "date")
+
+
+_PRINTED = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS d, CAST(floor(l_extendedprice) AS BIGINT) AS p, (l_partkey + l_linenumber) % 11 AS v, CAST(o_orderdate AS DATE) AS s,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+@query(f"""WITH p AS ({_PRINTED}), c AS (SELECT *, CASE v WHEN 1 THEN 'row_geometry_ambiguous' WHEN 2 THEN 'money_precision_overflow' WHEN 3 THEN 'amount_invalid' WHEN 4 THEN 'amount_missing' WHEN 5 THEN 'amount_both_sides' WHEN 6 THEN 'negative_directional_amount' WHEN 7 THEN 'zero_amount_unsupported' WHEN 8 THEN 'running_balance_missing' WHEN 10 THEN 'running_balance_invalid' END AS code,
+    v <> 0 AND d BETWEEN s AND s + 60 AS inside FROM p),
+  m AS (SELECT *, max(CASE WHEN inside AND code IS NULL THEN d END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+  r AS (SELECT *, CASE WHEN v = 0 THEN 'date_invalid' WHEN NOT inside THEN 'date_outside_period' WHEN d < before THEN 'date_order_invalid' ELSE code END AS reason FROM m)
+  SELECT l_orderkey, n AS line, CASE WHEN reason IS NULL THEN 'PARSED' ELSE 'REJECTED' END AS outcome, coalesce(reason, '') AS codes, CASE WHEN reason IS NULL THEN CAST(-p AS DECIMAL(20,2)) END AS signed_amount FROM r""")
+def historical_rows(spark, sf_dir):
+    """Line items as rows of printed statements, ten of eleven with a fault of their own."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("s"))
+    lines = table(spark, sf_dir, "lineitem").withColumns({"n": F.row_number().over(w), "v": (F.col("l_partkey") + F.col("l_linenumber")) % 11, "p": F.floor("l_extendedprice").cast("string")})
+    v, none = F.col("v"), F.lit(None).cast("string")
+    rows = lines.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("n").alias("row"), F.col("n").alias("line"), F.when(v == 0, "99/99/2020").otherwise(F.date_format("l_shipdate", "dd/MM/yyyy")).alias("date"), F.lit("text").alias("description"),
+        F.when(v == 1, "1 2").when(v == 2, "9" * 20).when(v.isin(5, 7), "0").when(v.isin(3, 4, 6), none).otherwise(F.col("p")).alias("debit"), F.when(v == 3, "x").when(v == 5, "5").when(v == 6, "-5").otherwise(none).alias("credit"),
+        F.when(v == 8, none).when(v == 10, "1.2").otherwise("-1.000").alias("balance"),
+    )
+    periods = orders.select(F.col("o_orderkey").alias("doc_id"), F.col("s").alias("period_start"), F.date_add("s", 60).alias("period_end"))
+    found = statements.historical(rows, periods)
+    return found.select(F.col("doc_id").alias("l_orderkey"), "line", "outcome", F.array_join("codes", ",").alias("codes"), "signed_amount")
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN p ELSE -p END AS a, l_linenumber = 7 AS bad FROM ({_PRINTED})),
+  b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY bad, n) AS k, sum(CASE WHEN NOT bad THEN a ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY n) + CASE WHEN v = 3 THEN 1 ELSE 0 END AS balance FROM p),
+  c AS (SELECT *, coalesce(lag(balance) OVER (PARTITION BY l_orderkey ORDER BY n), CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE 0 END) + a - balance AS off FROM b WHERE NOT bad),
+  g AS (SELECT l_orderkey, arg_min(off, n) FILTER (off <> 0) AS c1, sum(CASE WHEN a < 0 THEN -a ELSE 0 END) AS sd, sum(CASE WHEN a > 0 THEN a ELSE 0 END) AS sc, arg_max(balance, n) AS last, count(*) AS k FROM c GROUP BY 1),
+  q AS (SELECT l_orderkey, bool_or(bad) AS rejected FROM p GROUP BY 1),
+  o AS (SELECT o_orderkey AS import_batch_id, coalesce(rejected, false) AS r, coalesce(k, 0) AS k, coalesce(c1, 0) AS c1, coalesce(sd, 0) AS sd, coalesce(sc, 0) AS sc, last, CASE WHEN o_orderkey % 11 <> 0 THEN 0 END AS opening,
+    CASE WHEN o_orderkey % 17 <> 0 THEN coalesce(sc, 0) - coalesce(sd, 0) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END END AS closing, coalesce(sd, 0) + CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END AS debits, CASE WHEN o_orderkey % 13 <> 0 THEN coalesce(sc, 0) END AS credits
+    FROM orders LEFT JOIN g ON g.l_orderkey = o_orderkey LEFT JOIN q ON q.l_orderkey = o_orderkey),
+  s AS (SELECT *, opening IS NULL OR closing IS NULL OR credits IS NULL AS lacking, CASE WHEN sd <> debits THEN sd - debits ELSE sc - credits END AS off FROM o),
+  t AS (SELECT *, CASE WHEN NOT r AND NOT lacking AND k = 0 AND opening = closing AND debits = 0 AND credits = 0 THEN 'PASS' WHEN r OR k = 0 OR opening IS NULL THEN 'INSUFFICIENT_DATA' WHEN c1 = 0 THEN 'PASS' ELSE 'FAIL' END AS s1,
+    CASE WHEN lacking THEN 'INSUFFICIENT_DATA' WHEN opening + credits - debits = closing THEN 'PASS' ELSE 'FAIL' END AS s2, CASE WHEN r OR credits IS NULL THEN 'INSUFFICIENT_DATA' WHEN off = 0 THEN 'PASS' ELSE 'FAIL' END AS s3,
+    CASE WHEN r OR closing IS NULL THEN 'INSUFFICIENT_DATA' WHEN k = 0 THEN CASE WHEN opening = closing THEN 'PASS' ELSE 'FAIL' END WHEN last = closing THEN 'PASS' ELSE 'FAIL' END AS s4 FROM s)
+  SELECT import_batch_id, s1 AS running_balance_continuity, s2 AS summary_balance_equation, s3 AS parsed_totals_match_printed, s4 AS final_running_balance_matches,
+    CASE WHEN r OR lacking THEN 'INSUFFICIENT_DATA' WHEN s1 = 'PASS' AND s2 = 'PASS' AND s3 = 'PASS' AND s4 = 'PASS' THEN 'RECONCILED' ELSE 'NOT_RECONCILED' END AS reconciliation_status,
+    concat_ws(',', CASE WHEN opening IS NULL THEN 'opening_balance' END, CASE WHEN credits IS NULL THEN 'printed_total_credits' END, CASE WHEN closing IS NULL THEN 'closing_balance' END) AS missing,
+    CAST(coalesce(CASE WHEN s1 = 'FAIL' THEN c1 END, CASE WHEN s2 = 'FAIL' THEN opening + credits - debits - closing END, CASE WHEN credits IS NOT NULL AND off <> 0 THEN off END, CASE WHEN s4 = 'FAIL' AND k > 0 THEN last - closing END) AS DECIMAL(38,2)) AS difference FROM t""")
+def historical_checks(spark, sf_dir):
+    """Orders as printed statements: some balances, totals and closings are off, some operands
+    missing, some rows rejected."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    price = F.floor("l_extendedprice").cast(money.MONEY)
+    lines = table(spark, sf_dir, "lineitem").withColumns({"ordinal": F.row_number().over(w), "bad": F.col("l_linenumber") == 7, "a": F.when(F.col("l_linenumber") % 3 == 0, price).otherwise(-price), "off": (F.col("l_partkey") + F.col("l_linenumber")) % 11 == 3})
+    balance = F.sum(F.when(~F.col("bad"), F.col("a")).otherwise(0)).over(w) + F.when(F.col("off"), 1).otherwise(0)
+    rows = lines.select(
+        F.col("l_orderkey").alias("import_batch_id"), "ordinal", F.when(F.col("bad"), "REJECTED").otherwise("PARSED").alias("outcome"), F.when(F.col("a") < 0, -F.col("a")).cast(money.MONEY).alias("debit"), F.when(F.col("a") > 0, F.col("a")).cast(money.MONEY).alias("credit"), balance.cast(money.MONEY).alias("balance")
+    )
+    good = rows.filter("outcome = 'PARSED'").groupBy("import_batch_id").agg(F.coalesce(F.sum("debit"), F.lit(0)).alias("sd"), F.coalesce(F.sum("credit"), F.lit(0)).alias("sc"))
+    k, z = F.col("import_batch_id"), lambda c: F.coalesce(F.col(c), F.lit(0))
+    batches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("import_batch_id")).join(good, "import_batch_id", "left").select(
+        k, F.when(k % 11 != 0, F.lit(0)).cast(money.MONEY).alias("opening"), F.when(k % 17 != 0, z("sc") - z("sd") + F.when(k % 7 == 0, 1).otherwise(0)).cast(money.MONEY).alias("closing"),
+        (z("sd") + F.when(k % 5 == 0, 2).otherwise(0)).cast(money.MONEY).alias("debits"), F.when(k % 13 != 0, z("sc")).cast(money.MONEY).alias("credits"),
+    )
+    found = reconcile.historical_checks(rows, batches)
+    return found.select("import_batch_id", *reconcile.CHECKS, "reconciliation_status", F.array_join("missing", ",").alias("missing"), "difference")
+
+
+@query("""SELECT o_orderkey AS import_batch_id, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 THEN 'INSUFFICIENT_DATA' WHEN o_orderkey % 7 = 0 THEN 'NOT_RECONCILED' ELSE 'RECONCILED' END AS reconciliation_status,
+  CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 THEN CAST(CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 0 END AS DECIMAL(38,2)) END AS difference, CASE WHEN o_orderkey % 5 = 0 THEN 'charges' ELSE '' END AS missing FROM orders""")
+def card_equation(spark, sf_dir):
+    """Orders as card statements, each with summary lines of five operands, the second of one kind left out."""
+    k, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("decimal(20,2)")
+    line = lambda name, n, x, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("operand"), F.lit(n).alias("line"), F.lit(x).cast("decimal(20,2)").alias("value") if isinstance(x, int) else x.cast("decimal(20,2)").alias("value")))
+    lines = [line("previous", 1, v), line("purchases", 2, 100), line("purchases", 3, 999), line("charges", 4, 5, k % 5 != 0), line("payments", 5, -50), line("current", 6, v + 55 + F.when(k % 7 == 0, 1).otherwise(0)), line("rejected_row", 7, 0, k % 11 == 0)]
+    rows = table(spark, sf_dir, "orders").select(k.alias("import_batch_id"), F.inline(F.array_compact(F.array(*lines))))
+    found = reconcile.card_equation(rows)
+    return found.select("import_batch_id", "reconciliation_status", F.col("difference").cast("decimal(38,2)").alias("difference"), F.array_join("missing", ",").alias("missing"))
+
+
 @query(f"""WITH m AS ({_MOVEMENTS}), p AS (SELECT account_id, import_batch_id, min(occurrence_date) AS s, max(occurrence_date) AS e FROM m GROUP BY 1, 2),
   l AS (SELECT *, lag(e) OVER (PARTITION BY account_id ORDER BY s, e, import_batch_id) AS before FROM p)
   SELECT account_id, import_batch_id, CASE WHEN before IS NULL THEN 'FIRST' WHEN s = before THEN 'TOUCHING' WHEN s = before + 1 THEN 'ADJACENT' WHEN s > before THEN 'GAP' ELSE 'OVERLAP' END AS continuity FROM l""")

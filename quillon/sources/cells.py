@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -45,6 +46,28 @@ def _local(e: ElementTree.Element) -> str:
     return e.tag.rsplit("}", 1)[-1]
 
 
+def _date_styles(package: zipfile.ZipFile) -> frozenset[str]:
+    """Numbers of the cell styles that show a date."""
+    custom, styles = {}, []
+    for e in _xml(package, "xl/styles.xml").iter():
+        if _local(e) == "numFmt":
+            plain = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", e.get("formatCode", ""))
+            custom[e.get("numFmtId")] = bool(re.search("[dy]", plain, re.I))
+        elif _local(e) == "cellXfs":
+            styles = [x.get("numFmtId", "0") for x in e]
+    built_in = {*range(14, 18), 22, *range(27, 37), *range(50, 59)}
+    return frozenset(str(k) for k, f in enumerate(styles) if custom.get(f, f.isdecimal() and int(f) in built_in))
+
+
+def _serial_date(text: str, late: bool) -> str | None:
+    """The day of a serial number, in the system of 1900 or 1904; null if there is none."""
+    try:
+        days = int(float(text))
+        return str(datetime.date(1904, 1, 1) + datetime.timedelta(days) if late else datetime.date(1899, 12, 30) + datetime.timedelta(days + (days < 60)))
+    except (ValueError, OverflowError):
+        return None
+
+
 def sheet_cells(content: bytes) -> Iterator[tuple]:
     """(ordinal, name, visible, row, column, type, text, formula) of every cell with content."""
     with zipfile.ZipFile(io.BytesIO(content)) as package:
@@ -54,7 +77,10 @@ def sheet_cells(content: bytes) -> Iterator[tuple]:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in item.iter() if _local(t) == "t") for item in _xml(package, "xl/sharedStrings.xml")]
         target = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in _xml(package, "xl/_rels/workbook.xml.rels")}
-        sheets = [s for s in _xml(package, "xl/workbook.xml").iter() if _local(s) == "sheet"]
+        workbook = _xml(package, "xl/workbook.xml")
+        sheets = [s for s in workbook.iter() if _local(s) == "sheet"]
+        late = any(_local(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in workbook.iter())
+        dated = _date_styles(package) if "xl/styles.xml" in names else frozenset()
         if len(sheets) > LIMITS["sheets"]:
             raise Refused("sheets_exceeded")
         for ordinal, sheet in enumerate(sheets):
@@ -78,6 +104,10 @@ def sheet_cells(content: bytes) -> Iterator[tuple]:
                     text = parts["v"].text if "v" in parts else None
                     if kind == "s" and text is not None:
                         text = shared[int(text)]
+                if kind == "n" and text is not None and c.get("s") in dated:
+                    kind, text = "date", _serial_date(text, late)
+                if kind == "d":
+                    kind, text = "date", text and text[:10]
                 if text is not None or "f" in parts:
                     yield ordinal, sheet.get("name"), sheet.get("state", "visible") == "visible", int(m[2]), m[1], "text" if kind in ("s", "str", "inlineStr") else kind, text, "f" in parts
 
@@ -101,13 +131,14 @@ def xlsx_cells(files: DataFrame, content: str = "content", key: str = "path") ->
 
 
 def wide(cells: DataFrame, letters: str = "ABCDEFGH") -> DataFrame:
-    """A row for each row of a sheet: the texts of its columns, and whether any is a formula
-    or not a text."""
+    """A row for each row of a sheet: the texts of its columns, ``types`` by letter, and whether
+    any is a formula or not a text."""
     return (
         cells.filter("code is null")
         .groupBy("source_id", "sheet_ordinal", "row_number")
         .agg(
             *(F.max(F.when(F.col("column") == x, F.col("value_text"))).alias(x) for x in letters),
+            F.map_from_entries(F.collect_list(F.struct("column", "value_type"))).alias("types"),
             F.bool_or("is_formula").alias("has_formula"),
             F.bool_or(F.col("value_type") != "text").alias("has_other_type"),
         )

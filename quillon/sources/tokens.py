@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.ids import within
-
 #: Left and right edge of each column of the historical statement.
 BANDS = {"date": (40, 94), "branch": (94, 150), "description": (150, 286), "reference": (286, 360), "debit": (360, 426), "credit": (426, 505), "balance": (505, 606)}
 
@@ -36,8 +34,8 @@ def lines(tokens: DataFrame, tolerance: float = 2.0) -> DataFrame:
 
 
 def banded(lined: DataFrame, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
-    """A row for each line, with the text of each band from left to right."""
-    text = lambda low, high: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(within(F.col("x0"), F.col("x1"), low, high), F.struct("x0", "ordinal", "text")))), lambda t: t["text"]), " "), F.lit(""))
+    """A row for each line, with the text of each band, where its tokens begin, from left to right."""
+    text = lambda low, high: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("x0") >= low) & (F.col("x0") < high), F.struct("x0", "ordinal", "text")))), lambda t: t["text"]), " "), F.lit(""))
     return lined.groupBy("doc_id", "page", "line").agg(*(text(*edges).alias(name) for name, edges in bands.items()))
 
 

@@ -20,18 +20,18 @@ def files(spark: SparkSession, folder: str, account_id: str, limit: int = 100) -
     return stream.select(F.sha2("content", 256).alias("digest"), F.lit(account_id).alias("account_id"), "path")
 
 
+_LEDGER = "digest string, account_id string, path string, copies bigint, batch int"
+
+
 def ingest(stream: DataFrame, ledger_path: str, checkpoint: str) -> StreamingQuery:
     """Appends to the ledger what is new.  The batch's number is a folder of the ledger, so
     a batch that is run again after a failure replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            ledger = spark.read.option("basePath", ledger_path).parquet(ledger_path).filter(F.col("batch") != number)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            ledger = None
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        ledger = spark.read.schema(_LEDGER).option("basePath", ledger_path).parquet(ledger_path).filter(F.col("batch") != number) if there else None
         admitted(batch, ledger).write.mode("overwrite").parquet(os.path.join(ledger_path, f"batch={number}"))
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()

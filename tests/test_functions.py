@@ -32,7 +32,7 @@ def test_labels(spark):
     ("raw", "value", "code"),
     [
         ("1.234,56", "1234.56", None), ("1,234.5", "1234.5", None), ("$ 1.234.567", "1234567", None), ("1234.567", "1234567", None), ("12,3", "12.3", None), ("1.23.456", None, "amount_invalid"),
-        ("-5", None, "negative_source_amount"), ("$-5", None, "negative_source_amount"), ("0", "0", "zero_amount_unsupported"), ("", None, "amount_missing"), (None, None, "amount_missing"), ("abc", None, "amount_invalid"), ("1,2345", None, "amount_invalid"), ("9" * 19, None, "amount_invalid"),
+        ("-5", None, "negative_source_amount"), ("$-5", None, "negative_source_amount"), ("(5)", None, "negative_source_amount"), ("0", "0", "zero_amount_unsupported"), ("", None, "amount_missing"), (None, None, "amount_missing"), ("abc", None, "amount_invalid"), ("1,2345", None, "amount_invalid"), ("9" * 19, None, "amount_invalid"),
     ],
 )
 def test_sheet_amounts(spark, raw, value, code):
@@ -40,6 +40,13 @@ def test_sheet_amounts(spark, raw, value, code):
     assert (r["value"], r["code"]) == (Decimal(value) if value else None, code)
 
 
+def test_sheet_cells(spark):
+    rows = [(0, "0.125", "n"), (1, "12.5", "n"), (2, "-1", "n"), (3, "1.234", "text"), (4, "1", "b"), (5, "0", "n"), (6, "1E3", "n"), (7, "2026-01-01", "date"), (8, None, "n")]
+    frame = spark.createDataFrame(rows, "k int, x string, t string")
+    found = [(r["v"]["value"], r["v"]["code"]) for r in frame.select("k", money.sheet_cell(F.col("x"), F.col("t")).alias("v")).orderBy("k").collect()]
+    assert found == [(None, "money_scale_exceeded"), (Decimal("12.5"), None), (None, "negative_source_amount"), (Decimal(1234), None), (None, "amount_invalid"), (None, "zero_amount_unsupported"), (Decimal(1000), None), (None, "amount_invalid"), (None, "amount_invalid")]
+
+
 def test_other_money(spark):
     assert values(spark, ["1.234,5", "1,5", "1.234", "(1.234)", "x", None], money.token_amount) == ["1234.5", "1.5", "1.234", "-1.234", None, None]
     assert values(spark, ["1.234", "-1.234"], lambda c: money.token_amount(c, F.lit(True))) == ["1234", "-1234"]
@@ -50,13 +57,13 @@ def test_other_money(spark):
 
 
 def test_dates(spark):
-    assert values(spark, ["2026-01-05", "5/1/2026", "31.02.2026", "x", None], dates.full_date) == [D(2026, 1, 5), D(2026, 1, 5), None, None, None]
+    assert values(spark, ["2026-01-05", "5/1/2026", "31/02/2026", "5.1.2026", "5/1-2026", "x", None], dates.full_date) == [D(2026, 1, 5), D(2026, 1, 5), None, None, None, None, None]
     assert values(spark, ["05-01-2026", "5-1-2026", "05/01/2026"], lambda c: dates.exact_date(c, "-")) == [D(2026, 1, 5), None, None]
     found = values(spark, ["el 3 de Marzo de 2026 y 04/05/2026, 3 marzo 2026", "nada"], dates.month_dates)
     assert found == [[D(2026, 5, 4), D(2026, 3, 3)], []]
     day = lambda s: F.lit(s).cast("date")
     inside = values(spark, ["31/12", "02/01", "15/06", "29/02", "30/02", "x", None], lambda c: dates.resolved(c, day("2025-12-20"), day("2026-01-20")))
-    assert [(r["value"], r["code"]) for r in inside] == [(D(2025, 12, 31), None), (D(2026, 1, 2), None), (None, "date_outside_period"), (None, "date_outside_period"), (None, "date_invalid"), (None, "date_invalid"), (None, "date_invalid")]
+    assert [(r["value"], r["code"]) for r in inside] == [(D(2025, 12, 31), None), (D(2026, 1, 2), None), (None, "date_year_ambiguous"), (None, "date_year_ambiguous"), (None, "date_invalid"), (None, "date_invalid"), (None, "date_invalid")]
     assert values(spark, ["10/01"], lambda c: dates.resolved(c, day("2025-01-01"), day("2026-02-01")))[0]["code"] == "date_year_ambiguous"
 
 

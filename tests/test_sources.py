@@ -31,7 +31,7 @@ def test_workbooks_to_movements(spark):
     rows = {r["row_number"]: r for r in statements.recent(cells.wide(found)).collect()}
     assert [(k, rows[k]["outcome"], list(rows[k]["codes"])) for k in sorted(rows)] == [
         (1, "IGNORED", ["metadata_row"]), (8, "IGNORED", ["header_row"]), (9, "PARSED", []), (10, "REJECTED", ["transaction_date_order_invalid"]),
-        (11, "REJECTED", ["accounting_date_invalid", "direction_xor_invalid"]), (12, "REJECTED", ["formula_unsupported", "cell_type_unsupported"]),
+        (11, "REJECTED", ["accounting_date_invalid", "direction_xor_invalid"]), (12, "REJECTED", ["formula_unsupported"]),
     ]
 
 
@@ -39,14 +39,14 @@ def test_current_account(spark):
     sheet = [
         (1, "Cuenta", None, None, None, None, None, None, False), (2, "Fecha", None, "Detalle", None, "Cargos", "Abonos", "Saldo", False), (3, "31/12", None, "a", None, "1.000", None, "9.000", False), (4, "02/01/2026", None, "b", None, None, "500", "x", False),
         (5, None, None, None, None, None, None, None, False), (6, "03/01", None, "c", None, "1", "2", None, False), (7, "30/02", None, "d", None, "1", None, None, False), (8, "04/01", None, "e", None, None, None, None, False),
-        (9, None, None, "more", None, None, None, None, False), (10, "05/01", None, "f", None, "9", None, None, True), (11, "Fecha", None, "Detalle", None, "Cargos", "Abonos", "Saldo", False), (12, "Resumen comisiones", None, "", None, None, None, None, False), (13, "06/01", None, "g", None, "5", None, None, False),
+        (9, None, None, "more", None, None, None, None, False), (10, "05/01", None, "f", None, "9", None, None, True), (11, "Fecha", None, "Detalle", None, "Cargos", "Abonos", "Saldo", False), (12, None, None, "Resumen de comisiones", None, None, None, None, False), (13, "06/01", None, "g", None, "5", None, None, False), (14, "Mensajes", None, None, None, None, None, None, False), (15, "07/01", None, "h", None, "5", None, None, False),
     ]
     rows = spark.createDataFrame([("s", 0, *r, False) for r in sheet], "source_id string, sheet_ordinal int, row_number int, A string, B string, C string, D string, E string, F string, G string, has_formula boolean, has_other_type boolean")
     periods = spark.createDataFrame([("s", D(2025, 12, 20), D(2026, 1, 20))], "source_id string, period_start date, period_end date")
     found = {r["row_number"]: r for r in statements.current(rows, periods).collect()}
     assert [(k, found[k]["outcome"][0], *found[k]["codes"]) for k in sorted(found)] == [
         (1, "I", "metadata_row"), (2, "I", "header_row"), (3, "P"), (4, "P", "running_balance_invalid"), (5, "I", "blank_row"), (6, "R", "debit_credit_conflict"), (7, "R", "date_invalid"), (8, "R", "amount_missing"),
-        (9, "I", "auxiliary_row"), (10, "R", "formula_unsupported"), (11, "I", "repeated_header"), (12, "I", "commission_summary_section"), (13, "I", "post_summary_section"),
+        (9, "I", "auxiliary_row"), (10, "R", "formula_unsupported"), (11, "I", "repeated_header"), (12, "I", "commission_summary_section"), (13, "I", "commission_summary"), (14, "I", "post_summary_section"), (15, "I", "auxiliary_row"),
     ]
     assert (found[3]["date"], int(found[3]["signed_amount"]), int(found[4]["signed_amount"])) == (D(2025, 12, 31), -1000, 500)
 
@@ -65,11 +65,12 @@ def test_printed_statement(spark):
 
 
 def test_statement_checks(spark):
-    rows = spark.createDataFrame([("b", 1, 100, None, 900), ("b", 2, None, 50, 950), ("c", 1, 10, None, 80)], "import_batch_id string, ordinal int, debit int, credit int, balance int").selectExpr("import_batch_id", "ordinal", *(f"cast({c} as decimal(20,2)) {c}" for c in ("debit", "credit", "balance")))
+    rows = spark.createDataFrame([("b", 1, 100, None, 900), ("b", 2, None, 50, 950), ("c", 1, 10, None, 80)], "import_batch_id string, ordinal int, debit int, credit int, balance int").selectExpr("import_batch_id", "ordinal", "'PARSED' outcome", *(f"cast({c} as decimal(20,2)) {c}" for c in ("debit", "credit", "balance")))
     batches = spark.createDataFrame([("b", 1000, 950, 100, 50), ("c", 100, 80, 20, 0), ("d", 5, 6, 0, 1)], "import_batch_id string, opening int, closing int, debits int, credits int").selectExpr("import_batch_id", *(f"cast({c} as decimal(20,2)) {c}" for c in ("opening", "closing", "debits", "credits")))
     found = {r["import_batch_id"]: r.asDict() for r in reconcile.historical_checks(rows, batches).collect()}
-    assert [int(found[k]["difference"]) for k in "bcd"] == [0, -10, -1]
-    assert not found["c"]["running_balance_continuity"] and found["c"]["summary_balance_equation"] and not found["d"]["final_running_balance_matches"]
+    assert [found[k]["difference"] and int(found[k]["difference"]) for k in "bcd"] == [None, 10, -1]
+    assert [found["c"][n] for n in reconcile.CHECKS] == ["FAIL", "PASS", "FAIL", "PASS"] and [found["d"][n] for n in reconcile.CHECKS] == ["INSUFFICIENT_DATA", "PASS", "FAIL", "FAIL"]
+    assert found["d"]["running_balance_continuity_reason"] == "no_transaction_balance" and found["b"]["reconciliation_status"] == "RECONCILED"
     lines = spark.createDataFrame([("x", "previous", 1, 100), ("x", "purchases", 2, 50), ("x", "charges", 3, 5), ("x", "charges", 4, 7), ("x", "payments", 5, -100), ("x", "current", 6, 55), ("y", "previous", 1, 3)], "import_batch_id string, operand string, line int, value int")
     cards = {r["import_batch_id"]: r for r in reconcile.card_equation(lines).collect()}
     assert cards["x"]["reconciliation_status"] == "RECONCILED" and cards["y"]["missing"] == ["purchases", "charges", "payments", "current"]

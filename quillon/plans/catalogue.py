@@ -293,7 +293,7 @@ def account_discovery(spark, sf_dir):
     return report.discover(accounts(spark, sf_dir)).select("account_id", "display_name", "kind", "currency")
 
 
-_TUPLE = "l_suppkey AS account_id, occurrence_date AS date, l_quantity AS amount"
+_TUPLE = "import_batch_id % 400 AS account_id, CAST(date_trunc('year', occurrence_date) AS DATE) AS date, CAST(l_quantity AS INTEGER) % 5 AS amount"
 
 
 @query(f"""WITH m AS ({_MOVEMENTS}), o AS (SELECT movement_id AS observation_id, {_TUPLE}, import_batch_id AS b, line AS o, import_batch_id % 5 <> 0 AS can, l_partkey_ % 3 <> 0 AS good FROM (SELECT *, part_id AS l_partkey_ FROM m) WHERE signed_amount < 0),
@@ -306,7 +306,7 @@ _TUPLE = "l_suppkey AS account_id, occurrence_date AS date, l_quantity AS amount
   SELECT observation_id, CASE WHEN reason IS NULL THEN 'ABSTAIN' ELSE 'CONFIRM_NEW' END AS action, reason FROM r""")
 def policy_confirm(spark, sf_dir):
     """Claims of batches of which every fifth isn't accepted; a third of the rows have no balance."""
-    rows = movements(spark, sf_dir).select("movement_id", "import_batch_id", "line", "signed_amount", F.col("l_suppkey").alias("account_id"), F.col("occurrence_date").alias("date"), F.col("l_quantity").alias("amount"), F.lit("CLP").alias("currency"), (F.col("part_id") % 3 != 0).alias("balanced"), (F.col("import_batch_id") % 5 != 0).alias("eligible"))
+    rows = movements(spark, sf_dir).select("movement_id", "import_batch_id", "line", "signed_amount", (F.col("import_batch_id") % 400).alias("account_id"), F.trunc("occurrence_date", "year").alias("date"), (F.col("l_quantity").cast("int") % 5).alias("amount"), F.lit("CLP").alias("currency"), (F.col("part_id") % 3 != 0).alias("balanced"), (F.col("import_batch_id") % 5 != 0).alias("eligible"))
     claims = rows.filter("signed_amount < 0").withColumnsRenamed({"movement_id": "observation_id", "import_batch_id": "batch_order", "line": "ordinal"})
     return lifecycle.confirm(claims, rows.filter("signed_amount > 0")).select("observation_id", "action", "reason")
 
@@ -378,7 +378,7 @@ def recent_rows(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS t, o_orderkey % 13 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
-  b AS (SELECT *, CASE WHEN n > 40 THEN CASE WHEN n = 41 THEN 'commission_summary_section' WHEN n < 43 THEN 'commission_summary' WHEN n = 43 THEN 'post_summary_section' ELSE 'auxiliary_row' END
+  b AS (SELECT *, CASE WHEN n > 8 THEN CASE WHEN n = 9 THEN 'commission_summary_section' WHEN n < 11 THEN 'commission_summary' WHEN n = 11 THEN 'post_summary_section' ELSE 'auxiliary_row' END
       WHEN v = 6 THEN 'auxiliary_row' WHEN v = 9 THEN 'blank_row' WHEN v = 12 THEN 'repeated_header' END AS ignored,
     CASE v WHEN 3 THEN 'date_invalid' WHEN 4 THEN 'debit_credit_conflict' WHEN 5 THEN 'amount_missing' WHEN 7 THEN 'negative_source_amount' WHEN 8 THEN 'formula_unsupported' WHEN 10 THEN 'zero_amount_unsupported' WHEN 11 THEN 'date_unsupported'
       WHEN 1 THEN CASE WHEN o_orderkey % 2 = 1 THEN 'money_scale_exceeded' END WHEN 2 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'date_outside_period' END END AS rejected FROM o)
@@ -386,7 +386,7 @@ def recent_rows(spark, sf_dir):
     CASE WHEN coalesce(ignored, rejected) IS NULL THEN CAST(CASE v WHEN 0 THEN -floor(t) WHEN 1 THEN t ELSE -t END AS DECIMAL(20,2)) END AS signed_amount, CASE WHEN coalesce(ignored, rejected) IS NULL THEN d END AS date FROM b""")
 def current_rows(spark, sf_dir):
     """Orders printed as current-account sheets: a header, thirteen kinds of rows, and from the
-    41st row of a customer on a commission summary."""
+    ninth row of a customer on a commission summary."""
     w, k = Window.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").withColumns({"n": F.row_number().over(w), "v": k % 13, "d": F.col("o_orderdate").cast("date"), "price": amount("o_totalprice")})
     pick = lambda *cases: F.coalesce(*(F.when(F.col("v").isin(*v), x) for v, x in cases), F.lit(None).cast("string"))
@@ -401,8 +401,8 @@ def current_rows(spark, sf_dir):
         "F": pick(([1], F.when(k % 2 == 1, F.lit("0.125")).otherwise(F.col("price").cast("string"))), ([4], F.lit("7")), titles("F")),
         "G": pick(([0], F.lit("much")), ([1, 2], F.lit("0")), titles("G")),
     }
-    marks = {"A": F.when(F.col("n") == 43, "Mensajes"), "C": F.when(F.col("n") == 41, "Resumen de comisiones")}
-    special = F.col("n").isin(41, 43)
+    marks = {"A": F.when(F.col("n") == 11, "Mensajes"), "C": F.when(F.col("n") == 9, "Resumen de comisiones")}
+    special = F.col("n").isin(9, 11)
     cells = {c: F.when(special, marks.get(c, F.lit(None).cast("string"))).otherwise(x) for c, x in cells.items()}
     kinds = F.create_map(F.lit("F"), F.when(F.col("v") == 1, "n").otherwise("text"), F.lit("A"), F.when(F.col("v") == 11, "n").otherwise("text"))
     rows = orders.select(F.col("o_custkey").alias("source_id"), F.lit(0).alias("sheet_ordinal"), (F.col("n") + 1).alias("row_number"), "o_orderkey", *(x.alias(c) for c, x in cells.items()), kinds.alias("types"), ((F.col("v") == 8) & ~special).alias("has_formula"))
@@ -417,7 +417,7 @@ _PRINTED = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_ship
 
 
 @query(f"""WITH p AS ({_PRINTED}), c AS (SELECT *, CASE v WHEN 1 THEN 'row_geometry_ambiguous' WHEN 2 THEN 'money_precision_overflow' WHEN 3 THEN 'amount_invalid' WHEN 4 THEN 'amount_missing' WHEN 5 THEN 'amount_both_sides' WHEN 6 THEN 'negative_directional_amount' WHEN 7 THEN 'zero_amount_unsupported' WHEN 8 THEN 'running_balance_missing' WHEN 10 THEN 'running_balance_invalid' END AS code,
-    v <> 0 AND d BETWEEN s AND s + 60 AS inside FROM p),
+    v <> 0 AND d BETWEEN s - 1500 AND s + 1500 AS inside FROM p),
   m AS (SELECT *, max(CASE WHEN inside AND code IS NULL THEN d END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
   r AS (SELECT *, CASE WHEN v = 0 THEN 'date_invalid' WHEN NOT inside THEN 'date_outside_period' WHEN d < before THEN 'date_order_invalid' ELSE code END AS reason FROM m)
   SELECT l_orderkey, n AS line, CASE WHEN reason IS NULL THEN 'PARSED' ELSE 'REJECTED' END AS outcome, coalesce(reason, '') AS codes, CASE WHEN reason IS NULL THEN CAST(-p AS DECIMAL(20,2)) END AS signed_amount FROM r""")
@@ -432,7 +432,7 @@ def historical_rows(spark, sf_dir):
         F.when(v == 1, "1 2").when(v == 2, "9" * 20).when(v.isin(5, 7), "0").when(v.isin(3, 4, 6), none).otherwise(F.col("p")).alias("debit"), F.when(v == 3, "x").when(v == 5, "5").when(v == 6, "-5").otherwise(none).alias("credit"),
         F.when(v == 8, none).when(v == 10, "1.2").otherwise("-1.000").alias("balance"),
     )
-    periods = orders.select(F.col("o_orderkey").alias("doc_id"), F.col("s").alias("period_start"), F.date_add("s", 60).alias("period_end"))
+    periods = orders.select(F.col("o_orderkey").alias("doc_id"), F.date_sub("s", 1500).alias("period_start"), F.date_add("s", 1500).alias("period_end"))
     found = statements.historical(rows, periods)
     return found.select(F.col("doc_id").alias("l_orderkey"), "line", "outcome", F.array_join("codes", ",").alias("codes"), "signed_amount")
 

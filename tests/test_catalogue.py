@@ -1,6 +1,7 @@
 import pytest
 
 from quillon.operators.lifecycle import TRANSITIONS
+from quillon.plans import evidence  # noqa: F401
 from quillon.plans.catalogue import QUERIES, SQL
 
 

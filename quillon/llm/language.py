@@ -72,26 +72,34 @@ class BiGru:
     def probabilities(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
         """(positions, rows, classes); rows have falling ``lengths``, what follows is not read."""
         H, T = self.hidden, x.shape[1]
-        out = np.zeros((T, len(x), len(self.p["out_b"])), np.float32)
+        out, read = np.zeros((T, len(x), len(self.p["out_b"])), np.float32), np.ascontiguousarray(x.T).astype(np.intp)
         # how many rows reach each position: the first ones
         active = np.full(T, len(x)) if lengths is None else np.searchsorted(-lengths, -np.arange(T), "left")
         for d, order in (("f", range(T)), ("b", range(T - 1, -1, -1))):
             # sigmoid(x) is half of tanh(x / 2), plus a half
             half = np.array([0.5] * 2 * H + [1] * H, np.float32)
             table, wh = (np.ascontiguousarray(m * half) for m in (self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"], self.p[f"h{d}"]))
+            wh[:, 2 * H :] *= 0.5  # for the reset gate's half
             w, state = self.p["out"][:H] if d == "f" else self.p["out"][H:], np.zeros((len(x), H), np.float32)
+            room = [np.empty((len(x), width), np.float32) for width in (3 * H, 3 * H, 2 * H, H, w.shape[1])]
             for t in order:
                 n = active[t]
-                h, gx = state[:n], table[x[:n, t]]
-                gh = h @ wh
-                gates = np.tanh(gx[:, : 2 * H] + gh[:, : 2 * H])
+                h, (gx, gh, gates, new, part) = state[:n], (m[:n] for m in room)
+                np.take(table, read[t, :n], axis=0, out=gx, mode="clip")
+                np.matmul(h, wh, out=gh)
+                np.add(gx[:, : 2 * H], gh[:, : 2 * H], out=gates)
+                np.tanh(gates, out=gates)
                 gates += 1
-                gates *= 0.5
-                new = np.tanh(gx[:, 2 * H :] + gates[:, :H] * gh[:, 2 * H :])
+                np.multiply(gates[:, :H], gh[:, 2 * H :], out=new)
+                new += gx[:, 2 * H :]
+                np.tanh(new, out=new)
+                keep = gates[:, H:]
+                keep *= 0.5
                 h -= new
-                h *= gates[:, H:]
+                h *= keep
                 h += new
-                out[t, :n] += h @ w
+                np.matmul(h, w, out=part)
+                out[t, :n] += part
         out += self.p["out_b"]
         out -= out.max(axis=2, keepdims=True)
         np.exp(out, out=out)

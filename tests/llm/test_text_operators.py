@@ -195,7 +195,7 @@ def test_buckets_bound_what_sets_share():
         most = similar.most_common(similar.bucketed(a), similar.bucketed(b))
         both = len(np.intersect1d(a, b))
         assert both <= most <= min(len(a), len(b))
-        x, y = similar.bitmap(a), similar.bitmap(b)
+        x, y = similar.bitmap(a).view(np.uint64), similar.bitmap(b).view(np.uint64)
         assert both <= len(a) - np.bitwise_count(x & ~y).sum() and both <= len(b) - np.bitwise_count(y & ~x).sum()
     same = np.arange(300, dtype=np.uint64) << np.uint64(20)
     assert similar.most_common(similar.bucketed(same), similar.bucketed(same)) is None

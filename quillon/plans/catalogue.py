@@ -144,7 +144,7 @@ _ORDER = ["occurrence_date", "movement_id", "signed_amount", "l_quantity"]
   CAST(sum(signed_amount) OVER (PARTITION BY account_id ORDER BY {', '.join(_ORDER)} ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,2)) AS running_balance FROM m""")
 def running_balance(spark, sf_dir):
     rows = movements(spark, sf_dir).select("account_id", *_ORDER)
-    return reconcile.running_balance(rows, "account_id", _ORDER)
+    return reconcile.running_balance(rows, "account_id", _ORDER, F.trunc("occurrence_date", "quarter"))
 
 
 @query(f"""WITH m AS ({_MOVEMENTS}), b AS (SELECT *, CAST(sum(signed_amount) OVER w AS DECIMAL(38,2)) + CASE WHEN line = 5 THEN 1 ELSE 0 END AS balance, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY account_id ORDER BY {', '.join(_ORDER)} ROWS UNBOUNDED PRECEDING)),
@@ -152,9 +152,9 @@ def running_balance(spark, sf_dir):
   SELECT account_id, min(n) AS "row", CAST(arg_min(d, n) AS DECIMAL(38,2)) AS difference FROM d WHERE d <> 0 GROUP BY 1""")
 def continuity_breaks(spark, sf_dir):
     """Every fifth line's printed balance is one too much."""
-    rows = reconcile.running_balance(movements(spark, sf_dir), "account_id", _ORDER)
+    rows = reconcile.running_balance(movements(spark, sf_dir), "account_id", _ORDER, F.trunc("occurrence_date", "quarter"))
     rows = rows.withColumn("balance", F.col("running_balance") + F.when(F.col("line") == 5, 1).otherwise(0))
-    return reconcile.continuity(rows, F.lit(0).cast(money.MONEY), "account_id", _ORDER)
+    return reconcile.continuity(rows, F.lit(0).cast(money.MONEY), "account_id", _ORDER, F.trunc("occurrence_date", "quarter"))
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS artifact_id, count(*) AS copies, false AS collision FROM documents GROUP BY 1")
@@ -237,20 +237,26 @@ def classification_replay(spark, sf_dir):
   SELECT o_orderkey, coalesce(date < max(CASE WHEN valid THEN date END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS out_of_order FROM o""")
 def date_order_violations(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("date"))
-    return reconcile.date_order(rows, "o_custkey", ["o_orderkey"], F.col("o_orderstatus") != "F").select("o_orderkey", "out_of_order")
+    return reconcile.date_order(rows, "o_custkey", ["o_orderkey"], F.col("o_orderstatus") != "F", block=F.floor(F.col("o_orderkey") / 4096)).select("o_orderkey", "out_of_order")
 
 
-@query(f"""WITH c AS ({_COUNTS}) SELECT 'kind_orientation' AS constraint_name, CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 12 = 0
-  UNION ALL SELECT 'counts_match_status', CAST(import_batch_id AS VARCHAR) FROM c WHERE rejected > 0
+@query(f"""WITH c AS ({_COUNTS}), b AS (SELECT import_batch_id AS k, parsed AS p, ignored AS i, rejected AS r,
+    CASE WHEN k % 11 = 0 THEN 'ACCEPTED' WHEN k % 13 = 0 THEN 'FATAL' WHEN k % 17 = 0 THEN 'REJECTED' WHEN k % 19 = 0 THEN 'PARTIAL' WHEN k % 23 = 0 THEN 'OPEN' WHEN rejected = 0 THEN 'ACCEPTED' WHEN parsed > 0 THEN 'PARTIAL' ELSE 'REJECTED' END AS s FROM c JOIN orders ON import_batch_id = o_orderkey)
+  SELECT 'kind_orientation' AS constraint_name, CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 12 = 0
+  UNION ALL SELECT 'status_known', CAST(k AS VARCHAR) FROM b WHERE s = 'OPEN'
+  UNION ALL SELECT 'counts_match_status', CAST(k AS VARCHAR) FROM b WHERE CASE s WHEN 'ACCEPTED' THEN r > 0 WHEN 'PARTIAL' THEN p = 0 OR r = 0 WHEN 'REJECTED' THEN p > 0 OR r = 0 WHEN 'FATAL' THEN p + i + r > 0 END
+  UNION ALL SELECT 'period_order', CAST(k AS VARCHAR) FROM b WHERE k % 7 = 0
   UNION ALL SELECT 'unique_record', concat_ws('|', l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
   UNION ALL SELECT 'batch_has_account', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)""")
 def constraint_violations(spark, sf_dir):
-    """Tables that break some constraints on purpose, so that the view isn't empty."""
+    """Accounts, batches with statuses and periods of their own, some wrong on purpose, and orders."""
     held = accounts(spark, sf_dir)
     wrong = held.withColumn("economic_orientation", F.when(F.col("account_id") % 12 == 0, "ASSET").otherwise(F.col("economic_orientation")))
-    day = F.lit("2026-01-01").cast("date")
-    counts = reconcile.batch_status(records(spark, sf_dir)).withColumns({"status": F.lit("ACCEPTED"), "period_start": day, "period_end": day})
-    orders = table(spark, sf_dir, "orders")
+    orders, k = table(spark, sf_dir, "orders"), F.col("import_batch_id")
+    day = F.col("o_orderdate").cast("date")
+    periods = orders.select(F.col("o_orderkey").alias("import_batch_id"), day.alias("period_start"), F.date_add(day, F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(30)).alias("period_end"))
+    told = F.when(k % 11 == 0, "ACCEPTED").when(k % 13 == 0, "FATAL").when(k % 17 == 0, "REJECTED").when(k % 19 == 0, "PARTIAL").when(k % 23 == 0, "OPEN")
+    counts = reconcile.batch_status(records(spark, sf_dir)).join(periods, "import_batch_id").withColumn("status", F.coalesce(told, "status"))
     return constraints.every(
         constraints.broken(wrong, "account_id", **constraints.account_rules()),
         constraints.broken(counts, "import_batch_id", **constraints.batch_rules()),

@@ -76,6 +76,29 @@ def test_statement_checks(spark):
     assert cards["x"]["reconciliation_status"] == "RECONCILED" and cards["y"]["missing"] == ["purchases", "charges", "payments", "current"]
 
 
+def test_blocks_say_what_one_window_says(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(rng.choice(["hot", "hot", "hot", "cold", None]), k, rng.choice([None, *range(-5, 6)]), rng.choice([None, 0, 7]), D(2026, 1, rng.randint(1, 28)) if k % 9 else None) for k in range(300)]
+    rows = spark.createDataFrame(data, "a string, k int, v int, b int, date date").selectExpr("a", "k", "cast(v as decimal(20,2)) signed_amount", "cast(b as decimal(20,2)) balance", "date")
+    zero, valid, block = F.lit(0).cast("decimal(20,2)"), F.col("k") % 5 != 0, F.floor(F.col("k") / 7)
+    every = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for found in (
+        lambda block=None: reconcile.running_balance(rows, "a", ["k"], block),
+        lambda block=None: reconcile.continuity(rows, zero, "a", ["k"], block),
+        lambda block=None: reconcile.date_order(rows, "a", ["k"], valid, True, block),
+        lambda block=None: reconcile.date_order(rows, "a", ["k"], valid, False, block),
+    ):
+        whole = every(found())
+        assert len(whole) > 2 and every(found(block)) == whole
+    total, got = {}, {r["k"]: r["running_balance"] for r in reconcile.running_balance(rows, "a", ["k"], block).collect()}
+    for a, k, v, _, _ in data:
+        total[a] = total.get(a) if v is None else (total.get(a) or 0) + v
+        assert got[k] == total[a]
+    assert reconcile.running_balance(rows.filter("k < 0"), "a", ["k"], block).isEmpty()
+
+
 def test_policy_against_a_fold(spark):
     import random
 

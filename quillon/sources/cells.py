@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of what is admitted.
-LIMITS = {"entries": 128, "total": 20 << 20, "entry": 10 << 20, "sheets": 4, "rows": 10_000, "columns": 64, "cells": 100_000}
+LIMITS = {"entries": 128, "total": 20 << 20, "entry": 10 << 20, "sheets": 4, "rows": 10_000, "columns": 64, "cells": 100_000, "depth": 64, "elements": 500_000, "name": 1024}
 _CELLS = "source_id string, code string, sheet_ordinal int, sheet_name string, visible boolean, row_number int, column string, value_type string, value_text string, is_formula boolean"
 _NAME = re.compile(r"([A-Z]+)([0-9]+)$")
 
@@ -35,11 +35,34 @@ def admit(package: zipfile.ZipFile) -> None:
         raise Refused("package_content_refused")
 
 
+class _Bounded(ElementTree.TreeBuilder):
+    """Builds a tree within the limits of depth, names, and elements of the whole package."""
+
+    def __init__(self, package: zipfile.ZipFile) -> None:
+        super().__init__()
+        self.package, self.depth = package, 0
+
+    def start(self, tag, attrs):
+        self.depth += 1
+        self.package.elements = getattr(self.package, "elements", 0) + 1
+        if self.depth > LIMITS["depth"] or self.package.elements > LIMITS["elements"] or max(map(len, (tag, *attrs))) > LIMITS["name"]:
+            raise Refused("xml_structure_exceeded")
+        if attrs.get("TargetMode", "").lower() == "external":
+            raise Refused("package_content_refused")
+        return super().start(tag, attrs)
+
+    def end(self, tag):
+        self.depth -= 1
+        return super().end(tag)
+
+
 def _xml(package: zipfile.ZipFile, name: str) -> ElementTree.Element:
     data = package.read(name)
     if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
         raise Refused("package_content_refused")
-    return ElementTree.fromstring(data)
+    parser = ElementTree.XMLParser(target=_Bounded(package))
+    parser.feed(data)
+    return parser.close()
 
 
 def _local(e: ElementTree.Element) -> str:
@@ -83,9 +106,10 @@ def sheet_cells(content: bytes) -> Iterator[tuple]:
         dated = _date_styles(package) if "xl/styles.xml" in names else frozenset()
         if len(sheets) > LIMITS["sheets"]:
             raise Refused("sheets_exceeded")
+        spelled = 0  # characters of shared strings, each time that a cell shows one
         for ordinal, sheet in enumerate(sheets):
             link = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
-            count = 0
+            count, last, widest = 0, 0, 0
             # the declared dimension is not looked at
             for c in _xml(package, "xl/" + target[link]).iter():
                 if _local(c) != "c":
@@ -94,7 +118,8 @@ def sheet_cells(content: bytes) -> Iterator[tuple]:
                 column = 0
                 for letter in m[1] if m else "":
                     column = column * 26 + ord(letter) - 64
-                if not m or int(m[2]) > LIMITS["rows"] or column > LIMITS["columns"] or count > LIMITS["cells"]:
+                last, widest = max(last, int(m[2]) if m else 0), max(widest, column)
+                if not m or last > LIMITS["rows"] or widest > LIMITS["columns"] or max(count, last * widest) > LIMITS["cells"]:
                     raise Refused("sheet_extent_exceeded")
                 parts = {_local(x): x for x in c}
                 kind = c.get("t", "n")
@@ -104,6 +129,9 @@ def sheet_cells(content: bytes) -> Iterator[tuple]:
                     text = parts["v"].text if "v" in parts else None
                     if kind == "s" and text is not None:
                         text = shared[int(text)]
+                        spelled += len(text)
+                        if spelled > LIMITS["total"]:
+                            raise Refused("shared_strings_exceeded")
                 if kind == "n" and text is not None and c.get("s") in dated:
                     kind, text = "date", _serial_date(text, late)
                 if kind == "d":

@@ -126,3 +126,29 @@ def test_streaming_ingestion(spark, tmp_path):
     rows = spark.read.parquet(ledger).collect()
     assert len(rows) == 3 and len({r["digest"] for r in rows}) == 3
     assert spark.read.parquet(ledger).agg(F.max("copies")).first()[0] == 2
+
+
+def test_workbooks_beyond_the_limits_are_refused(monkeypatch):
+    def code(content):
+        try:
+            return len(list(cells.sheet_cells(content)))
+        except cells.Refused as e:
+            return str(e)
+
+    deep = "<a>" * 70 + "</a>" * 70
+    assert code(workbook({1: {"A": "x"}})) == 1
+    assert code(workbook({1: {"A": deep}})) == "xml_structure_exceeded"
+    assert code(workbook({1: {"A": f"<{'n' * 2000}/>"}})) == "xml_structure_exceeded"
+    assert code(workbook({9000: {"A": "x"}, 1: {"AZ": "x"}})) == "sheet_extent_exceeded"  # few cells, a large rectangle
+    assert code(workbook({1: {"A": '<Relationship TargetMode="External"/>'}})) == "package_content_refused"
+    monkeypatch.setitem(cells.LIMITS, "elements", 12)
+    assert code(workbook({n: {"A": "x"} for n in range(1, 9)})) == "xml_structure_exceeded"
+    monkeypatch.undo()
+    out = io.BytesIO(workbook({}, [("xl/sharedStrings.xml", f"<sst><si><t>{'s' * 900}</t></si></sst>")]))
+    sheet = "<worksheet>" + "".join(f'<c r="A{n}" t="s"><v>0</v></c>' for n in range(1, 8)) + "</worksheet>"
+    with zipfile.ZipFile(out) as old, zipfile.ZipFile(again := io.BytesIO(), "w") as new:
+        for name in old.namelist():
+            new.writestr(name, sheet if name.endswith("s.xml") and "sheets/" in name else old.read(name))
+    assert code(again.getvalue()) == 7
+    monkeypatch.setitem(cells.LIMITS, "total", 5000)
+    assert code(again.getvalue()) == "shared_strings_exceeded"

@@ -34,7 +34,7 @@ _RUN = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]")
 CACHE_ENTRIES = 400_000
 
 
-def _printable() -> dict[str, int]:
+def printable() -> dict[str, int]:
     """Character of a vocabulary file to the byte it stands for."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in kept]
@@ -49,7 +49,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        of_char = _printable()
+        of_char = printable()
         raw = lambda token: bytes(of_char[c] for c in token)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}

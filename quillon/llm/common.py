@@ -51,11 +51,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one, if it is there."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what ``materialise`` wrote for ``df``."""
-    sc = df.sparkSession.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    remove(df.sparkSession, df._scratch_path)
 
 
 @contextmanager

@@ -159,6 +159,7 @@ def update(spark: SparkSession, path: str, labels: DataFrame, folder: str, batch
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every small store takes megabytes beforehand
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:

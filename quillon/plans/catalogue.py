@@ -217,9 +217,15 @@ def observation_state(spark, sf_dir):
     return lifecycle.state(_log(spark, sf_dir), "observation_id", F.struct("ts", "event_id"))
 
 
-@query()
+_AFTER = "CASE " + " ".join(f"WHEN action = '{a}' AND state = '{f}' THEN '{t}'" for a, f, t in lifecycle.TRANSITIONS) + " END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT event_id, observation_id, action, row_number() OVER (PARTITION BY observation_id ORDER BY ts, event_id) AS n FROM ({_LOG})),
+  r AS (SELECT DISTINCT observation_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS action, NULL::VARCHAR AS from_state, 'UNRESOLVED' AS state, 0 AS done, NULL::VARCHAR AS next FROM c
+    UNION ALL SELECT observation_id, n, event_id, action, state, coalesce(next, state), done + CAST(next IS NOT NULL AS INTEGER), next FROM (SELECT c.*, r.state, r.done, {_AFTER.replace('action', 'c.action').replace(' state', ' r.state')} AS next FROM r JOIN c ON c.observation_id = r.observation_id AND c.n = r.n + 1))
+  SELECT event_id, observation_id, action, from_state, state AS to_state, CASE WHEN next IS NOT NULL THEN done END AS sequence, CASE WHEN next IS NULL THEN 'transition_invalid' END AS code FROM r WHERE n > 0""")
 def resolution_replay(spark, sf_dir):
-    """A fold: a command is refused where the state, as all before left it, forbids it."""
+    """A command is refused where the state, as all before left it, forbids it."""
     return lifecycle.replay(_log(spark, sf_dir).select("event_id", "observation_id", "ts", "action"), "observation_id", ["ts", "event_id"]).drop("ts")
 
 

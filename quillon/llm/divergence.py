@@ -79,7 +79,8 @@ class Shard:
                 runs.append(np.array([at]))
                 at += len(words)
                 continue
-            pivot = np.sort(keys[:: max(1, len(keys) // 63)])[31]
+            few = np.sort(keys[:: max(1, len(keys) // 63)])
+            pivot = few[len(few) // 2]
             same, below = keys == pivot, keys < pivot
             above = ~(same | below)
             equal = words[same]

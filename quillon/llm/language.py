@@ -2,10 +2,11 @@
 
 The network reads a document's bytes from both sides, white space included, gives every
 position a probability for each language, and a document's probabilities are the mean over
-its positions.  A document of up to ``WINDOW`` bytes is read in one go.  A longer one is cut
-into windows, and each direction starts ``WARM_UP`` bytes before the window, where the
-document has them; what lies further back has no say in the state any more (a test compares
-this with reading in one go).  Windows of about one length are read together.
+its positions.  To read many positions at once, documents are cut into windows of ``WINDOW``
+bytes, and each direction starts ``WARM_UP`` bytes before its window.  The state that a
+window begins in is then held against the one that its neighbour ended in: where they
+differ by more than ``TOLERANCE``, the window is read again from the neighbour's, and so
+on until all agree.  So a document of any length is read as if in one go.
 
 The network is trained in numpy by backpropagation through time on pieces of a bounded
 sample of labelled documents, drawn evenly from the languages and from all over the texts;
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import extended
 
-WINDOW, WARM_UP = 2048, 64
+WINDOW, WARM_UP, TOLERANCE = 2048, 128, 1e-2
 #: Bytes of windows that are read together.
 BLOCK = 1 << 20
-#: Documents that are sampled to learn from.
-FIT_DOCS = 1200
+#: Documents that are sampled to learn from, and characters of each that are.
+FIT_DOCS, FIT_CHARS = 1200, 16_384
 #: Steps of the training, pieces of a step and their length.
 STEPS, PIECES, LENGTHS = 400, 96, (12, 96)
 
@@ -69,18 +70,32 @@ class BiGru:
             out[t] = h
         return out
 
-    def probabilities(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
-        """(positions, rows, classes); rows have falling ``lengths``, what follows is not read."""
+    def probabilities(self, x: np.ndarray, lengths: np.ndarray | None = None, start: np.ndarray | None = None, own: np.ndarray | None = None, states: np.ndarray | None = None) -> np.ndarray:
+        """(positions, rows, classes); rows have falling ``lengths``, what follows is not read.
+
+        ``start`` (2, rows, hidden) is where the two directions begin, zeros by default.  With
+        ``own`` (rows, first and last + 1 position), ``states`` (2, 2, rows, hidden) gets each
+        direction's state as it enters and as it leaves these positions.
+        """
         H, T = self.hidden, x.shape[1]
         out, read = np.zeros((T, len(x), len(self.p["out_b"])), np.float32), np.ascontiguousarray(x.T).astype(np.intp)
         # how many rows reach each position: the first ones
         active = np.full(T, len(x)) if lengths is None else np.searchsorted(-lengths, -np.arange(T), "left")
-        for d, order in (("f", range(T)), ("b", range(T - 1, -1, -1))):
+        for side, (d, order) in enumerate((("f", range(T)), ("b", range(T - 1, -1, -1)))):
+            # after which position which rows' states are wanted
+            wanted: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            if own is not None:
+                for where, at in enumerate((own[:, 0] - 1, own[:, 1] - 1) if d == "f" else (own[:, 1], own[:, 0])):
+                    states[side, where] = 0 if start is None else start[side]
+                    for t in np.unique(at).tolist():
+                        wanted.setdefault(t, []).append((states[side, where], np.flatnonzero(at == t)))
             # sigmoid(x) is half of tanh(x / 2), plus a half
             half = np.array([0.5] * 2 * H + [1] * H, np.float32)
             table, wh = (np.ascontiguousarray(m * half) for m in (self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"], self.p[f"h{d}"]))
             wh[:, 2 * H :] *= 0.5  # for the reset gate's half
             w, state = self.p["out"][:H] if d == "f" else self.p["out"][H:], np.zeros((len(x), H), np.float32)
+            if start is not None:
+                state[:] = start[side]
             room = [np.empty((len(x), width), np.float32) for width in (3 * H, 3 * H, 2 * H, H, w.shape[1])]
             for t in order:
                 n = active[t]
@@ -100,6 +115,10 @@ class BiGru:
                 h += new
                 np.matmul(h, w, out=part)
                 out[t, :n] += part
+                if t in wanted:
+                    for kept, rows in wanted[t]:
+                        rows = rows[rows < n]
+                        kept[rows] = h[rows]
         out += self.p["out_b"]
         out -= out.max(axis=2, keepdims=True)
         np.exp(out, out=out)
@@ -164,40 +183,76 @@ def train(docs: list[tuple[bytes, str]], seed: int = 7, steps: int = STEPS) -> t
     return languages, net
 
 
-def windows(texts: list[bytes]) -> Iterator[tuple[int, bytes, int, int]]:
-    """(text, bytes with warm-up on both sides, first and last + 1 of the own positions)."""
-    for k, t in enumerate(texts):
-        for at in range(0, len(t), WINDOW):
-            begin, end = max(0, at - WARM_UP), min(len(t), at + WINDOW + WARM_UP)
-            yield k, t[begin:end], at - begin, min(at + WINDOW, len(t)) - begin
+class Windows:
+    """Windows of texts, with what reading each has given."""
+
+    def __init__(self, net: BiGru, texts: list[bytes]):
+        self.net, self.texts = net, texts
+        self.text = np.array([k for k, t in enumerate(texts) for _ in range(0, len(t), WINDOW)], np.int64)
+        self.at = np.array([at for t in texts for at in range(0, len(t), WINDOW)], np.int64)
+        C = len(net.p["out_b"])
+        self.sums, self.labels = np.zeros((len(self.at), C)), np.zeros((len(self.at), C), np.int64)
+        self.states = np.zeros((2, 2, len(self.at), net.hidden), np.float32)
+        size = np.array([len(t) for t in texts], np.int64)
+        self.end = np.minimum(self.at + WINDOW, size[self.text]) if len(self.at) else self.at
+
+    def read(self, which: np.ndarray, warm_up: int, start: np.ndarray | None = None) -> None:
+        """Reads windows, each with ``warm_up`` bytes on both sides, beginning at ``start``."""
+        size = np.array([len(self.texts[k]) for k in self.text[which]], np.int64)
+        begin, end = np.maximum(self.at[which] - warm_up, 0), np.minimum(self.end[which] + warm_up, size)
+        order = np.argsort(begin - end, kind="stable")
+        while len(order):
+            n = max(1, BLOCK // int(end[order[0]] - begin[order[0]]))
+            now, order = order[:n], order[n:]
+            rows, lengths = which[now], end[now] - begin[now]
+            data = np.zeros((len(now), lengths[0]), np.uint8)
+            data[np.arange(lengths[0]) < lengths[:, None]] = np.frombuffer(b"".join(self.texts[self.text[r]][a:b] for r, a, b in zip(rows, begin[now], end[now], strict=True)), np.uint8)
+            own = np.stack([self.at[rows] - begin[now], self.end[rows] - begin[now]], axis=1)
+            states = np.empty((2, 2, len(now), self.net.hidden), np.float32)
+            prob = self.net.probabilities(data, lengths, None if start is None else start[:, now], own, states)
+            self.states[:, :, rows] = states
+            best = prob.argmax(axis=2)
+            for k, (r, (a, b)) in enumerate(zip(rows, own.tolist(), strict=True)):
+                self.sums[r] = prob[a:b, k].sum(axis=0, dtype=np.float64)
+                self.labels[r] = np.bincount(best[a:b, k], minlength=prob.shape[2])
+
+    def settle(self) -> int:
+        """Reads again what didn't begin where its neighbours ended; how many windows that took."""
+        again = 0
+        near = np.flatnonzero(self.text[1:] == self.text[:-1])  # these and the next ones are neighbours
+        while len(near):
+            apart = np.abs(self.states[0, 0, near + 1] - self.states[0, 1, near]).max(axis=1) > TOLERANCE
+            behind = np.abs(self.states[1, 0, near] - self.states[1, 1, near + 1]).max(axis=1) > TOLERANCE
+            which = np.union1d(near[apart] + 1, near[behind])
+            if not len(which):
+                break
+            again += len(which)
+            start = np.zeros((2, len(self.at), self.net.hidden), np.float32)
+            start[0, near + 1], start[1, near] = self.states[0, 1, near], self.states[1, 1, near + 1]
+            self.read(which, 0, start[:, which])
+        return again
 
 
 def pooled(net: BiGru, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per text the sums of its positions' probabilities and the counts of their labels."""
-    C = len(net.p["out_b"])
-    sums, labels = np.zeros((len(texts), C)), np.zeros((len(texts), C), np.int64)
-    held = sorted(windows(texts), key=lambda w: -len(w[1]))
-    while held:
-        n = max(1, BLOCK // len(held[0][1]))
-        block, held = held[:n], held[n:]
-        lengths = np.array([len(w[1]) for w in block])
-        data = np.zeros((len(block), lengths[0]), np.uint8)
-        data[np.arange(lengths[0]) < lengths[:, None]] = np.frombuffer(b"".join(w[1] for w in block), np.uint8)
-        prob = net.probabilities(data, lengths)
-        best = prob.argmax(axis=2)
-        for row, (k, _, a, b) in enumerate(block):
-            sums[k] += prob[a:b, row].sum(axis=0, dtype=np.float64)
-            labels[k] += np.bincount(best[a:b, row], minlength=C)
+    found = Windows(net, texts)
+    found.read(np.arange(len(found.at)), WARM_UP)
+    found.settle()
+    sums, labels = np.zeros((len(texts), found.sums.shape[1])), np.zeros((len(texts), found.sums.shape[1]), np.int64)
+    np.add.at(sums, found.text, found.sums)
+    np.add.at(labels, found.text, found.labels)
     return sums, labels
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", n_docs: int = FIT_DOCS) -> tuple[list[str], BiGru] | None:
-    """Learns from at most ``n_docs`` documents with a word, drawn by a hash of ``key`` of
-    those for which ``learn`` holds; they are read whole by the driver."""
+    """Learns from at most ``n_docs`` rows with a word, drawn by a hash of ``key`` and text of
+    those for which ``learn`` holds, and of each from at most ``FIT_CHARS`` characters in a
+    row, from a place that the hash tells: that much comes to the driver, whatever repeats."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\S") & F.col(key).isNotNull())
-    drawn = rows.select(F.col(key).alias("__key")).distinct().orderBy(F.xxhash64("__key"), "__key").limit(n_docs)
-    rows = rows.join(F.broadcast(drawn), F.col(key) == F.col("__key"), "left_semi").select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    found = sorted({(r["t"].encode(), r["l"]) for r in rows.collect()})
+    drawn = F.xxhash64(F.col(key), F.col(text))
+    place = F.pmod(drawn, F.greatest(F.length(text) - FIT_CHARS, F.lit(0)) + 1) + 1
+    sample = rows.select(drawn.alias("h"), F.substring(F.col(text), place.cast("int"), F.lit(FIT_CHARS)).alias("t"), F.col(lang).alias("l"))
+    found = sorted({(r["t"].encode(), r["l"]) for r in sample.orderBy("h", "l").limit(n_docs).collect()})
     return train(found) if found else None
 
 
@@ -210,8 +265,8 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, text: str =
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 1024):
+                rows = batch.slice(start, 1024)
                 texts = [t or "" for t in rows.column("__text").to_pylist()]
                 has = [any(map(str.isalpha, t)) for t in texts]
                 pred, score, positions = ["und"] * len(texts), np.zeros(len(texts)), [[]] * len(texts)

@@ -27,10 +27,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of structs (host, path): all suffixes with all prefixes of these lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Array of structs (host, path): suffixes of these numbers of labels with prefixes of these lengths."""
+    n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(F.array(*(F.when(n >= k, F.substring_index(host, ".", -k)) for k in labels)), lambda s: s.isNotNull())
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p")))))
 
@@ -46,20 +46,23 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     digest = F.sha2(F.concat("h", "p"), 256)
     # expanded and hashed where the pages are read; only hits are grouped by URL
     urls = pages.select(F.col(url).alias("__url")).filter(F.col("__url").isNotNull())
-    # as many rows as rules have different path lengths
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    # as many rows as rules have different shapes: only such suffixes and prefixes are made, so a host of thousands of labels is no burden
+    shapes = rules.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect()
+    labels, lengths = sorted({r[0] for r in shapes}), sorted({r[1] for r in shapes})
     if lengths:
         table = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict").withColumn("digest", digest)
         table = table.groupBy("digest").agg(F.max(F.struct(F.col("verdict") != "allow", "verdict", F.concat("h", "p"), F.length("h"))).alias("r"))
         table = table.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
         if table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
             table = F.broadcast(table)
-        asked = urls.select("__url", F.explode(expressions(host, path, lengths)).alias("e")).select("__url", "e.h", "e.p")
+        asked = urls.select("__url", F.explode(expressions(host, path, labels, lengths)).alias("e")).select("__url", "e.h", "e.p")
         asked = asked.select("__url", digest.alias("asked")).withColumn("prefix", F.substring("asked", 1, PREFIX_DIGITS))
         hits = asked.join(table, "prefix").filter(F.col("asked") == F.col("digest"))
         best = F.max(F.struct(F.length("r.col3").alias("n"), F.col("r.col4").alias("k"), F.col("r.col1").alias("b"), F.col("r.col3").alias("rule"), F.col("r.verdict").alias("verdict")))
         found = hits.groupBy("__url").agg(best.alias("best")).select("__url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     else:
         found = urls.limit(0).select("__url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    out = pages.select(*kept, F.col(url).alias("__url")).join(found, "__url", "left")
+    # rows without a URL are spread over the tasks
+    spread = F.when(F.col("__url").isNull(), F.rand()).otherwise(0.0)
+    out = pages.select(*kept, F.col(url).alias("__url")).withColumn("__spread", spread).join(found.withColumn("__spread", F.lit(0.0)), ["__url", "__spread"], "left")
     return out.select(*kept, host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

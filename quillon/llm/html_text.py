@@ -62,6 +62,8 @@ _PARTS = frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"])
 #: The open elements that the start of a tag closes.
 CLOSES = {tag: tuple(o for o, by in CLOSED_BY.items() if tag in by) for tag in frozenset().union(*CLOSED_BY.values())}
 
+#: Columns that a line is moved in at most, however deep its list lies: text stays in proportion to its page.
+INDENT = 40
 #: Tables nested deeper than this come out as lines, not as columns.
 NESTED = 20
 
@@ -70,8 +72,12 @@ _IN_TAG = re.compile("[>\"']")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_BRACE = re.compile(r"[{};]")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+#: Media of which a reader at a screen sees nothing.
+_ELSEWHERE = re.compile(r"@media\s+(?:only\s+)?(?:print|speech|aural|braille|embossed|handheld|projection|tty|tv)\b[^,]*$", re.I)
 _SELECTOR = re.compile(r"[.#]?[a-zA-Z][\w-]*$")
 
 
@@ -160,26 +166,67 @@ def tree(page: str) -> tuple[Node, str]:
 
 
 def hidden_by_sheet(sheet: str) -> frozenset[str]:
+    """Simple selectors whose elements a screen doesn't show, in one pass over the sheet.
+
+    Rules inside ``@media`` for other media, and inside other at-rules but ``@supports`` and
+    ``@layer``, don't count.
+    """
     out: set[str] = set()
-    for m in _RULE.finditer(sheet):
-        if _HIDING.search(m[2]):
-            out |= {s.strip() for s in m[1].split(",") if _SELECTOR.match(s.strip())}
+    sheet = _COMMENT.sub(" ", sheet)
+    open_: list[bool] = []  # whether each open block's rules count
+    at = 0
+    selector = None
+    for m in _BRACE.finditer(sheet):
+        part = sheet[at : m.start()].strip() if m[0] != ";" else ""
+        if m[0] == ";":
+            if selector is None:
+                at = m.end()  # a statement between rules
+            continue
+        if m[0] == "{":
+            if part.startswith("@"):
+                keyword = part[1:].split(None, 1)[0].lower() if len(part) > 1 else ""
+                open_.append((not open_ or open_[-1]) and keyword in ("media", "supports", "layer") and not _ELSEWHERE.match(part))
+                selector = None
+            else:
+                selector = part
+                open_.append(not open_ or open_[-1])
+        else:
+            if selector is not None and open_ and open_[-1]:
+                found = _VISIBILITY.findall(part)
+                if _NONE.search(part):
+                    out |= {s.strip() for s in selector.split(",") if _SELECTOR.match(s.strip())}
+                elif found:
+                    hides = found[-1].lower() != "visible"
+                    out |= {("!" if hides else "+") + s.strip() for s in selector.split(",") if _SELECTOR.match(s.strip())}
+            if open_:
+                open_.pop()
+            selector = None
+        at = m.end()
     return frozenset(out)
 
 
+def _named(node: Node, hidden: frozenset[str], mark: str = "") -> bool:
+    a = node.attributes
+    return f"{mark}{node.tag}" in hidden or bool(a) and (f"{mark}#{a.get('id')}" in hidden or any(f"{mark}.{c}" in hidden for c in a.get("class", "").split()))
+
+
 def visible(node: Node, hidden: frozenset[str]) -> bool:
+    """Whether the element and what is in it are shown at all, visibility aside."""
     a = node.attributes
-    if node.tag in UNSEEN or node.tag in hidden:
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or hidden and _named(node, hidden):
         return False
     if not a:
         return True
-    return not (
-        "hidden" in a
-        or a.get("aria-hidden", "").lower() == "true"
-        or node.tag == "input" and a.get("type", "").lower() == "hidden"
-        or "style" in a and _HIDING.search(a["style"])
-        or hidden and (f"#{a.get('id')}" in hidden or any(f".{c}" in hidden for c in a.get("class", "").split()))
-    )
+    return not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or node.tag == "input" and a.get("type", "").lower() == "hidden" or "style" in a and _NONE.search(a["style"]))
+
+
+def veiled(node: Node, hidden: frozenset[str], before: bool) -> bool:
+    """Whether visibility hides the element's own text; what is in it may be shown again."""
+    if found := _VISIBILITY.findall(node.attributes.get("style", "")):
+        return found[-1].lower() != "visible"
+    if hidden and _named(node, hidden, "+"):
+        return False
+    return before or bool(hidden) and _named(node, hidden, "!")
 
 
 class Page:
@@ -197,7 +244,7 @@ class Page:
 
     def write(self, text: str) -> None:
         if self.gap or not self.out:
-            self.out.append("\n" * self.gap + " " * (self.indent - len(self.marker)) + self.marker)
+            self.out.append("\n" * self.gap + " " * max(0, min(self.indent, INDENT) - len(self.marker)) + self.marker)
             self.gap, self.marker = 0, ""
         elif self.space:
             self.out.append(" ")
@@ -225,16 +272,17 @@ class Page:
         return "".join(self.out)
 
 
-def render(node: Node, page: Page) -> None:
-    """Walks the tree with a stack of its own, as pages may nest deeply."""
-    work: list[tuple] = [("open", node, False, [])]
+def render(node: Node, page: Page, veil: bool = False) -> None:
+    """Walks the tree with a stack of its own, as pages may nest deeply; ``veil``: visibility hides what isn't shown again."""
+    work: list[tuple] = [("open", node, False, [], veil)]
     while work:
-        step, node, pre, lists = work.pop()
+        step, node, pre, lists, veil = work.pop()
         if step == "call":
             node()
             continue
         if isinstance(node, str):
-            page.text(node, pre)
+            if not veil:
+                page.text(node, pre)
             continue
         tag = node.tag
         if tag == "br":
@@ -242,15 +290,16 @@ def render(node: Node, page: Page) -> None:
             continue
         if not visible(node, page.hidden):
             continue
+        veil = veiled(node, page.hidden, veil)
         if tag == "table" and page.depth < NESTED:
             page.block(2)
-            for line in table(node, page.hidden, page.depth + 1):
+            for line in table(node, page.hidden, page.depth + 1, veil):
                 page.write(line)
                 page.block(1)
             page.block(2)
             continue
         if tag in ("img", "input"):
-            if shown := node.attributes.get("alt" if tag == "img" else "value", "").strip():
+            if not veil and (shown := node.attributes.get("alt" if tag == "img" else "value", "").strip()):
                 page.text(shown, False)
             continue
         if tag == "hr":
@@ -264,7 +313,7 @@ def render(node: Node, page: Page) -> None:
             before = page.indent
             if tag in ("ul", "ol", "menu"):
                 start = node.attributes.get("start", "")
-                inside = [*lists, [tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]]
+                inside = [[tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]]
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
                 page.marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
@@ -281,32 +330,34 @@ def render(node: Node, page: Page) -> None:
         if tag == "details" and "open" not in node.attributes:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
         if after:
-            work.append(("call", after, pre, lists))
-        work.extend(("open", c, pre or tag in ("pre", "textarea"), inside) for c in reversed(children))
+            work.append(("call", after, pre, lists, veil))
+        work.extend(("open", c, pre or tag in ("pre", "textarea"), inside, veil) for c in reversed(children))
 
 
-def table(node: Node, hidden: frozenset[str], depth: int) -> list[str]:
+def table(node: Node, hidden: frozenset[str], depth: int, veil: bool = False) -> list[str]:
     """Caption and rows; cells are padded to the width of their column."""
     caption, rows = [], []
-    work = [iter(node.children)]
+    work = [(iter(node.children), veil)]
     while work:
-        child = next(work[-1], None)
+        child, veil = next(work[-1][0], None), work[-1][1]
         if child is None:
             work.pop()
         elif isinstance(child, str):
             if child.strip(" \t\n\r\f"):
-                caption.append(_cell(child, hidden, depth))
+                caption.append(_cell(child, hidden, depth, veil))
         elif visible(child, hidden):
+            veil = veiled(child, hidden, veil)
             if child.tag == "tr":
                 bare = [isinstance(c, str) or c.tag in ("img", "input") for c in child.children]
-                caption += [_cell(c, hidden, depth) for c, b in zip(child.children, bare, strict=True) if b]
-                rows.append([(_cell(c, hidden, depth), c.attributes.get("colspan", "1")) for c, b in zip(child.children, bare, strict=True) if not b and visible(c, hidden)])
+                caption += [_cell(c, hidden, depth, veil) for c, b in zip(child.children, bare, strict=True) if b]
+                cells = [c for c, b in zip(child.children, bare, strict=True) if not b and visible(c, hidden)]
+                rows.append([(_cell(c, hidden, depth, veiled(c, hidden, veil)), c.attributes.get("colspan", "1")) for c in cells])
             elif child.tag in ("tbody", "thead", "tfoot"):
-                work.append(iter(child.children))
+                work.append((iter(child.children), veil))
             elif child.tag in ("td", "th"):
-                rows.append([(_cell(child, hidden, depth), "1")])
+                rows.append([(_cell(child, hidden, depth, veil), "1")])
             elif child.tag not in ("col", "colgroup"):
-                caption.append(_cell(child, hidden, depth))
+                caption.append(_cell(child, hidden, depth, veil))
     grid, widths = [], {}
     for row in rows:
         line, column = [], 0
@@ -329,11 +380,11 @@ def table(node: Node, hidden: frozenset[str], depth: int) -> list[str]:
     return out
 
 
-def _cell(node: Node | str, hidden: frozenset[str], depth: int) -> str:
+def _cell(node: Node | str, hidden: frozenset[str], depth: int, veil: bool = False) -> str:
     inner = Page(hidden, depth)
     wrap = Node("span", {})
     wrap.children = [node] if isinstance(node, str) or node.tag in ("img", "input") else node.children
-    render(wrap, inner)
+    render(wrap, inner, veil)
     return _SPACE.sub(" ", str(inner)).strip()
 
 

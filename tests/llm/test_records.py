@@ -18,7 +18,7 @@ def test_query_agrees_with_its_sql(name, same):
 
 URLS = [
     (1, None), (2, ""), (3, "no scheme"), (4, "http://Example.ORG/en/12?q"), (5, "http://a.example.org/es/"), (6, "http://a.example.org/es"), (7, "x://notexample.org/en/1"), (8, "http://com/de/x#y"), (8, "http://com/de/x#y"),
-    (9, "http://?q"), (10, "http://x.com"), (11, "http://x.com/fr/" + "a" * 50_000), (12, "://.org/"), (13, "http://net"),
+    (9, "http://?q"), (14, "http://" + "a." * 20_000 + "example.org/es/x"), (15, None), (16, "http://a..com/de/"), (17, "http://.com/de/"), (18, "http://com./de/"), (10, "http://x.com"), (11, "http://x.com/fr/" + "a" * 50_000), (12, "://.org/"), (13, "http://net"),
 ]
 
 

@@ -43,7 +43,7 @@ def decide(attempts: DataFrame, accounts: DataFrame, rows: DataFrame, bindings:
     late = F.col("failure_code")
     if bindings is not None:
         out = out.join(bindings.select("account_id", F.col("card_last_four").alias("__bound")), "account_id", "left")
-        card = F.when(F.col("__bound").isNull(), "binding_missing").when(~F.col("card_last_four").eqNullSafe(F.col("__bound")), "card_identity_mismatch")
+        card = F.when(F.col("__bound").isNull(), "account_binding_missing").when(~F.col("card_last_four").eqNullSafe(F.col("__bound")), "card_binding_mismatch")
         late = F.coalesce(late, F.when(F.col("source_kind") == "CARD_PDF", card))
     counts = reconcile.batch_status(rows, "attempt_id")
     out = out.withColumns({"__early": early, "__late": late}).join(counts, "attempt_id", "left")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import clean_text
+from quillon.operators.imports import ROUTES
+
 #: States, actions and outcomes, as the tables name them.
 STATES = ("UNRESOLVED", "RESOLVED", "REJECTED", "CONFLICT", "SUPERSEDED")
 OUTCOMES = ("PARSED", "IGNORED", "REJECTED")
@@ -82,8 +85,17 @@ def movement_rules() -> dict[str, Column]:
 
 
 def category_rules() -> dict[str, Column]:
+    """A name is there, trimmed, of 1 to 80 characters, without control characters and in composed form."""
     name = F.col("display_name")
-    return {"category_name": name.rlike(r"^\S(.{0,78}\S)?$") & ~name.rlike(r"\p{Cc}")}
+    good = name.rlike(r"^\S(.{0,78}\S)?$") & ~name.rlike(r"\p{Cc}") & name.eqNullSafe(clean_text(name))
+    return {"category_name": F.coalesce(good, F.lit(False))}
+
+
+def category_repeats(categories: DataFrame, key: str = "category_id") -> DataFrame:
+    """Categories whose name differs from another's by case alone, or not at all."""
+    folded = categories.filter("display_name IS NOT NULL").select(F.col(key).alias("__key"), F.expr("display_name COLLATE UTF8_LCASE").alias("name"))
+    n = F.count("*").over(Window.partitionBy("name"))
+    return folded.withColumn("n", n).filter("n > 1").select(F.lit("category_name_unique").alias("constraint_name"), F.col("__key").cast("string").alias("key"))
 
 
 def classification_rules() -> dict[str, Column]:
@@ -98,5 +110,5 @@ def attempt_rules() -> dict[str, Column]:
         "attempt_duplicate_by_status": F.col("duplicate_of").isNotNull() == (s == "DUPLICATE"),
         "attempt_completed": (s == "PROCESSING") == F.col("completed_at").isNull(),
         "attempt_duplicate_not_self": F.col("duplicate_of") != F.col("attempt_id"),
-        "attempt_kind_known": F.col("source_kind").isin("XLSX", "PDF"),
+        "attempt_kind_known": F.col("source_kind").isin(*ROUTES),
     }

@@ -36,16 +36,17 @@ def observation_claims(spark, sf_dir):
     return evidence.claims(at(1, rows).unionByName(at(2, rows.filter("observation_id % 3 = 0"))).unionByName(at(3, other))).select("observation_id", "attempt", "decision")
 
 
-@query("""SELECT o_orderkey AS observation_id, o_custkey AS import_batch_id, o_custkey % 5 <> 0 AND o_custkey % 7 <> 0 AND o_orderstatus <> 'P' AND o_orderkey % 17 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS eligible, o_orderkey % 11 <> 0 AND o_orderkey % 3 <> 0 AS balanced FROM orders""")
+@query("""SELECT o_orderkey AS observation_id, o_custkey AS import_batch_id, o_custkey % 5 <> 0 AND o_custkey % 7 <> 0 AND o_orderstatus <> 'P' AND o_orderkey % 17 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0 AND o_orderkey % 31 <> 0 AS eligible, o_orderkey % 11 <> 0 AND o_orderkey % 3 <> 0 AS balanced FROM orders""")
 def policy_eligible(spark, sf_dir):
     """Which claims the automatic policy may confirm: some batches are partial or not
     reconciled, some claims resolved, some without evidence or with another amount."""
     rows = claimed(spark, sf_dir, order_key().alias("raw_record_id"), F.when(F.col("o_orderstatus") == "P", "RESOLVED").otherwise("UNRESOLVED").alias("state"))
+    rows = rows.withColumns({"interpretation_method": F.when(F.col("observation_id") % 19 == 0, "other").otherwise("method"), "interpretation_version": F.when(F.col("observation_id") % 23 == 0, "v2").otherwise("v1"), "transaction_date": F.when(F.col("observation_id") % 29 == 0, F.col("accounting_date"))})
     orders = table(spark, sf_dir, "orders")
     raw = orders.select(order_key().alias("raw_record_id"), F.col("o_custkey").alias("import_batch_id"), F.when(order_key() % 17 == 0, "REJECTED").otherwise("PARSED").alias("parse_outcome"))
     b = F.col("c_custkey")
     batches = table(spark, sf_dir, "customer").select(b.alias("import_batch_id"), F.when(b % 5 == 0, "PARTIAL").otherwise("ACCEPTED").alias("status"), F.when(b % 7 == 0, "NOT_RECONCILED").otherwise("RECONCILED").alias("reconciliation_status"))
-    proof = orders.filter(order_key() % 11 != 0).select(order_key().alias("raw_record_id"), F.col("o_orderdate").cast("date").alias("accounting_date"), (amount("o_totalprice") + F.when(order_key() % 13 == 0, 1).otherwise(0)).cast(money.MONEY).alias("signed_amount"), F.lit("CLP").alias("currency"), F.when(order_key() % 3 != 0, amount("o_totalprice")).alias("running_balance"))
+    proof = orders.filter(order_key() % 11 != 0).select(order_key().alias("raw_record_id"), F.when(order_key() % 31 == 0, F.col("o_orderdate").cast("date")).alias("transaction_date"), F.col("o_orderdate").cast("date").alias("accounting_date"), (amount("o_totalprice") + F.when(order_key() % 13 == 0, 1).otherwise(0)).cast(money.MONEY).alias("signed_amount"), F.lit("CLP").alias("currency"), F.when(order_key() % 3 != 0, amount("o_totalprice")).alias("running_balance"))
     return evidence.eligible(rows, raw, batches, proof).select("observation_id", "import_batch_id", "eligible", "balanced")
 
 
@@ -84,20 +85,21 @@ def match_guard(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 4 AS raw, o_orderkey // 3 AS a, o_orderkey % 6 = 5 AS old FROM orders),
-  c AS (SELECT k, CASE WHEN k % 10 = 0 THEN k WHEN k % 14 = 0 THEN -k WHEN k % 2 = 0 THEN k + 1 ELSE k + 2 END AS s FROM o WHERE k % 2 = 0 OR k % 5 = 0), u AS (SELECT s, min(k) AS by FROM c GROUP BY 1)
-  SELECT c.k AS observation_id, c.s AS successor_id, CASE WHEN t.k IS NULL THEN 'successor_not_found' WHEN c.s = c.k THEN 'successor_self' WHEN t.raw <> o.raw THEN 'successor_origin_mismatch' WHEN t.old THEN 'successor_not_fresh' WHEN t.a = o.a THEN 'successor_claim_unchanged' WHEN u.by <> c.k THEN 'successor_used' END AS code
-  FROM c JOIN o ON o.k = c.k LEFT JOIN o AS t ON t.k = c.s LEFT JOIN u ON u.s = c.s""")
+  c AS (SELECT k, CASE WHEN k % 10 = 0 THEN k WHEN k % 14 = 0 THEN -k WHEN k % 2 = 0 THEN k + 1 ELSE k + 2 END AS s FROM o WHERE k % 2 = 0 OR k % 5 = 0), e AS (SELECT c.k, c.s, CASE WHEN t.k IS NULL THEN 'successor_observation_not_found' WHEN t.k // 32 <> o.k // 32 THEN 'successor_account_mismatch' WHEN c.s = c.k THEN 'successor_observation_same' WHEN t.raw <> o.raw THEN 'successor_raw_record_mismatch' WHEN t.old THEN 'successor_not_fresh' WHEN c.s % 21 = 1 THEN 'successor_already_used' END AS early,
+    t.a = o.a AS same FROM c JOIN o ON o.k = c.k LEFT JOIN o AS t ON t.k = c.s), u AS (SELECT s, min(k) AS by FROM e WHERE early IS NULL AND NOT same GROUP BY 1)
+  SELECT k AS observation_id, e.s AS successor_id, coalesce(early, CASE WHEN u.by < k THEN 'successor_already_used' WHEN same THEN 'successor_claim_unchanged' END) AS code FROM e LEFT JOIN u ON u.s = e.s""")
 def supersede_guard(spark, sf_dir):
     """Orders that are to be superseded by one of the next, four of them to a row."""
-    rows = claimed(spark, sf_dir).withColumns({"raw_record_id": F.floor(F.col("observation_id") / 4), "account_id": F.lit(1), "state": F.when(F.col("observation_id") % 6 == 5, "RESOLVED").otherwise("UNRESOLVED"), "state_version": (F.col("observation_id") % 6 == 5).cast("int"), "signed_amount": F.floor(F.col("observation_id") / 3).cast(money.MONEY), "description": F.lit("d"), "accounting_date": F.lit(None).cast("date")})
+    rows = claimed(spark, sf_dir).withColumns({"raw_record_id": F.floor(F.col("observation_id") / 4), "account_id": F.floor(F.col("observation_id") / 32), "state": F.when(F.col("observation_id") % 6 == 5, "RESOLVED").otherwise("UNRESOLVED"), "state_version": (F.col("observation_id") % 6 == 5).cast("int"), "signed_amount": F.floor(F.col("observation_id") / 3).cast(money.MONEY), "description": F.lit("d"), "accounting_date": F.lit(None).cast("date")})
     k = F.col("observation_id")
     commands = rows.filter((k % 2 == 0) | (k % 5 == 0)).select(k, F.when(k % 10 == 0, k).when(k % 14 == 0, -k).when(k % 2 == 0, k + 1).otherwise(k + 2).alias("successor_id"))
-    return evidence.supersede_guard(commands, rows)
+    used = rows.filter(k % 21 == 1).select(k.alias("successor_id"))
+    return evidence.supersede_guard(commands, rows, used)
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 <> 0 THEN 'account_incompatible' WHEN c_custkey % 9 = 0 THEN 'card_suffix_invalid' END AS code FROM customer)
   SELECT k AS account_id, 1 AS request, coalesce(code, 'CREATED') AS decision FROM c UNION ALL SELECT k, 2, coalesce(code, 'UNCHANGED') FROM c WHERE k % 8 = 0
-  UNION ALL SELECT k, 3, CASE WHEN k % 4 <> 0 THEN code WHEN code IS NULL THEN 'binding_conflict' ELSE 'CREATED' END FROM c WHERE k % 3 = 0""")
+  UNION ALL SELECT k, 3, CASE WHEN k % 4 <> 0 THEN code WHEN code IS NULL THEN 'account_binding_conflict' ELSE 'CREATED' END FROM c WHERE k % 3 = 0""")
 def card_bindings(spark, sf_dir):
     """Requests to bind customers to cards: some again, some to another card."""
     held, k = accounts(spark, sf_dir), F.col("account_id")
@@ -108,7 +110,7 @@ def card_bindings(spark, sf_dir):
     return evidence.bindings(every).select("account_id", "request", "decision")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 <> 0 THEN 'binding_missing' WHEN o_orderkey % 6 = 0 OR o_orderkey % 7 = 0 THEN 'card_identity_mismatch' END AS code FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 <> 0 THEN 'account_binding_missing' WHEN o_orderkey % 6 = 0 OR o_orderkey % 7 = 0 THEN 'card_binding_mismatch' END AS code FROM orders""")
 def card_statements(spark, sf_dir):
     """Orders as card statements, of which some show another card or none."""
     k = F.col("account_id")

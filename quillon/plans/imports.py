@@ -12,7 +12,7 @@ _OUTCOME = "CASE l_returnflag WHEN 'A' THEN 'PARSED' WHEN 'N' THEN 'IGNORED' ELS
 _ATTEMPTS = f"""WITH c AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'A') AS p, count(*) FILTER (l_returnflag = 'N') AS i, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
   o AS (SELECT o_orderkey AS k, o_orderkey // 8 AS a, o_orderkey // 4 AS g, CASE o_orderkey % 6 WHEN 5 THEN 'CARD_PDF' WHEN 4 THEN 'HISTORICAL_PDF' ELSE 'XLSX' END AS kind, coalesce(p, 0) AS p, coalesce(i, 0) AS i, coalesce(r, 0) AS r FROM orders LEFT JOIN c ON k = o_orderkey),
   e AS (SELECT *, CASE WHEN a % 10 = 9 THEN 'account_not_found' WHEN (kind = 'CARD_PDF') <> (a % 4 = 0) THEN 'account_kind_unsupported' WHEN a % 7 = 0 THEN CASE kind WHEN 'HISTORICAL_PDF' THEN 'account_currency_unsupported' ELSE 'account_currency_invalid' END END AS early,
-    CASE WHEN k % 13 = 0 THEN 'parser_unexpected' WHEN kind = 'CARD_PDF' AND a % 12 = 0 THEN 'binding_missing' WHEN kind = 'CARD_PDF' AND k % 11 = 0 THEN 'card_identity_mismatch' END AS late FROM o),
+    CASE WHEN k % 13 = 0 THEN 'parser_unexpected' WHEN kind = 'CARD_PDF' AND a % 12 = 0 THEN 'account_binding_missing' WHEN kind = 'CARD_PDF' AND k % 11 = 0 THEN 'card_binding_mismatch' END AS late FROM o),
   s AS (SELECT *, CASE WHEN early IS NOT NULL OR late IS NOT NULL THEN 'FATAL' WHEN r = 0 THEN 'ACCEPTED' WHEN p > 0 THEN 'PARTIAL' ELSE 'REJECTED' END AS own FROM e),
   f AS (SELECT *, min(CASE WHEN own <> 'FATAL' THEN k END) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first FROM s),
   d AS (SELECT f.*, CASE WHEN f.early IS NOT NULL THEN 'FATAL' WHEN f.first IS NULL THEN f.own WHEN t.kind = f.kind THEN 'DUPLICATE' ELSE 'FATAL' END AS status, CASE WHEN f.early IS NULL AND t.kind = f.kind THEN f.first END AS duplicate_of,

@@ -92,7 +92,8 @@ def _serial_date(text: str, late: bool) -> str | None:
 
 
 def sheet_cells(content: bytes) -> Iterator[tuple]:
-    """(ordinal, name, visible, row, column, type, text, formula) of every cell with content."""
+    """(ordinal, name, visible, row, column, type, text, formula) of every cell with content; a
+    merged range is a row of type ``merge`` without a place, its text the range."""
     with zipfile.ZipFile(io.BytesIO(content)) as package:
         admit(package)
         names = set(package.namelist())
@@ -112,6 +113,8 @@ def sheet_cells(content: bytes) -> Iterator[tuple]:
             count, last, widest = 0, 0, 0
             # the declared dimension is not looked at
             for c in _xml(package, "xl/" + target[link]).iter():
+                if _local(c) == "mergeCell":
+                    yield ordinal, sheet.get("name"), sheet.get("state", "visible") == "visible", None, None, "merge", c.get("ref"), False
                 if _local(c) != "c":
                     continue
                 m, count = _NAME.match(c.get("r", "")), count + 1
@@ -162,7 +165,7 @@ def wide(cells: DataFrame, letters: str = "ABCDEFGH") -> DataFrame:
     """A row for each row of a sheet: the texts of its columns, ``types`` by letter, and whether
     any is a formula or not a text."""
     return (
-        cells.filter("code is null")
+        cells.filter("code IS NULL AND row_number IS NOT NULL")
         .groupBy("source_id", "sheet_ordinal", "row_number")
         .agg(
             *(F.max(F.when(F.col("column") == x, F.col("value_text"))).alias(x) for x in letters),

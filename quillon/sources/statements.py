@@ -157,7 +157,7 @@ def current(rows: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def historical(rows: DataFrame, periods: DataFrame) -> DataFrame:
-    """Printed historical statement, from the rows of ``tokens.grouped`` (doc_id, page, row):
+    """Printed historical statement, from the rows of ``historical.documents`` (doc_id, page, row):
     the first code in order of precedence rejects.  A blank inside an amount means that it
     was printed as several tokens."""
     rows = rows.join(periods, "doc_id", "left")

@@ -1,50 +1,61 @@
-"""Printed pages as tokens: lines of text, bands of columns, rows that go on."""
+"""Printed pages as tokens: lines of text, bands of columns."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Left and right edge of each column of the historical statement.
 BANDS = {"date": (40, 94), "branch": (94, 150), "description": (150, 286), "reference": (286, 360), "debit": (360, 426), "credit": (426, 505), "balance": (505, 606)}
 
 
+def _placed(middles: list[float], tolerance: float) -> list[int]:
+    """Numbers of a page's lines, for tokens in reading order."""
+    means, sizes, found = [], [], []
+    for y in middles:
+        near = min(range(len(means)), key=lambda k: abs(means[k] - y), default=None)
+        if near is None or abs(means[near] - y) > tolerance:
+            means.append(y)
+            sizes.append(1)
+            near = len(means) - 1
+        else:
+            sizes[near] += 1
+            means[near] += (y - means[near]) / sizes[near]
+        found.append(near)
+    rank = {k: n + 1 for n, k in enumerate(sorted(range(len(means)), key=means.__getitem__))}
+    return [rank[k] for k in found]
+
+
 def lines(tokens: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Adds ``line``: in reading order, a token joins the line whose mean height is nearest,
-    if within ``tolerance``, and moves its mean; else it opens one.  A page is a group."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "x1", "ordinal"], kind="stable")
-        means, sizes, found = [], [], []
-        for y in ((page["y0"] + page["y1"]) / 2).astype(float):
-            near = min(range(len(means)), key=lambda k: abs(means[k] - y), default=None)
-            if near is None or abs(means[near] - y) > tolerance:
-                means.append(y)
-                sizes.append(1)
-                near = len(means) - 1
+    if within ``tolerance``, and moves its mean; else it opens one.  Pages arrive sorted and in
+    a stream; a task holds one page and a batch."""
+    schema = tokens.select("*", F.lit(0).alias("line")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                table = table if rest is None else pa.concat_tables([rest, table])
+            elif rest is None:
+                return
             else:
-                sizes[near] += 1
-                means[near] += (y - means[near]) / sizes[near]
-            found.append(near)
-        rank = {k: n + 1 for n, k in enumerate(sorted(range(len(means)), key=means.__getitem__))}
-        return page.assign(line=[rank[k] for k in found])
-
-    return tokens.groupBy("doc_id", "page").applyInPandas(run, tokens.select("*", F.lit(0).alias("line")).schema)
-
-
-def banded(lined: DataFrame, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
-    """A row for each line, with the text of each band, where its tokens begin, from left to right."""
-    text = lambda low, high: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("x0") >= low) & (F.col("x0") < high), F.struct("x0", "ordinal", "text")))), lambda t: t["text"]), " "), F.lit(""))
-    return lined.groupBy("doc_id", "page", "line").agg(*(text(*edges).alias(name) for name, edges in bands.items()))
-
-
-def grouped(rows: DataFrame) -> DataFrame:
-    """Joins lines to rows: a line with an amount and a date or text starts one, other lines
-    with text go on with it."""
-    starts = (F.coalesce("debit", "credit", "balance").isNotNull()) & F.coalesce("date", "description", "branch", "reference").isNotNull()
-    w = Window.partitionBy("doc_id", "page").orderBy("line")
-    rows = rows.withColumn("row", F.sum(starts.cast("int")).over(w)).filter("row > 0")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("description").isNotNull(), F.struct("line", "description")))), lambda x: x["description"]), " ").alias("description")
-    return rows.groupBy("doc_id", "page", "row").agg(F.min("line").alias("line"), *(first(c) for c in ("date", "branch", "reference", "debit", "credit", "balance")), joined)
+                table = rest
+            keys = list(zip(table.column("doc_id").to_pylist(), table.column("page").to_pylist(), strict=True))
+            cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+            if batch is None:
+                cuts.append(len(keys))
+            rest = table.slice(cuts[-1]) if cuts else None
+            if len(cuts) < 2:
+                continue
+            whole = table.slice(0, cuts[-1])
+            middles = [float(a + b) / 2 for a, b in zip(whole.column("y0").to_pylist(), whole.column("y1").to_pylist(), strict=True)]
+            found = [n for a, b in zip(cuts, cuts[1:], strict=False) for n in _placed(middles[a:b], tolerance)]
+            yield from whole.append_column("line", pa.array(found, pa.int32())).combine_chunks().to_batches()
+
+    return tokens.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "y0", "x0", "x1", "ordinal").mapInArrow(run, schema)

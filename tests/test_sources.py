@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quillon.operators import lifecycle, reconcile
-from quillon.sources import cells, statements, tokens
+from quillon.sources import cells, historical, statements, tokens
 from quillon.streaming import ingest
 
 D = datetime.date
@@ -55,12 +55,18 @@ def test_printed_statement(spark):
     def line(y, **texts):
         return [(text, tokens.BANDS[band][0] + 1.0, float(y), tokens.BANDS[band][1] - 1.0, y + 8.0) for band, text in texts.items()]
 
-    page = [*line(100, date="05/01/2026", description="first", debit="100", balance="900"), *line(110.5, description="goes on"), *line(120, date="04/01/2026", description="early", credit="5", balance="905"), *line(130, date="06/01/2026", description="both", debit="1", credit="2", balance="9"), *line(140, date="07/01/2026", description="ok", credit="50", balance="950")]
-    rows = [("d", 1, k, *t) for k, t in enumerate(page)]
-    frame = spark.createDataFrame(rows, "doc_id string, page int, ordinal int, text string, x0 double, y0 double, x1 double, y1 double")
-    periods = spark.createDataFrame([("d", D(2026, 1, 1), D(2026, 1, 31))], "doc_id string, period_start date, period_end date")
-    found = statements.historical(tokens.grouped(tokens.banded(tokens.lines(frame))), periods).orderBy("row").collect()
-    assert [(r["description"], r["outcome"], list(r["codes"])) for r in found] == [("first goes on", "PARSED", []), ("early", "REJECTED", ["date_order_invalid"]), ("both", "REJECTED", ["amount_both_sides"]), ("ok", "PARSED", [])]
+    def said(y, *texts):
+        return [(text, float(x), float(y), x + 5.0, y + 8.0) for x, text in texts]
+
+    head = [*said(10, (50, "BCI Cartola Cuenta Corriente")), *said(20, (50, "Cartola"), (540, "12")), *said(30, (50, "Cuenta"), (450, "77"), (520, "Moneda CLP"), (560, "Pesos")), *said(40, (50, "Período 01-01-2026 al 31-01-2026")), *said(80, *((x, w) for w, x in historical.HEADER.items()), (560, "diario"))]
+    rows = [*line(100, date="05/01/2026", description="first", debit="100", balance="900"), *line(110.5, description="goes on"), *line(120, date="04/01/2026", description="early", credit="5", balance="905"), *line(130, date="06/01/2026", description="both", debit="1", credit="2", balance="9"), *line(140, date="07/01/2026", description="Pago", credit="50", balance="950")]
+    foot = [*said(150, (20, "Notas"), (160, "pie")), *line(160, description="de pagina"), *said(300, (50, "Resumen del período")), *said(310, (50, "01-01-2026 - 31-01-2026"), (300, "Saldo anterior"), (310, "1.000"), (540, "Saldo contable")), *said(330, (560, "950"))]
+    frame = spark.createDataFrame([("d", 1, k, *t) for k, t in enumerate([*head, *rows, *foot])], "doc_id string, page int, ordinal int, text string, x0 double, y0 double, x1 double, y1 double")
+    docs, printed = historical.documents(tokens.lines(frame))
+    doc = docs.first()
+    assert (doc["code"], doc["statement_id"], doc["source_account_id"], doc["opening"], doc["debits"], doc["closing"]) == (None, "12", "77", 1000, None, 950)
+    found = statements.historical(printed, docs.select("doc_id", "period_start", "period_end")).orderBy("row").collect()
+    assert [(r["description"], r["outcome"], list(r["codes"])) for r in found] == [("first goes on", "PARSED", []), ("early", "REJECTED", ["date_order_invalid"]), ("both", "REJECTED", ["amount_both_sides"]), ("Pago", "PARSED", [])]
     assert [int(r["signed_amount"]) for r in found if r["outcome"] == "PARSED"] == [-100, 50]
 
 

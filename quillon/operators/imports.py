@@ -28,7 +28,7 @@ def account_code(source_kind: Column, kind: Column, orientation: Column, currenc
     return code.when(~source_kind.isin(*ROUTES), "source_variant_unsupported")
 
 
-def decide(attempts: DataFrame, accounts: DataFrame, rows: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+def decide(attempts: DataFrame, accounts: DataFrame, rows: DataFrame, bindings: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Decides import attempts (attempt_id, digest, account_id, source_kind, completed_at and
     failure_code, the parser's or null; card_last_four if ``bindings`` are given) by their
     classified rows (attempt_id, outcome).
@@ -36,6 +36,8 @@ def decide(attempts: DataFrame, accounts: DataFrame, rows: DataFrame, bindings:
     An account that can't take the source fails first, then an artifact that is there already
     as the same kind is a duplicate and as another one a failure, then the parser's failure and
     a card that isn't the account's.  Status and counts (none for what isn't materialized) follow.
+    ``earlier`` are decided attempts (attempt_id, digest, account_id, source_kind,
+    completed_at, status) that these come after.
     """
     held = accounts.select("account_id", "kind", "economic_orientation", "currency")
     out = attempts.join(held, "account_id", "left")
@@ -48,7 +50,15 @@ def decide(attempts: DataFrame, accounts: DataFrame, rows: DataFrame, bindings:
     counts = reconcile.batch_status(rows, "attempt_id")
     out = out.withColumns({"__early": early, "__late": late}).join(counts, "attempt_id", "left")
     own = F.when(F.coalesce("__early", "__late").isNotNull(), "FATAL").otherwise(F.coalesce("status", F.lit("ACCEPTED")))
-    found = lifecycle.attempts(out.withColumn("status", own).drop("failure_code"))
+    out = out.withColumn("status", own).drop("failure_code")
+    if earlier is not None:
+        # the first that stands is all that counts of those before
+        before = earlier.filter(F.col("status").isin(*lifecycle.MATERIALIZED)).groupBy("digest", "account_id").agg(F.min_by(F.struct("attempt_id", "source_kind", "status"), F.struct("completed_at", "attempt_id")).alias("b"))
+        before = before.join(attempts.select("digest", "account_id").distinct(), ["digest", "account_id"]).select("digest", "account_id", "b.*")
+        out = out.withColumn("__before", F.lit(False)).unionByName(before.withColumns({"__before": F.lit(True), "completed_at": F.lit("0001-01-01").cast("timestamp")}), allowMissingColumns=True)
+    found = lifecycle.attempts(out)
+    if earlier is not None:
+        found = found.filter("NOT __before")
     refused = F.col("__early").isNotNull()
     fresh = F.col("duplicate_of").isNull() & F.col("failure_code").isNull()
     status = F.when(refused, "FATAL").otherwise(F.col("decision"))

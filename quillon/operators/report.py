@@ -62,3 +62,24 @@ def as_json(report: DataFrame) -> DataFrame:
     """One JSON text a row; decimals are texts, so that no reader rounds them."""
     columns = [F.col(n).cast("string").alias(n) if t.startswith("decimal") or t == "date" else F.col(n) for n, t in report.dtypes]
     return report.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def authorised(requests: DataFrame, grants: DataFrame, accounts: DataFrame, movements: DataFrame) -> DataFrame:
+    """Answers requests (request_id, principal, selector, start_date, end_date) for an account's report.
+
+    A selector that names no account and one that the principal has no grant (principal,
+    account_id) for look alike: account_not_accessible.  Dates are tested only for those
+    that may read.  Adds code, movement_count and net_signed_amount (null with a code).
+    Selectors narrow the movements before they are read, as Spark prunes by the join.
+    """
+    readable = grants.join(accounts.select("account_id"), "account_id").select("principal", F.col("account_id").alias("selector"), F.lit(True).alias("__may")).distinct()
+    asked = requests.join(readable, ["principal", "selector"], "left")
+    dated = F.col("start_date").isNotNull() & F.col("end_date").isNotNull() & (F.col("start_date") <= F.col("end_date"))
+    asked = asked.withColumn("code", F.when(F.col("__may").isNull(), "account_not_accessible").when(~dated, "date_range_invalid"))
+    good = asked.filter("code IS NULL").select("request_id", F.col("selector").alias("account_id"), "start_date", "end_date")
+    found = movements.join(good, "account_id").filter(F.col("occurrence_date").between(F.col("start_date"), F.col("end_date")))
+    sums = totals(found, "request_id")
+    out = asked.join(sums, "request_id", "left")
+    fine = F.col("code").isNull()
+    zero = F.lit(0).cast("decimal(38,2)")
+    return out.select(*requests.columns, "code", F.when(fine, F.coalesce("movement_count", F.lit(0))).alias("movement_count"), F.when(fine, F.coalesce("net_signed_amount", zero)).alias("net_signed_amount"))

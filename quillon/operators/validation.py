@@ -76,6 +76,84 @@ def resolution_rules() -> dict[str, Column]:
     return {"resolution_sequence": F.col("sequence") > 0, "resolution_shape": F.coalesce(shape, F.lit(False)), "resolution_successor_other": successor != F.col("observation_id")}
 
 
+#: Codes of sheet rows and of card rows by outcome; what is known and in neither of the two is rejected.
+ROW_CODES = frozenset(
+    """amount_invalid amount_missing auxiliary_row blank_row commission_summary commission_summary_section date_invalid date_outside_period date_unsupported date_year_ambiguous debit_credit_conflict
+    formula_unsupported header_row metadata_row money_precision_exceeded money_scale_exceeded negative_source_amount post_summary_section repeated_header running_balance_invalid zero_amount_unsupported""".split()
+)
+CARD_CODES = frozenset(
+    """parsed unbilled_future date_invalid amount_ambiguous amount_malformed money_scale_exceeded zero_amount_unsupported original_currency_unsupported original_currency_ambiguous original_amount_missing
+    original_amount_ambiguous original_amount_malformed unsupported_row_geometry incompatible_monetary_columns currency_ambiguous category_ambiguous""".split()
+)
+
+
+def vocabulary(known: frozenset[str], parsed: frozenset[str], ignored: frozenset[str]) -> dict[str, frozenset[str]]:
+    """Codes by outcome; the parts must be known and apart."""
+    if not parsed | ignored <= known or parsed & ignored:
+        raise ValueError("vocabulary_inconsistent")
+    return {"PARSED": parsed, "IGNORED": ignored, "REJECTED": known - parsed - ignored}
+
+
+SHEET_VOCABULARY = vocabulary(ROW_CODES, frozenset({"running_balance_invalid"}), frozenset(c for c in ROW_CODES if c.endswith(("_row", "_section", "_header", "_summary"))))
+CARD_VOCABULARY = vocabulary(CARD_CODES, frozenset({"parsed"}), frozenset({"unbilled_future"}))
+
+
+def strange_codes(rows: DataFrame, words: dict[str, frozenset[str]], key: str, codes: str = "codes") -> DataFrame:
+    """``key`` and code of each code that a row's outcome doesn't have."""
+    allowed = F.create_map(*(x for k, v in words.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))))
+    none = F.array().cast("array<string>")
+    return rows.select(key, F.explode(F.array_except(codes, F.coalesce(allowed[F.col("outcome")], none))).alias("code"))
+
+
+#: Operands of a card statement's equation and their signs.
+CARD_OPERANDS = {"previous_balance": 1, "purchases_charges": 1, "financial_charges": 1, "payments_credits": -1, "current_billed_balance": -1}
+
+
+def card_result_rules() -> dict[str, Column]:
+    """Of statements (status, difference, missing: names, and the operands' columns): what a
+    reconciliation may look like, its equation computed anew."""
+    s, d, missing = F.col("reconciliation_status"), F.col("difference"), F.col("missing")
+    absent = F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in CARD_OPERANDS)))
+    whole = (F.size(absent) == 0) & (F.size(missing) == 0) & d.isNotNull()
+    expected = sum((F.col(n) * sign for n, sign in CARD_OPERANDS.items()), F.lit(0))
+    settled = s.isin("RECONCILED", "NOT_RECONCILED")
+    return {
+        "card_status_known": s.isin("RECONCILED", "NOT_RECONCILED", "INSUFFICIENT_DATA", "NOT_APPLICABLE"),
+        "card_missing_known": (F.size(F.array_except(missing, F.array(*map(F.lit, CARD_OPERANDS)))) == 0) & (F.size(F.array_distinct(missing)) == F.size(missing)),
+        "card_equation": F.when(settled, whole & F.coalesce((d == expected) & ((s == "RECONCILED") == (expected == 0)), F.lit(False))),
+        "card_insufficient": F.when(s == "INSUFFICIENT_DATA", d.isNull() & (F.array_sort(missing) == F.array_sort(absent))),
+        "card_not_applicable": F.when(s == "NOT_APPLICABLE", d.isNull()),
+        "card_rejected_row": F.when(F.col("billed_rejected") > 0, s == "INSUFFICIENT_DATA"),
+        "card_period": F.coalesce(F.col("period_start") <= F.col("period_end"), F.lit(False)) & F.col("cutoff_date").isNotNull() & F.col("due_date").isNotNull(),
+        "card_suffix": F.coalesce(F.col("card_last_four").rlike("^[0-9]{4}$"), F.lit(False)),
+        "card_currency": F.col("statement_currency") == F.col("account_currency"),
+    }
+
+
+def card_record_rules() -> dict[str, Column]:
+    """Of a card statement's rows, beside their codes (``strange_codes``)."""
+    parsed, paid = F.col("outcome") == "PARSED", F.col("section_category").isin("payment", "credit_refund")
+    amount, effect = F.col("billed_amount"), F.col("debt_effect")
+    have = F.col("transaction_date").isNotNull() & (F.col("billed_currency") == F.col("account_currency")) & (amount > 0) & F.col("section_category").isNotNull() & (effect != 0)
+    return {
+        "card_original_pair": F.col("original_amount").isNull() == F.col("original_currency").isNull(),
+        "card_installment": F.col("installment_number") > 0,
+        "card_unbilled_parsed": ~(parsed & (F.col("section") == "unbilled")),
+        "card_parsed_record": F.when(parsed, F.coalesce(have, F.lit(False))),
+        "card_debt_effect": F.when(parsed, effect == F.when(paid, -amount).otherwise(amount)),
+    }
+
+
+def historical_result_rules() -> dict[str, Column]:
+    """Of historical statements (counts and source_account_id) against the account they were imported for."""
+    return {
+        "historical_source_account": F.coalesce(F.col("source_account_id") == F.col("expected_source_account_id"), F.lit(False)),
+        "historical_currency": F.coalesce((F.col("currency") == F.col("account_currency")) & (F.col("account_currency") == "CLP"), F.lit(False)),
+        "historical_counts": F.col("parsed") + F.col("ignored") + F.col("rejected") == F.col("records"),
+        "historical_signed": F.col("parsed_unsigned") == 0,
+    }
+
+
 def artifact_rules() -> dict[str, Column]:
     return {"artifact_digest_shape": F.col("digest").rlike("^[0-9a-f]{64}$")}
 

@@ -1,7 +1,7 @@
 import pytest
 
 from quillon.operators.lifecycle import TRANSITIONS
-from quillon.plans import card, evidence, historical, imports, layouts, resolution  # noqa: F401
+from quillon.plans import card, evidence, historical, imports, layouts, resolution, results  # noqa: F401
 from quillon.plans.catalogue import QUERIES, SQL
 
 

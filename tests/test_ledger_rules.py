@@ -84,3 +84,52 @@ def test_replay_splits_a_hot_history(spark):
         state[r["o"]] = to or now
         assert (r["from_state"], r["to_state"], r["sequence"], r["code"]) == (now, to or now, n[r["o"]] if to else None, None if to else "transition_invalid")
     assert lifecycle.replay(rows.limit(0), "o", ["at"]).count() == 0
+
+
+def test_backfills_go_back_and_refuse(spark, sf_dir):
+    import pytest
+
+    from quillon.operators import backfill
+    from quillon.plans import results
+
+    older = results._older(spark, sf_dir)
+    newer = backfill.forward(**older)
+    again = backfill.back(**newer)
+    for name, df in older.items():
+        assert backfill.same(df, again[name].select(df.columns), *df.columns), name
+    assert not backfill.same(older["records"], older["records"].limit(5), "raw_record_id")
+
+    def refused(run, **changed):
+        with pytest.raises(backfill.Refused) as e:
+            run(**changed)
+        return str(e.value)
+
+    cut = lambda name, n=1: {**older, name: older[name].orderBy("raw_record_id").limit(n)}
+    assert refused(backfill.forward, **{**older, "artifacts": older["artifacts"].withColumn("source_kind", F.lit("PDF"))}) == "source_kind_unknown"
+    assert refused(backfill.forward, **{**older, "records": older["records"].withColumn("row_number", F.lit(0))}) == "row_number_invalid"
+    assert refused(backfill.forward, **{**older, "movements": older["movements"].withColumn("amount_source_column", F.lit("G"))}) == "amount_column_unknown"
+    assert refused(backfill.forward, **{**older, "records": older["records"].withColumn("parse_outcome", F.lit("IGNORED"))}) == "movement_of_unparsed"
+    assert refused(backfill.forward, **cut("movements")) == "parsed_rows_and_movements_differ"
+    assert refused(backfill.back, **{**newer, "batches": newer["batches"].withColumn("source_kind", F.lit("CARD_PDF"))}) == "source_kind_unknown"
+    assert refused(backfill.back, **{**newer, "batches": newer["batches"].limit(1)}) == "artifact_without_batch"
+    assert refused(backfill.back, **{**newer, "records": newer["records"].withColumn("record_kind", F.lit("OTHER"))}) == "record_kind_unknown"
+    kinds = spark.createDataFrame([("CURRENT",), ("CREDIT_CARD",)], "kind string")
+    assert [r["economic_orientation"] for r in backfill.orientations(kinds).collect()] == ["ASSET", "LIABILITY"]
+    assert refused(backfill.orientations, accounts=kinds.withColumn("kind", F.lit("SAVINGS"))) == "account_kind_unknown"
+
+
+def test_vocabularies_are_apart():
+    import pytest
+
+    words = validation.SHEET_VOCABULARY
+    assert words["PARSED"] == {"running_balance_invalid"} and "header_row" in words["IGNORED"] and "amount_invalid" in words["REJECTED"]
+    assert not words["PARSED"] & words["REJECTED"] and frozenset().union(*words.values()) == validation.ROW_CODES
+    with pytest.raises(ValueError):
+        validation.vocabulary(frozenset("ab"), frozenset("a"), frozenset("a"))
+
+
+def test_fields_without_provenance(spark):
+    from quillon.operators import provenance
+
+    rows = spark.createDataFrame([(1, "x", 5, '{"schema":"s","fields":{"a":1}}'), (2, None, 5, '{"schema":"s","fields":{"b":1}}'), (3, "x", None, "no json")], "k long, a string, b int, provenance string")
+    assert sorted(map(tuple, provenance.lacking(rows, "k", ["a", "b"]).collect())) == [(1, "b"), (3, "a")]

@@ -173,3 +173,38 @@ def test_groups_split_a_hot_account(spark, sf_dir):
 def test_nothing_to_do(spark, sf_dir):
     none = plans.commands(spark, sf_dir).limit(0)
     assert resolution.resolve(none, plans.claims(spark, sf_dir), plans.held(spark, sf_dir), ["n"]).count() == 0
+
+
+def test_the_same_in_one_batch_in_ten_and_after_a_stop(spark, tmp_path):
+    from quillon.streaming import commands as stream
+
+    commands, claims, held = made(7, n=120)
+    account = {c[0]: c[1] for c in claims}
+    # keys count within an account
+    commands = [(*c[:11], f"{account[c[2]]}-{c[11]}", *c[12:]) for c in commands if c[2] in account]
+    claims_, held_ = spark.createDataFrame(claims, CLAIM), spark.createDataFrame(held, HELD)
+    want = plain(commands, claims, held)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name, size, stop in (("one", 120, None), ("ten", 12, None), ("stopped", 12, 4)):
+            folder, out, state = str(tmp_path / name), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-state")
+
+            def run(rows, folder=folder, out=out, state=state):
+                for k, a in enumerate(rows):
+                    spark.createDataFrame(commands[a : a + size], COMMAND).coalesce(1).write.mode("append").parquet(folder)
+                source = spark.readStream.schema(COMMAND).option("maxFilesPerTrigger", 1).parquet(folder)
+                found = stream.resolve(source, claims_, held_, ["n"], ["n"])
+                query = found.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out, format="parquet")
+                query.awaitTermination(300)
+
+            starts = list(range(0, len(commands), size))
+            run(starts if stop is None else starts[:stop])
+            if stop is not None:
+                run(starts[stop:])
+            rows = spark.read.parquet(out).collect()
+            assert len(rows) == len(commands)
+            for r in rows:
+                got = ("APPLIED", r["to_state"], r["sequence"], r["resolved_movement_id"]) if r["decision"] == "APPLIED" else r["decision"] or r["code"]
+                assert got == want[r["n"]], (name, r)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

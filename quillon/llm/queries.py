@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, divergence, filter_audit, html_text, language, media, near_dup, packing, quality, token_counts, toxicity, url_filter, warc
-from quillon.llm.common import read_table, scratch, shared_dir
+from quillon.llm.common import materialise, read_table, remove, scratch, shared_dir
 
 
 def vocabulary() -> str:
@@ -88,10 +88,14 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    with scratch():
+    with scratch() as kept:
         warc.write(warc.revisits(read_table(spark, sf_dir, "pages")), path)
-    records = warc.resolve(warc.read(spark.read.parquet(path)))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        records = warc.resolve(warc.read(spark.read.parquet(path)))
+        # the archive goes once it has been read back
+        found = materialise(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+        kept.append(found)
+    remove(spark, path)
+    return found
 
 
 OP10_SQL = """

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import money
-from quillon.functions.text import recognition_key
+from quillon.functions.text import quick_recognition_key
 from quillon.operators.shared import held
 from quillon.sources.tokens import BANDS
 
@@ -43,7 +43,7 @@ def _day(text: Column) -> Column:
 
 def _lines(lined: DataFrame) -> DataFrame:
     """A row for each line: its edges, its words for comparison, its tokens from left to right."""
-    plain = lined.select(*_PAGE, "line", "ordinal", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), recognition_key("text").alias("label"))
+    plain = lined.select(*_PAGE, "line", "ordinal", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), quick_recognition_key("text").alias("label"))
     tokens = F.array_sort(F.collect_list(F.struct("x0", "ordinal", "x1", "text", "label")))
     rows = plain.groupBy(*_PAGE, "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), tokens.alias("t"))
     key = F.array_join(F.filter(F.transform("t", lambda t: t["label"]), lambda x: x != ""), " ")

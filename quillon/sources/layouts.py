@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import dates, money
-from quillon.functions.text import collapsed_label, label_key
+from quillon.functions.text import quick_collapsed_label, quick_label_key
 from quillon.sources.statements import LABELS, PART_LABELS
 
 #: Labels of the heads, from the top.
@@ -47,7 +47,7 @@ def match(cells: DataFrame, layout: str) -> DataFrame:
     sheets = cells.filter("sheet_ordinal IS NOT NULL")
     filled = sheets.filter("row_number IS NOT NULL AND (is_formula OR value_text IS NOT NULL)").withColumn("n_column", _column(F.col("column")))
     # a formula has no label
-    label = F.when(~F.col("is_formula"), collapsed_label("value_text"))
+    label = F.when(~F.col("is_formula"), quick_collapsed_label("value_text"))
     at = (F.col("row_number") == F.col("p_row")) & (F.col("column") == F.col("p_column"))
     hit = F.col("p_row").isNotNull() & (F.col("p_label").isNull() | (F.col("label") == F.col("p_label")))
     own = filled.filter(F.col("row_number") <= head).withColumn("label", label).join(F.broadcast(places), at, "left")
@@ -100,7 +100,7 @@ def discover_current(cells: DataFrame) -> DataFrame:
     balance is the first amount to the right of its label in column A.
     """
     sheets = cells.filter("code IS NULL AND row_number IS NOT NULL").withColumn("n_column", _column(F.col("column")))
-    present = sheets.filter("is_formula OR trim(value_text) <> ''").withColumn("key", F.when(~F.col("is_formula"), label_key("value_text")))
+    present = sheets.filter("is_formula OR trim(value_text) <> ''").withColumn("key", F.when(~F.col("is_formula"), quick_label_key("value_text")))
     is_ = {c: F.col("key").isin(names) | (F.col("key").rlike("|".join(PART_LABELS[c])) if c in PART_LABELS else F.lit(False)) for c, names in LABELS.items()}
     named = reduce(Column.__or__, ((F.col("column") == c) & test for c, test in is_.items()))
     rows = present.filter("visible").groupBy(*_SHEET, "row_number").agg(F.count_if(F.coalesce(named, F.lit(False))).alias("hits"), F.max("n_column").alias("widest"))

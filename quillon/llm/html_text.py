@@ -222,11 +222,12 @@ def visible(node: Node, hidden: frozenset[str]) -> bool:
 
 def veiled(node: Node, hidden: frozenset[str], before: bool) -> bool:
     """Whether visibility hides the element's own text; what is in it may be shown again."""
-    if found := _VISIBILITY.findall(node.attributes.get("style", "")):
+    a = node.attributes
+    if "style" in a and (found := _VISIBILITY.findall(a["style"])):
         return found[-1].lower() != "visible"
-    if hidden and _named(node, hidden, "+"):
-        return False
-    return before or bool(hidden) and _named(node, hidden, "!")
+    if not hidden:
+        return before
+    return not _named(node, hidden, "+") and (before or _named(node, hidden, "!"))
 
 
 class Page:

@@ -436,13 +436,13 @@ def store(docs: DataFrame, text: str = "text", unit: int = UNIT, keep: list[str]
 _READ = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int"
 
 
-def read(stored: DataFrame, media: str = "media", keep: list[str] | None = None, tensors: bool = True) -> DataFrame:
+def read(stored: DataFrame, media: str = "media", keep: list[str] | None = None, tensors: bool = True, payloads: bool = True) -> DataFrame:
     """Reads files back: digests of what they hold, a feature of the picture (its size, mean
     colours and the tensor's checksum) and, if asked for, the tensor's bytes as ``rgb``,
-    row by row, and the ``payload``.  A null file has nulls."""
+    row by row, and, unless it isn't asked for, the ``payload``.  A null file has nulls."""
     kept = [c for c in (stored.columns if keep is None else keep) if c != media]
     source = stored.select(*kept, stored[media].alias("__media"))
-    schema = extended(source.drop("__media").schema, _READ + ", rgb binary, payload binary" * tensors)
+    schema = extended(source.drop("__media").schema, _READ + ", rgb binary" * tensors + ", payload binary" * (tensors and payloads))
     names = schema.fieldNames()[len(kept) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +451,7 @@ def read(stored: DataFrame, media: str = "media", keep: list[str] | None = None,
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
                 out = [_digest(v.as_py(), tensors) for v in rows.column("__media")]
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)]
+                columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[: len(names)], kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *columns], names=[*kept, *names])
 
     return source.mapInArrow(run, schema)

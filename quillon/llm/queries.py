@@ -83,7 +83,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     # the tensor, as bytes by row, is a column of what the caller writes
-    return media.read(stored, tensors=True).drop("payload")
+    return media.read(stored, tensors=True, payloads=False)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

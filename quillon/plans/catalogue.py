@@ -51,10 +51,10 @@ def amount(c: str) -> Column:
     return F.col(c).cast(money.MONEY)
 
 
-def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of orders; a return is positive, other flags are negative."""
+def movements(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Line items of orders, with ``more`` of the orders; a return is positive, other flags are negative."""
     signed = F.when(F.col("l_returnflag") == "R", amount("l_extendedprice")).otherwise(-amount("l_extendedprice"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *more)
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("movement_id"),
         F.col("o_custkey").alias("account_id"),
@@ -65,6 +65,7 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line"),
         "l_quantity",
         "l_suppkey",
+        *orders.columns[2:],
     )
 
 
@@ -83,8 +84,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH m AS ({_MOVEMENTS}) SELECT movement_id, account_id, occurrence_date, signed_amount, import_batch_id, o_orderstatus AS import_status
   FROM m JOIN orders ON import_batch_id = o_orderkey WHERE account_id = 7 AND occurrence_date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'""")
 def report_movements(spark, sf_dir):
-    batches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("import_batch_id"), F.col("o_orderstatus").alias("import_status"))
-    rows = movements(spark, sf_dir).join(batches, "import_batch_id")
+    rows = movements(spark, sf_dir, F.col("o_orderstatus").alias("import_status"))
     found = report.movements_between(rows, 7, datetime.date(1995, 1, 1), datetime.date(1997, 12, 31))
     return found.select("movement_id", "account_id", "occurrence_date", "signed_amount", "import_batch_id", "import_status")
 

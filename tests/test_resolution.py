@@ -208,3 +208,14 @@ def test_the_same_in_one_batch_in_ten_and_after_a_stop(spark, tmp_path):
                 assert got == want[r["n"]], (name, r)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_only_what_claims_share_links_them(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(resolution, "components", lambda edges: seen.append(edges) or components(edges))
+    rows = resolution.with_facts(plans.commands(spark, sf_dir).filter("g < 4"), plans.claims(spark, sf_dir), plans.held(spark, sf_dir))
+    found = resolution.groups(rows)
+    assert found.count() == rows.count() and not found.filter("group IS NULL").count()
+    claims = {r[0] for r in rows.select(F.xxhash64(F.lit("claim"), "observation_id")).distinct().collect()}
+    edges = seen[0].collect()
+    assert edges and {n for e in edges for n in e} <= claims

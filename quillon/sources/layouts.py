@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import dates, money
 from quillon.functions.text import quick_collapsed_label, quick_label_key
+from quillon.operators.shared import held
 from quillon.sources.statements import LABELS, PART_LABELS
 
 #: Labels of the heads, from the top.
@@ -30,8 +31,10 @@ _SHEET = ["source_id", "sheet_ordinal"]
 
 
 def _column(c: Column) -> Column:
-    """A column's number by its letters."""
-    return F.aggregate(F.split(c, ""), F.lit(0), lambda n, x: F.when(x == "", n).otherwise(n * 26 + F.ascii(x) - 64))
+    """A column's number by its letters; up to three, as all sheets have, in compiled code."""
+    digit = lambda k: F.ascii(F.substring(c, k, 1)) - 64
+    many = F.aggregate(F.split(c, ""), F.lit(0), lambda n, x: F.when(x == "", n).otherwise(n * 26 + F.ascii(x) - 64))
+    return F.when(F.length(c) == 1, digit(1)).when(F.length(c) == 2, digit(1) * 26 + digit(2)).when(F.length(c) == 3, (digit(1) * 26 + digit(2)) * 26 + digit(3)).otherwise(many)
 
 
 def match(cells: DataFrame, layout: str) -> DataFrame:
@@ -99,33 +102,36 @@ def discover_current(cells: DataFrame) -> DataFrame:
     formula on the way there refuses the workbook, as do no or several starts or ends.  A
     balance is the first amount to the right of its label in column A.
     """
-    sheets = cells.filter("code IS NULL AND row_number IS NOT NULL").withColumn("n_column", _column(F.col("column")))
-    present = sheets.filter("is_formula OR trim(value_text) <> ''").withColumn("key", F.when(~F.col("is_formula"), quick_label_key("value_text")))
+    there = F.coalesce(F.expr("code IS NULL AND row_number IS NOT NULL AND (is_formula OR trim(value_text) <> '')"), F.lit(False))
+    present = cells.withColumns({"n_column": F.when(there, _column(F.col("column"))), "key": F.when(there & ~F.col("is_formula"), quick_label_key("value_text"))})
     is_ = {c: F.col("key").isin(names) | (F.col("key").rlike("|".join(PART_LABELS[c])) if c in PART_LABELS else F.lit(False)) for c, names in LABELS.items()}
     named = reduce(Column.__or__, ((F.col("column") == c) & test for c, test in is_.items()))
-    rows = present.filter("visible").groupBy(*_SHEET, "row_number").agg(F.count_if(F.coalesce(named, F.lit(False))).alias("hits"), F.max("n_column").alias("widest"))
+    near = F.collect_list(F.when(F.col("n_column") <= 7, F.struct("n_column", "is_formula", "key", "value_type", "value_text")))
+    # held, as cells are dear to read: sources, headers and heads all come from their rows
+    rows = held(present.groupBy(*_SHEET, "row_number").agg(F.count_if(F.coalesce(named & F.col("visible"), F.lit(False))).alias("hits"), F.max(F.when(F.col("visible"), F.col("n_column"))).alias("widest"), near.alias("near"), F.max("code").alias("code")))
     headers = rows.filter((F.col("hits") == len(LABELS)) & (F.col("widest") <= 7)).groupBy(*_SHEET).agg(F.min("row_number").alias("header_row"))
     one = headers.groupBy("source_id").agg(F.count("*").alias("n"), F.min("sheet_ordinal").alias("sheet_ordinal"), F.min("header_row").alias("header_row"))
-    sources = cells.groupBy("source_id").agg(F.max("code").alias("refused"))
+    sources = rows.groupBy("source_id").agg(F.max("code").alias("refused"))
     found = sources.join(one, "source_id", "left")
-    head = present.join(one.filter("n = 1").drop("n"), _SHEET).filter((F.col("row_number") < F.col("header_row")) & (F.col("n_column") <= 7))
+    every_label = [x for names in (*PERIOD.values(), *EDGES.values()) for x in names]
+    labelled = rows.filter(F.exists("near", lambda x: x["key"].isin(every_label)))
+    head = labelled.join(one.filter("n = 1").drop("n"), _SHEET).filter(F.col("row_number") < F.col("header_row")).select("source_id", "row_number", F.inline("near"))
     day = F.when(F.col("value_type") == "date", F.col("value_text").try_cast("date")).when(F.col("value_type") == "text", dates.full_date(F.trim("value_text")))
     balance = money.sheet_cell(F.col("value_text"), F.col("value_type"), movement=False)
     target = F.expr("CASE " + " ".join(f"WHEN key IN ({', '.join(repr(x) for x in names)}) THEN '{k}'" for k, names in PERIOD.items()) + " END")
     edge = F.expr("CASE " + " ".join(f"WHEN key IN ({', '.join(repr(x) for x in names)}) THEN '{k}'" for k, names in EDGES.items()) + " END")
-    head = head.withColumns({"day": F.when(~F.col("is_formula"), day), "money": F.when(~F.col("is_formula"), balance["value"]), "target": target, "edge": F.when(F.col("column") == "A", edge)})
+    head = head.withColumns({"day": F.when(~F.col("is_formula"), day), "money": F.when(~F.col("is_formula"), balance["value"]), "target": target, "edge": F.when(F.col("n_column") == 1, edge)})
     place = ["source_id", "row_number"]
-    values = head.select(*place, F.col("n_column").alias("v_column"), F.col("is_formula").alias("v_formula"), F.col("day").alias("v_day"), F.col("money").alias("v_money"))
-    right = lambda labels: labels.join(values, place).filter(F.col("v_column") > F.col("n_column"))
-    dated = right(head.filter("target IS NOT NULL").select(*place, "n_column", "target")).groupBy(*place, "n_column", "target").agg(
-        F.min_by("v_formula", F.when(F.col("v_formula") | F.col("v_day").isNotNull(), F.col("v_column"))).alias("formula"), F.min_by("v_day", F.when(F.col("v_formula") | F.col("v_day").isNotNull(), F.col("v_column"))).alias("value")
-    )
+    right = Window.partitionBy(*place).orderBy("n_column").rangeBetween(1, Window.unboundedFollowing)
+    first = lambda test, *columns: F.first(F.when(test, F.struct(*columns)), ignorenulls=True).over(right)
+    head = head.withColumns({"dated": first(F.col("is_formula") | F.col("day").isNotNull(), "is_formula", "day"), "valued": first(F.col("money").isNotNull(), "n_column", "money")})
+    dated = head.filter("target IS NOT NULL AND dated IS NOT NULL").groupBy(*place, "n_column", "target").agg(F.first("dated.is_formula").alias("formula"), F.first("dated.day").alias("value"))
     is_target = lambda t: (F.col("target") == t) & F.col("value").isNotNull()
     period = dated.groupBy("source_id").agg(
         F.bool_or("formula").alias("formula"), *(F.count_if(is_target(t)).alias(f"n_{t}") for t in PERIOD), *(F.min(F.when(is_target(t), F.col("value"))).alias(f"period_{t}") for t in PERIOD)
     )
-    at = F.struct("row_number", "v_column")
-    edges = right(head.filter("edge IS NOT NULL").select(*place, "n_column", "edge")).filter("v_money IS NOT NULL").groupBy("source_id").agg(*(F.min_by("v_money", F.when(F.col("edge") == k, at)).alias(f"{k}_balance") for k in EDGES))
+    at = F.struct("row_number", "valued.n_column")
+    edges = head.filter("edge IS NOT NULL AND valued IS NOT NULL").groupBy("source_id").agg(*(F.min_by("valued.money", F.when(F.col("edge") == k, at)).alias(f"{k}_balance") for k in EDGES))
     found = found.join(period, "source_id", "left").join(edges, "source_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     code = (

@@ -5,6 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quillon.operators import lifecycle, reconcile
+from quillon.plans import layouts as layout_plans
 from quillon.sources import cells, historical, statements, tokens
 from quillon.streaming import ingest
 
@@ -158,3 +159,9 @@ def test_workbooks_beyond_the_limits_are_refused(monkeypatch):
     assert code(again.getvalue()) == 7
     monkeypatch.setitem(cells.LIMITS, "total", 5000)
     assert code(again.getvalue()) == "shared_strings_exceeded"
+
+
+def test_discovery_reads_cells_once(spark, sf_dir):
+    """What is found comes from the rows that are held; the cells aren't read again for it."""
+    found = layout_plans.sheet_discovery(spark, sf_dir)
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()

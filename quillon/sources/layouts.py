@@ -48,25 +48,27 @@ def match(cells: DataFrame, layout: str) -> DataFrame:
     spark = cells.sparkSession
     places = spark.createDataFrame(PLACES[layout], "p_row int, p_column string, p_label string")
     sheets = cells.filter("sheet_ordinal IS NOT NULL")
-    filled = sheets.filter("row_number IS NOT NULL AND (is_formula OR value_text IS NOT NULL)").withColumn("n_column", _column(F.col("column")))
+    there = F.coalesce(F.expr("row_number IS NOT NULL AND (is_formula OR value_text IS NOT NULL)"), F.lit(False))
+    sheets = sheets.withColumns({"there": there, "in_head": there & (F.coalesce("row_number", F.lit(head + 1)) <= head), "n_column": F.when(there, _column(F.col("column")))})
     # a formula has no label
-    label = F.when(~F.col("is_formula"), quick_collapsed_label("value_text"))
+    sheets = sheets.withColumn("label", F.when(F.col("in_head") & ~F.col("is_formula"), quick_collapsed_label("value_text")))
     at = (F.col("row_number") == F.col("p_row")) & (F.col("column") == F.col("p_column"))
     hit = F.col("p_row").isNotNull() & (F.col("p_label").isNull() | (F.col("label") == F.col("p_label")))
-    own = filled.filter(F.col("row_number") <= head).withColumn("label", label).join(F.broadcast(places), at, "left")
-    heads = own.groupBy(*_SHEET).agg(
-        F.count_if(hit).alias("hits"), F.count("*").alias("in_head"), F.count_if("is_formula").alias("formulas"), F.count_if((F.col("value_type") != "text") & F.col("value_text").isNotNull() & ~F.col("is_formula")).alias("other_types"),
-        F.count_if((F.col("row_number") == head) & F.col("column").isin("D", "E", "F") & (F.coalesce("label", F.lit("")) != "")).alias("between"),
+    text, pair = F.col("value_text"), "^C([0-9]+):F\\1$"
+    merge, counted = F.col("value_type") == "merge", {}
+    counted |= {"hits": F.col("in_head") & hit, "heads": F.col("in_head"), "formulas": F.col("in_head") & F.col("is_formula"), "other_types": F.col("in_head") & (F.col("value_type") != "text") & text.isNotNull() & ~F.col("is_formula")}
+    counted |= {"between": F.col("in_head") & (F.col("row_number") == head) & F.col("column").isin("D", "E", "F") & (F.coalesce("label", F.lit("")) != "")}
+    counted |= {"merges": merge, "narrow_title": merge & (text == "A1:E1"), "wide_title": merge & (text == "A1:H1"), "odd_merges": merge & (text != "A1:H1") & ~text.rlike(pair), "cells": F.col("there")}
+    # cells are read once: rows first, so that those of a sheet can be counted; a mask tells the columns apart where a sheet is narrow enough to fit
+    mask = F.bit_or(F.when(F.col("n_column").between(0, 62), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n_column"))))
+    rows = sheets.join(F.broadcast(places), at, "left").groupBy(*_SHEET, "row_number").agg(
+        *(F.count_if(c).alias(k) for k, c in counted.items()), F.max("n_column").alias("widest"), mask.alias("mask"), F.min("sheet_name").alias("sheet_name"), F.bool_and("visible").alias("visible"),
+        F.collect_set(F.when(merge & text.rlike(pair), F.regexp_extract("value_text", "^C([0-9]+):", 1).cast("int"))).alias("merged_rows"),
     )
-    extent = filled.groupBy(*_SHEET).agg(F.max("row_number").alias("last"), F.max("n_column").alias("widest"), F.count_distinct("row_number").alias("rows"), F.count_distinct("n_column").alias("columns"))
-    merges = sheets.filter("value_type = 'merge'").groupBy(*_SHEET).agg(
-        F.count("*").alias("merges"), F.count_if(F.col("value_text") == "A1:E1").alias("narrow_title"), F.count_if(F.col("value_text") == "A1:H1").alias("wide_title"),
-        F.collect_set(F.when(F.col("value_text").rlike("^C([0-9]+):F\\1$"), F.regexp_extract("value_text", "^C([0-9]+):", 1).cast("int"))).alias("merged_rows"),
-        F.count_if((F.col("value_text") != "A1:H1") & ~F.col("value_text").rlike("^C([0-9]+):F\\1$")).alias("odd_merges"),
+    every = rows.groupBy(*_SHEET).agg(
+        *(F.sum(k).alias(k) for k in counted if k not in ("heads", "cells")), F.sum("heads").alias("in_head"), F.count_if(F.col("cells") > 0).alias("rows"), F.max(F.when(F.col("cells") > 0, F.col("row_number"))).alias("last"), F.max("widest").alias("widest"),
+        F.bit_count(F.coalesce(F.bit_or("mask"), F.lit(0).cast("bigint"))).alias("columns"), F.coalesce(F.min(F.when(F.col("row_number").isNotNull(), F.col("sheet_name"))), F.min("sheet_name")).alias("sheet_name"), F.bool_and("visible").alias("visible"), F.array_distinct(F.flatten(F.collect_list("merged_rows"))).alias("merged_rows"),
     )
-    every = sheets.groupBy(*_SHEET).agg(F.first("sheet_name").alias("sheet_name"), F.bool_and("visible").alias("visible"))
-    for part in (heads, extent, merges):
-        every = every.join(part, _SHEET, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_places = len(PLACES[layout])
     fits = (z("hits") == n_places) & F.col("visible")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import lifecycle, reconcile
 from quillon.plans import layouts as layout_plans
-from quillon.sources import cells, historical, statements, tokens
+from quillon.sources import cells, historical, layouts, statements, tokens
 from quillon.streaming import ingest
 
 D = datetime.date
@@ -165,3 +165,9 @@ def test_discovery_reads_cells_once(spark, sf_dir):
     """What is found comes from the rows that are held; the cells aren't read again for it."""
     found = layout_plans.sheet_discovery(spark, sf_dir)
     assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contracts_read_cells_once(spark, sf_dir):
+    """A layout is tested in one pass over the cells."""
+    found = layouts.match(layout_plans._sheets(spark, sf_dir, "recent"), "recent")
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

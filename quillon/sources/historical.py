@@ -43,15 +43,17 @@ def _day(text: Column) -> Column:
 
 def _lines(lined: DataFrame) -> DataFrame:
     """A row for each line: its edges, its words for comparison, its tokens from left to right."""
-    plain = lined.select(*_PAGE, "line", "ordinal", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), quick_recognition_key("text").alias("label"))
+    plain = lined.select(*_PAGE, "line", "ordinal", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), quick_recognition_key("text").alias("label")).repartition(_DOC)  # the one exchange for lines, pages and documents
     tokens = F.array_sort(F.collect_list(F.struct("x0", "ordinal", "x1", "text", "label")))
     rows = plain.groupBy(*_PAGE, "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), tokens.alias("t"))
     key = F.array_join(F.filter(F.transform("t", lambda t: t["label"]), lambda x: x != ""), " ")
-    rows = rows.withColumn("key", key).withColumn("words", F.split("key", " "))
+    rows = rows.withColumn("key", key)
     # the first line above the edge that has all words
-    heads = (F.col("y0") <= LOWEST_HEADER) & reduce(Column.__and__, (F.array_contains("words", w) for w in HEADER_WORDS))
-    own = F.struct("line", "y0", "y1", "t")
-    return rows.withColumn("h", F.min_by(own, F.when(heads, F.col("line"))).over(Window.partitionBy(*_PAGE)))
+    heads = (F.col("y0") <= LOWEST_HEADER) & reduce(Column.__and__, (F.array_contains(F.split("key", " "), w) for w in HEADER_WORDS))
+    # whether the header fits goes with each line, not its tokens
+    own = F.when(heads, F.struct("line", "y0", "y1", _fits(F.col("t")).alias("fits")))
+    rows = rows.withColumn("h", F.min(own).over(Window.partitionBy(*_PAGE)))
+    return rows.withColumn("last", F.max("page").over(Window.partitionBy(_DOC)))
 
 
 def _token(t: Column, low: float, high: float | None = None) -> Column:
@@ -69,8 +71,7 @@ def documents(lined: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = held(_lines(lined))  # four results read it
     head = F.col("h")
-    pages = rows.groupBy(_DOC).agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first"), F.max("page").alias("last"), F.bool_or(head.isNull()).alias("headless"), F.bool_or(~_fits(head["t"])).alias("moved"))
-    rows = rows.join(pages.select(_DOC, "last"), _DOC)
+    pages = rows.groupBy(_DOC).agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first"), F.max("page").alias("last"), F.bool_or(head.isNull()).alias("headless"), F.bool_or(~head["fits"]).alias("moved"))
     meta = _metadata(rows)
     summary = _summary(rows)
     found = pages.join(meta, _DOC, "left").join(summary, _DOC, "left")
@@ -135,7 +136,7 @@ def _summary(rows: DataFrame) -> DataFrame:
     last = last.withColumns({"n_context": F.count_if(context).over(w), "context_y": F.min(F.when(context, F.col("y0"))).over(w)})
     below = last.filter(F.col("y0") >= F.col("context_y"))
     # one page's lines
-    page = below.groupBy(_DOC).agg(F.max("n_context").alias("n_context"), F.max("context_y").alias("context_y"), F.array_sort(F.collect_list(F.struct("line", "y0", "y1", "words", "t"))).alias("lines"))
+    page = below.groupBy(_DOC).agg(F.max("n_context").alias("n_context"), F.max("context_y").alias("context_y"), F.array_sort(F.collect_list(F.struct("line", "y0", "y1", F.split("key", " ").alias("words"), "t"))).alias("lines"))
     near = F.flatten(F.transform(F.filter("lines", lambda x: x["y0"] - F.col("context_y") <= PERIOD_DEPTH), lambda x: x["t"]))
     text = F.array_join(F.transform(F.filter(near, lambda t: (t["x0"] >= PERIOD_FROM) & (t["x0"] < PERIOD_TO)), lambda t: t["text"]), " ")
     out = {"s_period": _days(F.regexp_replace(text, r"\s*-\s*", "-"))}

@@ -171,3 +171,11 @@ def test_contracts_read_cells_once(spark, sf_dir):
     """A layout is tested in one pass over the cells."""
     found = layouts.match(layout_plans._sheets(spark, sf_dir, "recent"), "recent")
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_historical_lines_are_dealt_once(spark):
+    """Lines, pages and documents share an exchange, and a line doesn't carry its page's header."""
+    tokens_ = spark.createDataFrame([("a", 1, 0, "x", 1.0, 2.0, 3.0, 4.0)], "doc_id string, page int, ordinal int, text string, x0 double, x1 double, y0 double, y1 double")
+    rows = historical._lines(tokens.lines(tokens_))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert "t" not in rows.schema["h"].dataType.names

@@ -75,10 +75,13 @@ def violations(rows: DataFrame, key: str, json: str = "provenance") -> DataFrame
         .when(~F.coalesce(F.try_variant_get("v", "$.schema", "string") == SCHEMA, F.lit(False)) | ~F.col("shape").endswith("schema: STRING>"), "provenance_schema_unsupported")
         .when(~F.col("shape").startswith("OBJECT<fields: OBJECT<"), "provenance_fields_invalid")
     )
+    # one row for a whole without fields, else one a field; exploding isn't pushed down as a filter is, so that the JSON is read once
+    entry = lambda field, value, code: F.struct(field.alias("field"), value.alias("value"), code.alias("whole"))
+    none = F.lit(None)
+    each = F.transform(F.map_entries(F.try_variant_get("v", "$.fields", "map<string,variant>")), lambda e: entry(e["key"], e["value"], none.cast("string")))
     read = read.withColumn("code", whole)
-    bad = read.filter("code IS NOT NULL").select(key, F.lit(None).cast("string").alias("field"), "code")
-    good = read.filter("code IS NULL").select(key, F.variant_get("v", "$.fields", "variant").alias("fields"))
-    each = good.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("fields").outer())).select(key, F.col("key").alias("field"), F.col("value"))
+    entries = F.when(F.col("code").isNull(), each).otherwise(F.array(entry(none.cast("string"), none.cast("variant"), F.col("code"))))
+    each = read.select(key, F.inline(entries))
     # a path of its own, as a key's name may equal the column's
     each = each.withColumn("shape", F.schema_of_variant("value"))
     shaped = F.col("shape").isin(_FIELD.format("VOID"), _FIELD.format(f"OBJECT<{_SPAN}>"), _FIELD.format("VOID").replace("ARRAY<VOID>", "ARRAY<>"))
@@ -87,10 +90,10 @@ def violations(rows: DataFrame, key: str, json: str = "provenance") -> DataFrame
     pages = F.concat(F.array(f["page_ordinal"]), F.transform(f["additional_page_spans"], lambda s: s["page_ordinal"]))
     text = lambda c: (F.length(c) == 0) | c.contains("\x00")
     code = F.coalesce(
-        F.when(F.length("field") == 0, "provenance_field_name_invalid"), F.when(f.isNull(), "provenance_field_invalid"), _span_code(f), F.when(text(f["role"]) | text(f["band_relation"]), "provenance_text_invalid"),
+        "whole", F.when(F.length("field") == 0, "provenance_field_name_invalid"), F.when(f.isNull(), "provenance_field_invalid"), _span_code(f), F.when(text(f["role"]) | text(f["band_relation"]), "provenance_text_invalid"),
         F.get(F.array_compact(F.transform(f["additional_page_spans"], _span_code)), F.lit(0)), F.when(F.size(F.array_distinct(pages)) != F.size(pages), "provenance_spans_invalid"),
     )
-    return bad.unionByName(each.select(key, "field", code.alias("code")).filter("code IS NOT NULL"))
+    return each.select(key, "field", F.explode(F.array_compact(F.array(code))).alias("code"))
 
 
 def lacking(rows: DataFrame, key: str, required: list[str], json: str = "provenance") -> DataFrame:

@@ -133,3 +133,15 @@ def test_fields_without_provenance(spark):
 
     rows = spark.createDataFrame([(1, "x", 5, '{"schema":"s","fields":{"a":1}}'), (2, None, 5, '{"schema":"s","fields":{"b":1}}'), (3, "x", None, "no json")], "k long, a string, b int, provenance string")
     assert sorted(map(tuple, provenance.lacking(rows, "k", ["a", "b"]).collect())) == [(1, "b"), (3, "a")]
+
+
+def test_provenance_is_parsed_once_a_payload(spark, capsys):
+    from quillon.operators import provenance
+
+    rows = spark.createDataFrame([(1, "no json"), (2, '{"schema":"field-provenance-v1","fields":{}}'), (3, '{"schema":"field-provenance-v1","fields":{"a":1,"":{}}}'), (4, '{"schema":"field-provenance-v1","fields":null}'), (5, None)], "k long, provenance string")
+    found = provenance.violations(rows, "k")
+    wanted = [(1, None, "provenance_payload_invalid"), (3, "", "provenance_field_name_invalid"), (3, "a", "provenance_field_invalid"), (4, None, "provenance_fields_invalid"), (5, None, "provenance_payload_invalid")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+    found.explain("extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.lower().count("parsejson") + optimized.lower().count("parse_json") == 1, optimized

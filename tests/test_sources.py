@@ -106,6 +106,16 @@ def test_blocks_say_what_one_window_says(spark):
     assert reconcile.running_balance(rows.filter("k < 0"), "a", ["k"], block).isEmpty()
 
 
+def test_continuity_reads_its_rows_once(spark, capsys):
+    rows = spark.createDataFrame([("a", 1, 1, 1), ("a", 2, 1, 3), ("a", 9, 1, 5), ("b", 1, 1, 2), ("c", 1, 1, 1), ("c", 8, 1, None), ("c", 16, 1, 3)], "a string, k int, v int, b int").selectExpr("a", "k", "cast(v as decimal(20,2)) signed_amount", "cast(b as decimal(20,2)) balance")
+    for block in (None, F.floor(F.col("k") / 7)):
+        found = reconcile.continuity(rows, F.lit(0).cast("decimal(20,2)"), "a", ["k"], block)
+        found.explain()
+        assert capsys.readouterr().out.count("Scan ") == 1
+        # what follows a balance that isn't there goes on from the opening
+        assert sorted((r["a"], r["row"], int(r["difference"])) for r in found.collect()) == [("a", 2, -1), ("b", 1, -1), ("c", 3, -2)]
+
+
 def test_policy_against_a_fold(spark):
     import random
 

@@ -26,19 +26,20 @@ def fields(tokens: DataFrame, *by: str) -> DataFrame:
     with two places) to the JSON of each ``by``'s fields: ``provenance``."""
     money = lambda c: c.cast("decimal(20,2)").cast("string")
     share = lambda c, whole: F.bround(c.cast("decimal(20,10)") / whole.cast("decimal(20,10)"), 6).cast("decimal(8,6)").cast("string")
-    ordered = lambda c: F.array_sort(F.array_distinct(F.collect_list(F.col(c).cast("bigint"))))
-    span = tokens.groupBy(*by, "field", "role", "page").agg(ordered("line").alias("line_ordinals"), ordered("ordinal").alias("token_ordinals"), F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"), F.max("width").alias("w"), F.max("height").alias("h"))
+    ordered = lambda c: F.sort_array(F.array_distinct(F.collect_list(F.col(c).cast("bigint"))))
+    # one exchange by the whole serves its spans, fields and JSON
+    span = tokens.repartition(*by).groupBy(*by, "field", "role", "page").agg(ordered("line").alias("line_ordinals"), ordered("ordinal").alias("token_ordinals"), F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"), F.max("width").alias("w"), F.max("height").alias("h"))
     edges = [F.col(x) for x in "abcd"]
     whole = [F.col(x) for x in "whwh"]
     made = F.struct(
         F.col("page").cast("bigint").alias("page_ordinal"), "line_ordinals", "token_ordinals", F.array(*map(money, edges)).alias("bbox"), money(F.col("w")).alias("page_width"), money(F.col("h")).alias("page_height"),
         F.array(*(share(e, x) for e, x in zip(edges, whole, strict=True))).alias("normalized_bbox"),
     )
-    spans = span.groupBy(*by, "field", "role").agg(F.array_sort(F.collect_list(made)).alias("s"))
+    spans = span.groupBy(*by, "field", "role").agg(F.sort_array(F.collect_list(made)).alias("s"))
     first = F.get("s", F.lit(0))
     relation = F.when(F.size("s") > 1, "across_pages").otherwise("inside")
     one = F.struct(*(first[n].alias(n) for n in ("page_ordinal", "line_ordinals", "token_ordinals", "bbox", "page_width", "page_height", "normalized_bbox")), F.col("role"), relation.alias("band_relation"), F.slice("s", 2, 1 << 30).alias("additional_page_spans"))
-    named = spans.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", one.alias("value"))))).alias("fields"))
+    named = spans.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", one.alias("value"))))).alias("fields"))
     return named.select(*by, F.to_json(F.struct(F.lit(SCHEMA).alias("schema"), "fields")).alias("provenance"))
 
 

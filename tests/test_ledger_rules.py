@@ -145,3 +145,10 @@ def test_provenance_is_parsed_once_a_payload(spark, capsys):
     found.explain("extended")
     optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert optimized.lower().count("parsejson") + optimized.lower().count("parse_json") == 1, optimized
+
+
+def test_field_provenance_moves_its_tokens_once(spark, sf_dir, capsys):
+    from quillon.plans.catalogue import QUERIES
+
+    QUERIES["field_provenance"](spark, sf_dir).explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1

@@ -1,8 +1,8 @@
 """Backfills of an older schema, forward and back, that refuse what they don't know.
 
-Whether the parsed rows and the rows of movements are the same is told by digests of their
-ids that don't depend on order (how many, sum and exclusive-or of hashes), so nothing is
-joined or sorted for it.
+Whether the parsed rows and the rows of movements are the same is told by counts an id, in
+the pass that tests all else.  Sets of any kind are compared by digests that don't depend on
+order (how many, sum and exclusive-or of hashes).
 """
 
 from __future__ import annotations
@@ -46,11 +46,18 @@ def forward(artifacts: DataFrame, batches: DataFrame, records: DataFrame, moveme
     """The kind goes from artifacts (source_kind) to batches; records (row_number,
     parse_outcome) get kind and ordinal, and their movement's amount_source_column."""
     _refuse(artifacts, ("source_kind_unknown", F.col("source_kind") != XLSX))
-    _refuse(records, ("row_number_invalid", F.col("row_number") <= 0))
-    made = movements.join(records.select("raw_record_id", "parse_outcome"), "raw_record_id", "left")
-    _refuse(made, ("amount_column_unknown", ~F.col("amount_source_column").isin("E", "F")), ("movement_of_unparsed", F.col("parse_outcome") != "PARSED"))
-    if not same(records.filter("parse_outcome = 'PARSED'"), movements, "raw_record_id"):
-        raise Refused("parsed_rows_and_movements_differ")
+    # both tables meet by id once: a row an id tells what each side has of it
+    marked = records.select("raw_record_id", F.lit(False).alias("moves"), (F.col("row_number") <= 0).alias("bad"), (F.col("parse_outcome") == "PARSED").alias("parsed"))
+    moved = movements.select("raw_record_id", F.lit(True).alias("moves"), (~F.col("amount_source_column").isin("E", "F")).alias("bad"), F.lit(None).cast("boolean").alias("parsed"))
+    parsed = F.coalesce("parsed", F.lit(False))
+    bad = lambda moves: F.count_if((F.col("moves") == moves) & F.coalesce("bad", F.lit(True)))
+    ids = marked.unionByName(moved).groupBy("raw_record_id").agg(
+        bad(False).alias("rows"), bad(True).alias("columns"), F.count_if("moves").alias("movements"), F.count_if(~F.col("moves") & parsed).alias("parsed"), F.count_if(~F.col("moves") & ~parsed).alias("unparsed"),
+    )
+    alone = F.col("raw_record_id").isNull() | (F.col("unparsed") > 0) | (F.col("parsed") == 0)
+    _refuse(
+        ids, ("row_number_invalid", F.col("rows") > 0), ("amount_column_unknown", F.col("columns") > 0), ("movement_of_unparsed", (F.col("movements") > 0) & alone), ("parsed_rows_and_movements_differ", F.col("parsed") != F.col("movements")),
+    )
     column = movements.select("raw_record_id", F.col("amount_source_column").alias("xlsx_amount_source_column"))
     new = records.join(column, "raw_record_id", "left").withColumns({"record_kind": F.lit(ROW), "record_ordinal": F.col("row_number")})
     return {"artifacts": artifacts.drop("source_kind"), "batches": batches.withColumn("source_kind", F.lit(XLSX)), "records": new.drop("row_number"), "movements": movements.drop("amount_source_column")}

@@ -152,3 +152,22 @@ def test_field_provenance_moves_its_tokens_once(spark, sf_dir, capsys):
 
     QUERIES["field_provenance"](spark, sf_dir).explain()
     assert capsys.readouterr().out.count("Exchange ") == 1
+
+
+def test_backfills_test_all_in_one_pass(spark, monkeypatch):
+    import pytest
+
+    from quillon.operators import backfill
+
+    one = lambda data, schema: spark.createDataFrame(data, schema)
+    older = {
+        "artifacts": one([(1, "XLSX")], "source_artifact_id long, source_kind string"), "batches": one([(1, 1)], "import_batch_id long, source_artifact_id long"),
+        "records": one([("a", 1, "PARSED"), ("a", 2, "PARSED"), ("b", 3, "IGNORED")], "raw_record_id string, row_number int, parse_outcome string"), "movements": one([("a", "E"), ("a", "F")], "raw_record_id string, amount_source_column string"),
+    }
+    passes, refuse = [], backfill._refuse
+    monkeypatch.setattr(backfill, "same", lambda *a: passes.append("same") or True)
+    monkeypatch.setattr(backfill, "_refuse", lambda rows, *rules: passes.append(rules[0][0]) or refuse(rows, *rules))
+    assert backfill.forward(**older)["records"].count() == 5 and passes == ["source_kind_unknown", "row_number_invalid"]
+    for data, code in (([("a", "E")], "parsed_rows_and_movements_differ"), ([("a", "E"), ("a", "E"), (None, "E")], "movement_of_unparsed"), ([("a", "E"), ("b", "F")], "movement_of_unparsed"), ([("a", "E"), ("a", None)], "amount_column_unknown")):
+        with pytest.raises(backfill.Refused, match=code):
+            backfill.forward(**{**older, "movements": one(data, "raw_record_id string, amount_source_column string")})

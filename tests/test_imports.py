@@ -1,6 +1,10 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quillon.operators import imports
+from quillon.plans import imports as plans  # noqa: F401
+from quillon.plans.catalogue import QUERIES
 
 
 def test_a_job_is_there_as_a_whole_or_not_at_all(spark, tmp_path):
@@ -35,3 +39,16 @@ def test_sheets_of_another_variant(spark):
     rows = [(k or "good", n, "IGNORED" if c else "PARSED", [c] if c else [], False) for k, codes in sheets.items() for n, c in enumerate(codes, 1)] + [("beyond_table", 1, "IGNORED", ["header_row"], True)]
     found = imports.sheet_structure(spark.createDataFrame(rows, "source_id string, row_number int, outcome string, codes array<string>, beyond boolean"))
     assert {(r.source_id, r.fault) for r in found.collect()} == {(k, k) for k in [*sheets, "beyond_table"] if k}
+
+
+def test_totals_are_those_of_the_tables(spark, sf_dir):
+    decided = [(1, "XLSX", "ACCEPTED"), (2, "HISTORICAL_PDF", "PARTIAL"), (3, "XLSX", "FATAL"), (4, "CARD_PDF", "REJECTED"), (5, "XLSX", "ACCEPTED"), (6, None, "ACCEPTED")]
+    rows = [(k, n, o, a) for k in (1, 2, 3, 4, 6, 7) for n, (o, a) in enumerate((("PARSED", "1.25"), ("PARSED", None), ("REJECTED", "9"), (None, "7")), 1) if k != 4 or o != "PARSED"]
+    attempts = spark.createDataFrame([(k, k, "d", kind, k, status) for k, kind, status in decided], "attempt_id long, account_id long, digest string, source_kind string, completed_at long, status string")
+    lines = spark.createDataFrame(rows, "attempt_id long, row_number int, outcome string, signed_amount string").selectExpr("attempt_id", "row_number", "outcome", "array('c') AS codes", "DATE '2024-01-01' AS date", "'x' AS description", "CAST(signed_amount AS DECIMAL(20,2)) AS signed_amount")
+    tables = imports.ledger(attempts, lines)
+    want = {(r.attempt_id, name, r.n, r.total) for name, total in (("raw_records", "max(0)"), ("movements", "sum(signed_amount)"), ("observations", "sum(signed_amount)")) for r in tables[name].groupBy("attempt_id").agg(F.count("*").alias("n"), F.expr(total).alias("total")).collect()}
+    assert {(r.attempt_id, r.table_name, r.n, r.total) for r in imports.ledger_totals(attempts, lines).collect()} == want
+    # rows meet the attempts summed up: once for these sums, once for the counts that decide
+    plan = QUERIES["import_ledger"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2

@@ -17,13 +17,18 @@ def result_graph(rows: DataFrame, summary: DataFrame, by: str = "import_batch_id
     """A parser's rows (row_number, outcome, codes, signed_amount) against its summary (parsed,
     ignored, rejected): numbers run from 1 without gaps, outcomes have the codes and amounts
     that they need, and counts agree."""
-    n = lambda outcome: F.count_if(F.col("outcome") == outcome)
-    found = rows.groupBy(by).agg(
-        F.count("*").alias("rows"), F.count_distinct("row_number").alias("numbers"), F.min("row_number").alias("low"), F.max("row_number").alias("high"),
-        *(n(o).alias(f"n_{o.lower()}") for o in OUTCOMES), F.count_if(~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False))).alias("unknown"),
-        F.count_if((F.col("outcome") != "PARSED") & (F.coalesce(F.size("codes"), F.lit(0)) == 0)).alias("uncoded"),
-        F.count_if((F.col("outcome") == "PARSED") != F.col("signed_amount").isNotNull()).alias("amounts"), F.count_if(F.col("signed_amount") == 0).alias("zeros"),
-    )
+    outcome, number = F.col("outcome"), F.col("row_number")
+    ordered = Window.partitionBy(by).orderBy("row_number")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = lambda test: F.count_if(test).over(so_far)
+    # a batch's rows in turn, its last one has the sums: equal numbers follow each other, and no table of (batch, number) is held
+    found = rows.withColumn("__new", F.when(~number.eqNullSafe(F.lag(number).over(ordered)), number)).select(
+        by, F.count("*").over(so_far).alias("rows"), F.count("__new").over(so_far).alias("numbers"), F.min("row_number").over(so_far).alias("low"), F.max("row_number").over(so_far).alias("high"),
+        *(n(outcome == o).alias(f"n_{o.lower()}") for o in OUTCOMES), n(~F.coalesce(outcome.isin(*OUTCOMES), F.lit(False))).alias("unknown"),
+        n((outcome != "PARSED") & (F.coalesce(F.size("codes"), F.lit(0)) == 0)).alias("uncoded"),
+        n((outcome == "PARSED") != F.col("signed_amount").isNotNull()).alias("amounts"), n(F.col("signed_amount") == 0).alias("zeros"),
+        F.lead(F.lit(False), 1, True).over(ordered).alias("__last"),
+    ).filter("__last").drop("__last")
     found = summary.join(found, by, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     wrong: dict[str, Column] = {

@@ -168,11 +168,13 @@ def extraction_fingerprint(spark, sf_dir):
   UNION ALL SELECT 'amount_not_zero', CAST(k AS VARCHAR) FROM g WHERE zeros UNION ALL SELECT 'counts_match', CAST(k AS VARCHAR) FROM g WHERE k % 7 = 0""")
 def result_violations(spark, sf_dir):
     """Line items as a parser's rows, some with a fault, against counts that are off for every seventh order."""
-    w, v, parsed = Window.partitionBy("l_orderkey").orderBy(*_ROWS.split(", ")), F.col("l_partkey") % 40, F.col("l_returnflag") == "A"
+    # by the name that all that follows goes by, so that rows are dealt out once; values are added behind the sort
+    w, v, parsed = Window.partitionBy("import_batch_id").orderBy(*_ROWS.split(", ")), F.col("l_partkey") % 40, F.col("l_returnflag") == "A"
     outcome = F.when(parsed, "PARSED").when(F.col("l_returnflag") == "N", "IGNORED").otherwise("REJECTED")
     value = F.when(v == 3, F.lit(0).cast(money.MONEY)).otherwise(amount("l_extendedprice"))
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("import_batch_id"), (F.row_number().over(w) + F.when(F.col("l_orderkey") % 19 == 0, 1).otherwise(0)).alias("row_number"), outcome.alias("outcome"),
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "import_batch_id").withColumn("n", F.row_number().over(w))
+    rows = lines.select(
+        "import_batch_id", (F.col("n") + F.when(F.col("import_batch_id") % 19 == 0, 1).otherwise(0)).alias("row_number"), outcome.alias("outcome"),
         F.when(parsed | (v == 1), F.array().cast("array<string>")).otherwise(F.array(F.lit("some_code"))).alias("codes"), F.when(parsed != (v == 2), value).alias("signed_amount"),
     )
     # zero amounts count only where they belong

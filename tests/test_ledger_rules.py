@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import money
 from quillon.operators import constraints, evidence, lifecycle, report, validation
+from quillon.plans import evidence as evidence_plans
 
 DAY = datetime.date(2024, 5, 1)
 
@@ -171,3 +172,18 @@ def test_backfills_test_all_in_one_pass(spark, monkeypatch):
     for data, code in (([("a", "E")], "parsed_rows_and_movements_differ"), ([("a", "E"), ("a", "E"), (None, "E")], "movement_of_unparsed"), ([("a", "E"), ("b", "F")], "movement_of_unparsed"), ([("a", "E"), ("a", None)], "amount_column_unknown")):
         with pytest.raises(backfill.Refused, match=code):
             backfill.forward(**{**older, "movements": one(data, "raw_record_id string, amount_source_column string")})
+
+
+def test_result_graph_counts_equal_numbers_without_a_table_of_them(spark):
+    rows = {1: [1, 2, 3], 2: [1, 2, 2], 3: [1, 3, 3], 4: [2, 3], 5: [1, None, 3], 6: [None], 7: [1, 1]}
+    made = [(k, n, "PARSED", None, "1.00") for k, numbers in rows.items() for n in numbers] + [(8, 1, "IGNORED", None, None), (8, 2, "IGNORED", ["c"], "0.00"), (8, 3, None, ["c"], None), (8, 4, "OTHER", ["c"], None)]
+    made = spark.createDataFrame(made, "b long, row_number int, outcome string, codes array<string>, a string").withColumn("signed_amount", F.col("a").cast("decimal(20,2)"))
+    summary = spark.createDataFrame([(k, len(v), 0, 0) for k, v in rows.items()] + [(8, 0, 1, 0), (9, 0, 0, 0)], "b long, parsed long, ignored long, rejected long")
+    found = validation.result_graph(made, summary, "b")
+    wrong = {(r.constraint_name, r.key) for r in found.collect()}
+    assert wrong == {("row_numbers_contiguous", k) for k in "234567"} | {(n, "8") for n in ("outcome_known", "codes_match_outcome", "amount_matches_outcome", "amount_not_zero", "counts_match")}
+
+
+def test_result_violations_deals_rows_out_once(spark, sf_dir):
+    plan = evidence_plans.result_violations(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "HashAggregate(keys=[import_batch_id" in plan and "distinct" not in plan

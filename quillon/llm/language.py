@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,11 @@ from quillon.llm.common import extended
 
 WINDOW, WARM_UP, TOLERANCE = 2048, 128, 1e-2
 #: Bytes of windows that are read together.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
+#: Bytes of texts whose windows are read together, in blocks; a longer text is read alone.
+POOL = 1 << 24
+#: Bytes of windows whose inputs are looked up at once.
+AHEAD = 1 << 12
 #: Documents that are sampled to learn from, and characters of each that are.
 FIT_DOCS, FIT_CHARS = 1200, 16_384
 #: Steps of the training, pieces of a step and their length.
@@ -76,54 +81,72 @@ class BiGru:
         ``start`` (2, rows, hidden) is where the two directions begin, zeros by default.  With
         ``own`` (rows, first and last + 1 position), ``states`` (2, 2, rows, hidden) gets each
         direction's state as it enters and as it leaves these positions.
+
+        Rows come last in all that is computed, so that each operation runs along many of them.
         """
-        H, T = self.hidden, x.shape[1]
-        out, read = np.zeros((T, len(x), len(self.p["out_b"])), np.float32), np.ascontiguousarray(x.T).astype(np.intp)
+        H, T, N = self.hidden, x.shape[1], len(x)
+        out, read = np.zeros((T, len(self.p["out_b"]), N), np.float32), np.ascontiguousarray(x.T)
         # how many rows reach each position: the first ones
-        active = np.full(T, len(x)) if lengths is None else np.searchsorted(-lengths, -np.arange(T), "left")
-        for side, (d, order) in enumerate((("f", range(T)), ("b", range(T - 1, -1, -1)))):
-            # after which position which rows' states are wanted
-            wanted: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            if own is not None:
-                for where, at in enumerate((own[:, 0] - 1, own[:, 1] - 1) if d == "f" else (own[:, 1], own[:, 0])):
-                    states[side, where] = 0 if start is None else start[side]
-                    for t in np.unique(at).tolist():
-                        wanted.setdefault(t, []).append((states[side, where], np.flatnonzero(at == t)))
-            # sigmoid(x) is half of tanh(x / 2), plus a half
-            half = np.array([0.5] * 2 * H + [1] * H, np.float32)
-            table, wh = (np.ascontiguousarray(m * half) for m in (self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"], self.p[f"h{d}"]))
-            wh[:, 2 * H :] *= 0.5  # for the reset gate's half
-            w, state = self.p["out"][:H] if d == "f" else self.p["out"][H:], np.zeros((len(x), H), np.float32)
-            if start is not None:
-                state[:] = start[side]
-            room = [np.empty((len(x), width), np.float32) for width in (3 * H, 3 * H, 2 * H, H, w.shape[1])]
-            for t in order:
+        active = np.full(T, N) if lengths is None else np.searchsorted(-lengths, -np.arange(T), "left")
+        ahead = max(1, AHEAD // max(1, N))
+        # a gate that is wide open or shut may overflow on the way to 0 or 1
+        with np.errstate(over="ignore"):
+            for side, d in enumerate("fb"):
+                self._read(side, d, read, active, ahead, out, start, own, states)
+        out += self.p["out_b"][:, None]
+        out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
+        return out.transpose(0, 2, 1)
+
+    def _read(self, side: int, d: str, read: np.ndarray, active: np.ndarray, ahead: int, out: np.ndarray, start: np.ndarray | None, own: np.ndarray | None, states: np.ndarray | None) -> None:
+        """Adds to ``out`` (positions, classes, rows) what one direction gives."""
+        H, (T, N) = self.hidden, read.shape
+        # after which position which rows' states are wanted
+        wanted: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        if own is not None:
+            for where, at in enumerate((own[:, 0] - 1, own[:, 1] - 1) if d == "f" else (own[:, 1], own[:, 0])):
+                states[side, where] = 0 if start is None else start[side]
+                for t in np.unique(at).tolist():
+                    wanted.setdefault(t, []).append((states[side, where], np.flatnonzero(at == t)))
+        # sigmoid(x) is 1 / (1 + exp(-x)), tanh(x) is 1 - 2 / (1 + exp(2 x))
+        scale = np.array([-1] * 2 * H + [2] * H, np.float32)
+        table, wh = (np.ascontiguousarray((m * scale).T) for m in (self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"], self.p[f"h{d}"]))
+        w, state = np.ascontiguousarray((self.p["out"][:H] if d == "f" else self.p["out"][H:]).T), np.zeros((H, N), np.float32)
+        if start is not None:
+            state[:] = start[side].T
+        room = [np.empty((height, N), np.float32) for height in (3 * H, 2 * H, H, len(w))]
+        taken = np.empty(3 * H * ahead * N, np.float32)
+        firsts = range(0, T, ahead) if d == "f" else range((T - 1) // ahead * ahead, -1, -ahead)
+        for first in firsts:
+            last = min(first + ahead, T)
+            most = active[first]
+            # what some positions' bytes give to the gates
+            seen = taken[: 3 * H * (last - first) * most].reshape(3 * H, last - first, most)
+            np.take(table, read[first:last, :most].astype(np.intp), axis=1, out=seen, mode="clip")
+            for t in range(first, last) if d == "f" else range(last - 1, first - 1, -1):
                 n = active[t]
-                h, (gx, gh, gates, new, part) = state[:n], (m[:n] for m in room)
-                np.take(table, read[t, :n], axis=0, out=gx, mode="clip")
-                np.matmul(h, wh, out=gh)
-                np.add(gx[:, : 2 * H], gh[:, : 2 * H], out=gates)
-                np.tanh(gates, out=gates)
+                gx = seen[:, t - first, :n]
+                h, (gh, gates, new, part) = state[:, :n], (m[:, :n] for m in room)
+                np.matmul(wh, h, out=gh)
+                np.add(gx[: 2 * H], gh[: 2 * H], out=gates)
+                np.exp(gates, out=gates)
                 gates += 1
-                np.multiply(gates[:, :H], gh[:, 2 * H :], out=new)
-                new += gx[:, 2 * H :]
-                np.tanh(new, out=new)
-                keep = gates[:, H:]
-                keep *= 0.5
+                np.divide(gh[2 * H :], gates[:H], out=new)
+                new += gx[2 * H :]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(-2, new, out=new)
+                new += 1
                 h -= new
-                h *= keep
+                h /= gates[H:]
                 h += new
-                np.matmul(h, w, out=part)
-                out[t, :n] += part
+                np.matmul(w, h, out=part)
+                out[t, :, :n] += part
                 if t in wanted:
                     for kept, rows in wanted[t]:
                         rows = rows[rows < n]
-                        kept[rows] = h[rows]
-        out += self.p["out_b"]
-        out -= out.max(axis=2, keepdims=True)
-        np.exp(out, out=out)
-        out /= out.sum(axis=2, keepdims=True)
-        return out
+                        kept[rows] = h[:, rows].T
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean weighted cross-entropy over all positions, and its gradients."""
@@ -211,10 +234,17 @@ class Windows:
             states = np.empty((2, 2, len(now), self.net.hidden), np.float32)
             prob = self.net.probabilities(data, lengths, None if start is None else start[:, now], own, states)
             self.states[:, :, rows] = states
-            best = prob.argmax(axis=2)
-            for k, (r, (a, b)) in enumerate(zip(rows, own.tolist(), strict=True)):
-                self.sums[r] = prob[a:b, k].sum(axis=0, dtype=np.float64)
-                self.labels[r] = np.bincount(best[a:b, k], minlength=prob.shape[2])
+            # a class's rows of all positions lie together
+            by_class, at = prob.transpose(2, 0, 1), np.arange(prob.shape[0])[:, None]
+            outside = (at < own[:, 0]) | (at >= own[:, 1])
+            best, top = np.zeros(outside.shape, np.int8), by_class[0].copy()
+            for c in range(1, len(by_class)):
+                best[by_class[c] > top] = c
+                np.maximum(top, by_class[c], out=top)
+            best[outside] = -1
+            for c, p in enumerate(by_class):
+                self.sums[rows, c] = np.where(outside, np.float32(0), p).sum(axis=0, dtype=np.float64)
+                self.labels[rows, c] = (best == c).sum(axis=0)
 
     def settle(self) -> int:
         """Reads again what didn't begin where its neighbours ended; how many windows that took."""
@@ -260,6 +290,14 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     return train(found) if found else None
 
 
+def _pools(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows, as many in turn as begin within ``POOL`` bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.flatnonzero(np.diff((np.cumsum(size) - size) // POOL)) + 1
+    for start, end in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default), lang_pred, score and positions: how many
     positions of the text have each language's label.  Columns of these names give way."""
@@ -269,8 +307,7 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru] | None, text: str =
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            for start in range(0, batch.num_rows, 1024):
-                rows = batch.slice(start, 1024)
+            for rows in _pools(batch):
                 texts = [t or "" for t in rows.column("__text").to_pylist()]
                 has = [any(map(str.isalpha, t)) for t in texts]
                 pred, score, positions = ["und"] * len(texts), np.zeros(len(texts)), [[]] * len(texts)

@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +327,26 @@ def test_gradients_by_differences():
         assert abs((up - down) / (2 * e) - g[name][at]) < 2e-4
 
 
+def test_language_reads_texts_together_by_their_bytes(monkeypatch):
+    texts = [None if k % 7 == 0 else "x" * (k % 30) for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"__text": pa.array(texts, pa.string())})
+    assert [p.num_rows for p in language._pools(batch)] == [3000]
+    monkeypatch.setattr(language, "POOL", 100)
+    parts = [p.column("__text").to_pylist() for p in language._pools(batch)]
+    assert sum(parts, []) == texts and len(parts) > 300 and all(sum(map(len, filter(None, p[:-1]))) <= 100 for p in parts)
+    assert [p.num_rows for p in language._pools(batch.slice(0, 0))] == [0]
+
+
+def test_language_network_with_gates_wide_open(recwarn):
+    net = language.BiGru(3, hidden=4, embed=3, seed=1)
+    for name in ("xf", "xb", "hf", "hb"):
+        net.p[name] *= 100
+    x = np.random.default_rng(0).integers(0, 256, (5, 40)).astype(np.uint8)
+    both = np.concatenate([net._run(x, "f"), net._run(x[:, ::-1], "b")[::-1]], axis=2)
+    e = np.exp(both @ net.p["out"] + net.p["out_b"])
+    assert np.allclose(net.probabilities(x), e / e.sum(axis=2, keepdims=True), atol=1e-4) and not len(recwarn)
+
+
 def test_language(spark, odd, none, sf_dir):
     found = queries.op4_language(spark, sf_dir).collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -163,7 +163,7 @@ def historical(rows: DataFrame, periods: DataFrame) -> DataFrame:
     rows = rows.join(periods, "doc_id", "left")
     amounts = ("debit", "credit", "balance")
     rows = rows.withColumns({"__date": dates.exact_date(F.col("date"), "/"), **{f"__{c}": money.grouped_amount(F.col(c), True) for c in amounts}})
-    rows = rows.withColumns({f"__{c}_code": F.when(F.col(c).isNotNull(), money.grouped_code(F.col(c), True)) for c in amounts})
+    rows = rows.withColumns({f"__{c}_code": F.when(F.col(c).isNotNull(), money.grouped_code(F.col(c), True, F.col(f"__{c}"))) for c in amounts})
     inside = F.col("__date").between(F.col("period_start"), F.col("period_end"))
     w = Window.partitionBy("doc_id").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, -1)
     is_ = lambda code, *of: F.greatest(*(F.coalesce(F.col(f"__{c}_code") == code, F.lit(False)) for c in of), F.lit(False))

@@ -73,3 +73,15 @@ def test_ids(spark):
     assert values(spark, ["A", "Z", "aa", "ZZ", "1", None], ids.column_number) == [1, 26, 27, 702, None, None]
     assert values(spark, [1, 26, 27, 702, 703], ids.column_letter, "int") == ["A", "Z", "AA", "ZZ", None]
     assert values(spark, [1.0, 612.0], lambda c: ids.share(c, F.lit(612.0)), "double") == [Decimal("0.001634"), Decimal(1)]
+
+
+def test_grouped_amounts_are_read_with_one_pattern(spark, sf_dir):
+    from quillon.plans.catalogue import historical_rows
+
+    texts = ["9" * 18, "9" * 19, "-" + "9" * 19, "0" * 40 + "7", "-0", "1.234.567", "1.23", "", "-", "1\n", None]
+    nines = Decimal("9" * 18)
+    assert values(spark, texts, lambda c: money.grouped_amount(c, True)) == [nines, None, None, Decimal(7), Decimal(0), Decimal(1234567), None, None, None, values(spark, ["1\n"], lambda c: c.try_cast(money.MONEY))[0], None]
+    assert values(spark, texts, lambda c: money.grouped_code(c, True))[:9] == [None, "overflow", "overflow", None, None, None, "invalid", "invalid", "invalid"]
+    assert values(spark, ["05-01-2026", "31-02-2026", "5-01-2026 ", "é5-01-2026"], lambda c: dates.exact_date(c, "-")) == [D(2026, 1, 5), None, None, None]
+    plan = historical_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") < 10 and "regexp_extract" not in plan

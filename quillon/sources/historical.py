@@ -69,30 +69,48 @@ def documents(lined: DataFrame) -> tuple[DataFrame, DataFrame]:
     period_start, period_end and the printed opening, debits, credits and closing (null where
     they aren't found).  rows: those of ``statements.historical``, of documents without a code.
     """
-    rows = held(_lines(lined))  # four results read it
-    head = F.col("h")
-    pages = rows.groupBy(_DOC).agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first"), F.max("page").alias("last"), F.bool_or(head.isNull()).alias("headless"), F.bool_or(~head["fits"]).alias("moved"))
-    meta = _metadata(rows)
-    summary = _summary(rows)
-    found = pages.join(meta, _DOC, "left").join(summary, _DOC, "left")
+    line = F.struct("page", "line", "y0", "y1", "key", "t")
+    found = held(read(_lines(lined).groupBy(_DOC).agg(F.sort_array(F.collect_list(line)).alias("lines"))))  # both results read it
+    return found.select(*_RESULT), rows(found).drop("period_start", "period_end")
+
+
+_RESULT = (_DOC, "code", "statement_id", "source_account_id", "period_start", "period_end", *OPERANDS)
+
+
+def read(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, ``lines`` as of ``tokens.lines_of``) as ``documents`` returns them, and ``body``:
+    the lines of the tables of documents without a code.
+
+    A document stays one row from its tokens on, so nothing is dealt out, sorted or written."""
+    words = lambda x: reduce(Column.__and__, (F.array_contains(F.split(x["key"], " "), w) for w in HEADER_WORDS))
+    heads = F.filter("lines", lambda x: (x["y0"] <= LOWEST_HEADER) & x["key"].contains(HEADER_WORDS[0]) & words(x))
+    # the first line of each page above the edge that has all words
+    heads = F.filter(F.transform(heads, lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["y0"].alias("y0"), x["y1"].alias("y1"), _fits(x["t"]).alias("fits"))), lambda x: x["page"].isNotNull())
+    docs = docs.select(_DOC, "lines", heads.alias("heads"), F.array_distinct(F.transform("lines", lambda x: x["page"])).alias("pages"))
+    docs = docs.withColumn("heads", F.array_compact(F.transform("pages", lambda p: F.get(F.filter("heads", lambda x: x["page"] == p), F.lit(0)))))
+    docs = _summary(_metadata(docs.withColumn("last", F.array_max("pages"))))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     start, end = _day(F.get("period", F.lit(0))), _day(F.get("period", F.lit(1)))
     s_start, s_end = _day(F.get("s_period", F.lit(0))), _day(F.get("s_period", F.lit(1)))
+    docs = docs.withColumns({"start": start, "end": end, "s_start": s_start, "s_end": s_end})
+    start, end, s_start, s_end = map(F.col, ("start", "end", "s_start", "s_end"))
     code = (
-        F.when((F.col("first") != 1) | (F.col("last") != F.col("pages")), "page_number_invalid")
+        F.when((F.array_min("pages") != 1) | (F.col("last") != F.size("pages")), "page_number_invalid")
         .when(z("n_product") != 1, "source_identity_mismatch").when(z("n_statement") != 1, "statement_identifier_invalid").when(z("n_account") != 1, "account_identity_invalid")
         .when(z("n_period") != 1, "period_missing").when(z("n_currency") != 1, "currency_missing")
         .when((F.size("statement") != 1) | (F.size("account") != 1), "metadata_ambiguous")
         .when(start.isNull() | end.isNull() | (start > end), "period_invalid")
-        .when(F.col("headless"), "transaction_header_missing").when(F.col("moved"), "unsupported_financial_table_geometry")
+        .when(F.size("heads") < F.size("pages"), "transaction_header_missing").when(F.exists("heads", lambda h: ~h["fits"]), "unsupported_financial_table_geometry")
         .when((z("n_context") != 1) | (F.coalesce(F.size("s_period"), F.lit(0)) != 2), "period_summary_missing").when(s_start.isNull() | s_end.isNull(), "period_summary_invalid")
         .when((s_start != start) | (s_end != end), "period_summary_mismatch").when(F.col("ambiguous"), "period_summary_ambiguous")
     )
-    found = found.withColumn("code", code)
-    kept = {"statement_id": F.get("statement", F.lit(0)), "source_account_id": F.get("account", F.lit(0)), "period_start": start, "period_end": end, **{k: F.col(k) for k in OPERANDS}}
-    docs = found.select(_DOC, "code", *(F.when(F.col("code").isNull(), c).alias(k) for k, c in kept.items()))
-    good = found.filter("code IS NULL").select(_DOC, "context_y")
-    return docs, _table(rows.join(good, _DOC))
+    docs = docs.withColumn("code", code)
+    # below the page's header, and above the summary
+    head = lambda x: F.get(F.filter("heads", lambda h: h["page"] == x["page"]), F.lit(0))
+    below = lambda x: (x["line"] != head(x)["line"]) & (x["y0"] > head(x)["y1"]) & ((x["page"] != F.col("last")) | (x["y0"] < F.col("context_y")))
+    body = F.transform(F.filter("lines", below), lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["t"].alias("t")))
+    kept = {"statement_id": F.get("statement", F.lit(0)), "source_account_id": F.get("account", F.lit(0)), "period_start": start, "period_end": end, **{k: F.col(k) for k in OPERANDS}, "body": body}
+    return docs.select(_DOC, "code", *(F.when(F.col("code").isNull(), c).alias(k) for k, c in kept.items()))
 
 
 def _fits(header: Column) -> Column:
@@ -101,18 +119,21 @@ def _fits(header: Column) -> Column:
     return reduce(Column.__and__, (F.coalesce(F.abs(at(w) - x) <= TOLERANCE, F.lit(False)) for w, x in HEADER.items()))
 
 
-def _metadata(rows: DataFrame) -> DataFrame:
+def _metadata(docs: DataFrame) -> DataFrame:
     """Numbers of the lines above the first page's table that name product, statement, account, period and currency, and what they say."""
-    top = rows.filter((F.col("page") == 1) & (F.col("y0") < F.coalesce("h.y0", F.lit(float(TOP)))))
-    has = lambda *words: reduce(Column.__and__, (F.col("key").contains(w) for w in words))
-    statement, account = _token(F.col("t"), STATEMENT_FROM), _token(F.col("t"), ACCOUNT_FROM, ACCOUNT_TO)
+    table = F.get(F.filter("heads", lambda h: h["page"] == 1), F.lit(0))["y0"]
+    docs = docs.withColumn("edge", F.coalesce(table, F.lit(float(TOP))))
+    docs = docs.withColumn("top", F.filter("lines", lambda x: (x["page"] == 1) & (x["y0"] < F.col("edge"))))
+    has = lambda x, *words: reduce(Column.__and__, (x["key"].contains(w) for w in words))
+    statement, account, days = (lambda x: _token(x["t"], STATEMENT_FROM)), (lambda x: _token(x["t"], ACCOUNT_FROM, ACCOUNT_TO)), (lambda x: _days(x["key"]))
     is_ = {
-        "product": has("bci", "cartola", "cuenta", "corriente"), "statement": has("cartola") & (F.size(statement) > 0), "account": has("cuenta", "moneda") & (F.size(account) > 0),
-        "period": has("periodo") & (F.size(_days(F.col("key"))) == 2), "currency": has("moneda") & F.exists("t", lambda t: t["label"].isin("pesos", "clp")),
+        "product": lambda x: has(x, "bci", "cartola", "cuenta", "corriente"), "statement": lambda x: has(x, "cartola") & (F.size(statement(x)) > 0), "account": lambda x: has(x, "cuenta", "moneda") & (F.size(account(x)) > 0),
+        "period": lambda x: has(x, "periodo") & (F.size(days(x)) == 2), "currency": lambda x: has(x, "moneda") & F.exists(x["t"], lambda t: t["label"].isin("pesos", "clp")),
     }
-    values = {"statement": statement, "account": account, "period": _days(F.col("key"))}
-    top = top.withColumns({f"is_{k}": c for k, c in is_.items()} | {f"of_{k}": c for k, c in values.items()})
-    return top.groupBy(_DOC).agg(*(F.count_if(f"is_{k}").alias(f"n_{k}") for k in is_), *(F.min_by(f"of_{k}", F.when(F.col(f"is_{k}"), F.col("line"))).alias(k) for k in values))
+    docs = docs.withColumns({f"of_{k}": F.filter("top", c) for k, c in is_.items()})
+    values = {"statement": statement, "account": account, "period": days}
+    docs = docs.withColumns({f"n_{k}": F.size(f"of_{k}") for k in is_} | {k: c(F.get(f"of_{k}", F.lit(0))) for k, c in values.items()})
+    return docs.drop("top", "edge", *(f"of_{k}" for k in is_))
 
 
 def _amount(low: float, high: float, negative: bool) -> Callable[[Column], Column]:
@@ -128,15 +149,13 @@ def _under(one: Column) -> Callable[[Column], Column]:
     return lambda x: (x["y0"] - one["y1"]).between(0, VALUE_DEPTH)
 
 
-def _summary(rows: DataFrame) -> DataFrame:
+def _summary(docs: DataFrame) -> DataFrame:
     """The last page's summary: its period, and each operand's printed value."""
-    last = rows.filter(F.col("page") == F.col("last"))
-    context = F.col("key").contains("resumen") & F.col("key").contains("periodo")
-    w = Window.partitionBy(_DOC)
-    last = last.withColumns({"n_context": F.count_if(context).over(w), "context_y": F.min(F.when(context, F.col("y0"))).over(w)})
-    below = last.filter(F.col("y0") >= F.col("context_y"))
-    # one page's lines
-    page = below.groupBy(_DOC).agg(F.max("n_context").alias("n_context"), F.max("context_y").alias("context_y"), F.array_sort(F.collect_list(F.struct("line", "y0", "y1", F.split("key", " ").alias("words"), "t"))).alias("lines"))
+    context = lambda x: x["key"].contains("resumen") & x["key"].contains("periodo")
+    page = docs.withColumns({"every": F.col("lines"), "lines": F.filter("lines", lambda x: x["page"] == F.col("last"))})
+    page = page.withColumn("contexts", F.filter("lines", context)).withColumns({"n_context": F.size("contexts"), "context_y": F.array_min(F.transform("contexts", lambda x: x["y0"]))})
+    below = F.filter("lines", lambda x: x["y0"] >= F.col("context_y"))
+    page = page.withColumn("lines", F.transform(below, lambda x: F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), F.split(x["key"], " ").alias("words"), x["t"].alias("t"))))
     near = F.flatten(F.transform(F.filter("lines", lambda x: x["y0"] - F.col("context_y") <= PERIOD_DEPTH), lambda x: x["t"]))
     text = F.array_join(F.transform(F.filter(near, lambda t: (t["x0"] >= PERIOD_FROM) & (t["x0"] < PERIOD_TO)), lambda t: t["text"]), " ")
     out = {"s_period": _days(F.regexp_replace(text, r"\s*-\s*", "-"))}
@@ -149,22 +168,27 @@ def _summary(rows: DataFrame) -> DataFrame:
         value = F.when(F.size(own) == 1, F.get(own, F.lit(0))["text"]).when(F.size(around) == 1, F.get(around, F.lit(0))["text"])
         out[name] = F.when(F.size(labels) == 1, money.grouped_amount(value, True))
         wrong.append((F.size(labels) > 1) | ((F.size(labels) == 1) & (F.size(own) != 1) & (F.size(around) > 1)))
-    return page.select(_DOC, "n_context", "context_y", *(c.alias(k) for k, c in out.items()), F.coalesce(reduce(Column.__or__, wrong), F.lit(False)).alias("ambiguous"))
+    return page.withColumns({**out, "ambiguous": F.coalesce(reduce(Column.__or__, wrong), F.lit(False))}).drop("lines", "contexts").withColumnRenamed("every", "lines")
 
 
-def _table(rows: DataFrame) -> DataFrame:
-    """Rows of the tables of all pages, with the texts of their columns."""
-    end = F.when(F.col("page") == F.col("last"), F.col("context_y")).otherwise(1e9)
-    body = rows.filter((F.col("line") != F.col("h.line")) & (F.col("y0") > F.col("h.y1")) & (F.col("y0") < end))
+def rows(docs: DataFrame) -> DataFrame:
+    """Rows of the tables of all pages of what ``read`` returns, with the texts of their columns and their document's period."""
     in_band = lambda t, name: (t["x0"] >= BANDS[name][0] - TOLERANCE) & (t["x0"] < BANDS[name][1] + TOLERANCE)
-    any_of = lambda *names: F.exists("t", lambda t: reduce(Column.__or__, (in_band(t, n) for n in names)))
-    inside = F.forall("t", lambda t: (t["x0"] >= LEFT - TOLERANCE) & (t["x1"] <= RIGHT + TOLERANCE))
-    body = body.withColumn("inside", inside).withColumn("starts", F.col("inside") & any_of("debit", "credit", "balance") & any_of("date", "branch", "description", "reference"))
-    w = Window.partitionBy(*_PAGE).orderBy("line")
-    # a start opens a row, a line outside closes it
-    open_ = F.last(F.when(F.col("starts"), True).when(~F.col("inside"), False), ignorenulls=True).over(w)
-    body = body.withColumns({"open": open_, "on_page": F.count_if("starts").over(w)}).filter("open AND inside")
-    tokens = body.select(*_PAGE, "on_page", "line", F.explode("t").alias("x"))
-    texts = lambda low, high: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("x.x0") >= low) & (F.col("x.x0") < high), F.struct("line", "x.x0", "x.ordinal", "x.text")))), lambda t: t["text"]), " "), F.lit(""))
-    joined = tokens.groupBy(*_PAGE, "on_page").agg(F.min("line").alias("line"), *(texts(*edges).alias(name) for name, edges in BANDS.items()))
-    return joined.withColumn("row", F.row_number().over(Window.partitionBy(_DOC).orderBy("page", "on_page"))).drop("on_page")
+    any_of = lambda x, *names: F.exists(x["t"], lambda t: reduce(Column.__or__, (in_band(t, n) for n in names)))
+    inside = lambda x: F.forall(x["t"], lambda t: (t["x0"] >= LEFT - TOLERANCE) & (t["x1"] <= RIGHT + TOLERANCE))
+    starts = lambda x: inside(x) & any_of(x, "debit", "credit", "balance") & any_of(x, "date", "branch", "description", "reference")
+    body = F.transform("body", lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["t"].alias("t"), inside(x).alias("inside"), starts(x).alias("starts")))
+    found = docs.select(_DOC, "code", "period_start", "period_end", body.alias("body"))
+    found = found.withColumn("at", F.array_compact(F.transform("body", lambda x, n: F.when(x["starts"], n + 1))))
+
+    def row(first: Column, n: Column) -> Column:
+        """A start opens a row; the next one, a line outside or a new page closes it."""
+        x, part = F.element_at("body", first), F.slice("body", first, F.coalesce(F.get("at", n + 1), F.size("body") + 1) - first)
+        end = F.array_position(F.transform(part, lambda y: y["inside"] & (y["page"] == x["page"])), False).cast("int")
+        part = F.when(end > 0, F.slice(part, 1, F.greatest(end, F.lit(1)) - 1)).otherwise(part)
+        return F.struct(x["page"].alias("page"), x["line"].alias("line"), F.flatten(F.transform(part, lambda y: y["t"])).alias("t"))
+
+    # exploding drops what is null; of a mere column, Spark would filter empty lists first, and make them anew for that
+    found = found.select(_DOC, "period_start", "period_end", F.posexplode(F.when(F.col("code").isNull(), F.transform("at", row))).alias("n", "x"))
+    texts = lambda low, high: F.nullif(F.array_join(F.transform(F.filter("x.t", lambda t: (t["x0"] >= low) & (t["x0"] < high)), lambda t: t["text"]), " "), F.lit(""))
+    return found.select(_DOC, "x.page", "x.line", "period_start", "period_end", *(texts(*edges).alias(name) for name, edges in BANDS.items()), (F.col("n") + 1).alias("row"))

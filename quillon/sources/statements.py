@@ -156,11 +156,11 @@ def current(rows: DataFrame, periods: DataFrame) -> DataFrame:
     return rows.drop(*(c for c in rows.columns if c.startswith("__")))
 
 
-def historical(rows: DataFrame, periods: DataFrame) -> DataFrame:
-    """Printed historical statement, from the rows of ``historical.documents`` (doc_id, page, row):
-    the first code in order of precedence rejects.  A blank inside an amount means that it
-    was printed as several tokens."""
-    rows = rows.join(periods, "doc_id", "left")
+def historical(rows: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """Printed historical statement, from the rows of ``historical.documents`` (doc_id, page, row),
+    or of ``historical.rows``, which have their periods: the first code in order of precedence
+    rejects.  A blank inside an amount means that it was printed as several tokens."""
+    rows = rows if periods is None else rows.join(periods, "doc_id", "left")
     amounts = ("debit", "credit", "balance")
     rows = rows.withColumns({"__date": dates.exact_date(F.col("date"), "/"), **{f"__{c}": money.grouped_amount(F.col(c), True) for c in amounts}})
     rows = rows.withColumns({f"__{c}_code": F.when(F.col(c).isNotNull(), money.grouped_code(F.col(c), True, F.col(f"__{c}"))) for c in amounts})

@@ -34,3 +34,8 @@ def _written(spark, sf_dir, query):
 def test_token_rows_deal_out_line_items_and_rows_but_no_tokens(spark, sf_dir):
     exchanges, written = _written(spark, sf_dir, historical_plans.historical_token_rows)
     assert [e.split("hashpartitioning(")[1].split("#")[0] for e in exchanges] == ["doc_id", "k", "l_orderkey"] and not written
+
+
+def test_documents_deal_out_line_items_and_no_tokens(spark, sf_dir):
+    exchanges, written = _written(spark, sf_dir, historical_plans.historical_documents)
+    assert [e.split("hashpartitioning(")[1].split("#")[0] for e in exchanges] == ["k", "l_orderkey"] and not written

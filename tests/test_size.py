@@ -4,8 +4,9 @@ import pathlib
 
 from pyspark.sql import functions as F
 
+from quillon.plans import card as card_plans
 from quillon.plans import historical as historical_plans
-from quillon.sources import historical, tokens
+from quillon.sources import card, historical, tokens
 
 
 def test_lines_of_a_document_are_those_of_a_table(spark):
@@ -39,3 +40,11 @@ def test_token_rows_deal_out_line_items_and_rows_but_no_tokens(spark, sf_dir):
 def test_documents_deal_out_line_items_and_no_tokens(spark, sf_dir):
     exchanges, written = _written(spark, sf_dir, historical_plans.historical_documents)
     assert [e.split("hashpartitioning(")[1].split("#")[0] for e in exchanges] == ["k", "l_orderkey"] and not written
+
+
+def test_card_rows_are_read_from_tables_that_are_dealt_out(spark, sf_dir):
+    dealt = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    lines = dealt(card.gathered(card_plans.tokens(spark, sf_dir)))
+    assert [e.split("hashpartitioning(")[1].split("#")[0] for e in lines] == ["k", "l_orderkey"]
+    exchanges, written = _written(spark, sf_dir, card_plans.card_rows)
+    assert not exchanges and not written

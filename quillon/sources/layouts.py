@@ -114,10 +114,11 @@ def discover_current(cells: DataFrame) -> DataFrame:
     headers = rows.filter((F.col("hits") == len(LABELS)) & (F.col("widest") <= 7)).groupBy(*_SHEET).agg(F.min("row_number").alias("header_row"))
     one = headers.groupBy("source_id").agg(F.count("*").alias("n"), F.min("sheet_ordinal").alias("sheet_ordinal"), F.min("header_row").alias("header_row"))
     sources = rows.groupBy("source_id").agg(F.max("code").alias("refused"))
-    found = sources.join(one, "source_id", "left")
+    # a row for each source, or several: whatever their size is thought to be, no side goes through the driver
+    found = sources.join(one.hint("merge"), "source_id", "left")
     every_label = [x for names in (*PERIOD.values(), *EDGES.values()) for x in names]
     labelled = rows.filter(F.exists("near", lambda x: x["key"].isin(every_label)))
-    head = labelled.join(one.filter("n = 1").drop("n"), _SHEET).filter(F.col("row_number") < F.col("header_row")).select("source_id", "row_number", F.inline("near"))
+    head = labelled.join(one.filter("n = 1").drop("n").hint("merge"), _SHEET).filter(F.col("row_number") < F.col("header_row")).select("source_id", "row_number", F.inline("near"))
     day = F.when(F.col("value_type") == "date", F.col("value_text").try_cast("date")).when(F.col("value_type") == "text", dates.full_date(F.trim("value_text")))
     balance = money.sheet_cell(F.col("value_text"), F.col("value_type"), movement=False)
     target = F.expr("CASE " + " ".join(f"WHEN key IN ({', '.join(repr(x) for x in names)}) THEN '{k}'" for k, names in PERIOD.items()) + " END")
@@ -134,7 +135,7 @@ def discover_current(cells: DataFrame) -> DataFrame:
     )
     at = F.struct("row_number", "valued.n_column")
     edges = head.filter("edge IS NOT NULL AND valued IS NOT NULL").groupBy("source_id").agg(*(F.min_by("valued.money", F.when(F.col("edge") == k, at)).alias(f"{k}_balance") for k in EDGES))
-    found = found.join(period, "source_id", "left").join(edges, "source_id", "left")
+    found = found.join(period.hint("merge"), "source_id", "left").join(edges.hint("merge"), "source_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     code = (
         F.when(F.col("refused").isNotNull(), F.col("refused")).when(z("n") == 0, "movement_header_not_found").when(F.col("n") > 1, "ambiguous_statement_worksheets")

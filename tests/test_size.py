@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans import card as card_plans
 from quillon.plans import historical as historical_plans
+from quillon.plans import layouts as layout_plans
 from quillon.sources import card, historical, tokens
 
 
@@ -48,3 +49,8 @@ def test_card_rows_are_read_from_tables_that_are_dealt_out(spark, sf_dir):
     assert [e.split("hashpartitioning(")[1].split("#")[0] for e in lines] == ["k", "l_orderkey"]
     exchanges, written = _written(spark, sf_dir, card_plans.card_rows)
     assert not exchanges and not written
+
+
+def test_discovery_sends_no_side_of_a_join_through_the_driver(spark, sf_dir):
+    exchanges, _ = _written(spark, sf_dir, layout_plans.sheet_discovery)
+    assert exchanges and not any("BroadcastExchange" in e for e in exchanges)

@@ -4,9 +4,12 @@ import pathlib
 
 from pyspark.sql import functions as F
 
+from quillon.operators import resolution
+from quillon.operators.shared import written
 from quillon.plans import card as card_plans
 from quillon.plans import historical as historical_plans
 from quillon.plans import layouts as layout_plans
+from quillon.plans import resolution as resolution_plans
 from quillon.sources import card, historical, tokens
 
 
@@ -54,3 +57,17 @@ def test_card_rows_are_read_from_tables_that_are_dealt_out(spark, sf_dir):
 def test_discovery_sends_no_side_of_a_join_through_the_driver(spark, sf_dir):
     exchanges, _ = _written(spark, sf_dir, layout_plans.sheet_discovery)
     assert exchanges and not any("BroadcastExchange" in e for e in exchanges)
+
+
+def test_commands_are_dealt_out_with_facts_instead_of_claims(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = resolution.with_facts(resolution_plans.commands(spark, sf_dir), resolution_plans.claims(spark, sf_dir), resolution_plans.held(spark, sf_dir))
+        plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # a claim's columns are not in what joins deal out after the one with successors
+    below = [plan[k + 1] for k, line in enumerate(plan) if "Exchange hashpartitioning(o_account#" in line]
+    assert below and not any("s__" in line for line in below)
+    facts = written(rows.limit(3))
+    assert facts.count() == 3 and "FileScan" in facts._jdf.queryExecution().executedPlan().toString() and facts.dtypes == rows.dtypes

@@ -71,3 +71,9 @@ def test_commands_are_dealt_out_with_facts_instead_of_claims(spark, sf_dir):
     assert below and not any("s__" in line for line in below)
     facts = written(rows.limit(3))
     assert facts.count() == 3 and "FileScan" in facts._jdf.queryExecution().executedPlan().toString() and facts.dtypes == rows.dtypes
+
+
+def test_card_documents_deal_out_sums_alone(spark, sf_dir):
+    exchanges, written = _written(spark, sf_dir, card_plans.card_documents)
+    # operands of the equation come from two sides
+    assert [e.split("hashpartitioning(")[1].split("#")[0] for e in exchanges] == ["doc_id"] and not written
